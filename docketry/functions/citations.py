@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Dash characters that stand for a hyphen in section numbers.
-DASHES = "‐‑‒–—―−﹣－"
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63\uff0d"
 #: Blanks other than the plain space, folded before parsing.
-BLANKS = "   　\t\r\n"
+BLANKS = "\u00a0\u2007\u202f\u2009\u3000\t\r\n"
 
 
 def fold_dashes(c: Column) -> Column:
@@ -22,7 +22,7 @@ def section_address(uslm_id: Column) -> Column:
     Understands path ids with any subdivision, note or fragment behind the section, and citations such as
     ``42 U.S.C. § 300zz-7(e)(4) note`` or with ``App.`` for an appendix title. Anything else gives null.
     """
-    s = F.regexp_replace(F.lower(fold_dashes(F.translate(uslm_id, BLANKS, " " * len(BLANKS)))), "[​-‏⁠﻿­]", "")
+    s = F.regexp_replace(F.lower(fold_dashes(F.translate(uslm_id, BLANKS, " " * len(BLANKS)))), r"[\u200b-\u200f\u2060\ufeff\u00ad]", "")
     s = F.trim(F.regexp_replace(F.regexp_replace(s, " +", " "), "/+", "/"))
     section = r"([0-9]+[a-z]*(?:-[0-9a-z]+)*)(?![0-9a-z])"
     path = rf"^/?us/usc/t0*([0-9]+[a-z]*)/s0*{section}"

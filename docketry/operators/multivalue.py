@@ -107,6 +107,11 @@ def chunks(field: Field) -> Iterator[tuple[int, list[str], list[str]]]:
             a = i + 1
 
 
+def usual(gap: str) -> float:
+    """How often a class of gap ends a value before anything is learnt."""
+    return 0.02 if gap in ("sp", "none") else 0.5
+
+
 class Model:
     """Log-probabilities of shapes and of gap classes ending a value."""
 
@@ -115,20 +120,20 @@ class Model:
         self.value = {s: math.log(n / total) for s, n in shapes.items() if n > 0}
         self.gaps = gaps
 
-    def cut(self, gap: str) -> tuple[float, float]:
-        """Log-probability that a gap ends a value, and that it doesn't."""
-        p = self.gaps.get(gap, 0.02 if gap in ("sp", "none") else 0.5)
+    def cut(self, gap: str, after: str) -> tuple[float, float]:
+        """Log-probability that a gap before the token ``after`` ends a value, and that it doesn't."""
+        p = self.gaps.get(f"{gap}\x1d{after}", self.gaps.get(gap, usual(gap)))
         p = min(max(p, 1e-4), 1 - 1e-4)
         return math.log(p), math.log(1 - p)
 
     def of(self, shape: str, tokens: int) -> float:
         """Log-probability of a value; unlearnt ones are rarer the longer they are."""
-        return self.value.get(shape, -12.0 - 3.0 * tokens)
+        return self.value.get(shape, -25.0 - tokens)
 
     def arcs(self, shapes: list[str], gaps: list[str]) -> list[tuple[int, int, str, float]]:
         """All values (first token, end token, shape, log-probability with its inner gaps and the gap that ends it)."""
         n, out = len(shapes), []
-        cuts = [self.cut(g) for g in gaps]
+        cuts = [self.cut(g, s) for g, s in zip(gaps, shapes[1:])]
         for i in range(n):
             shape, inner = "", 0.0
             for j in range(i, n):
@@ -164,7 +169,6 @@ class Model:
     def expect(self, shapes: list[str], gaps: list[str], weight: float, values: dict, cuts: dict) -> None:
         """Add a chunk's expected values and gap decisions (forward-backward)."""
         n, arcs = len(shapes), self.arcs(shapes, gaps)
-        most = max(p for *_, p in arcs)
         fwd, bwd = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
         fwd[0] = bwd[n] = 0.0
 
@@ -176,16 +180,15 @@ class Model:
             fwd[j] = plus(fwd[j], fwd[i] + p)
         for i, j, _, p in reversed(arcs):
             bwd[i] = plus(bwd[i], bwd[j] + p)
-        del most
         ended = [0.0] * n
         for i, j, s, p in arcs:
             e = math.exp(min(0.0, fwd[i] + p + bwd[j] - fwd[n]))
             if e > 1e-6:
                 values[s] += weight * e
                 ended[j - 1] += e
-        for g, e in zip(gaps, ended):
-            cuts[g, True] += weight * e
-            cuts[g, False] += weight * (1 - e)
+        for g, s, e in zip(gaps, shapes[1:], ended):
+            cuts[f"{g}\x1d{s}", True] += weight * e
+            cuts[f"{g}\x1d{s}", False] += weight * (1 - e)
 
 
 def _encode(shapes: list[str], gaps: list[str]) -> str:
@@ -239,13 +242,19 @@ def learn(df: DataFrame, column: str, scratch: Scratch) -> Model:
 
         counts = scratch.put(seen.mapInArrow(step, "k string, e double").groupBy("k").agg(F.sum("e").alias("e")), "counts")
         total = counts.filter(F.col("k").startswith("v")).agg(F.sum("e")).first()[0] or 1.0
-        # fewer than SHAPES shapes pass; gap classes are combinations of a few delimiter signs
-        kept = counts.filter(~F.col("k").startswith("v") | (F.col("e") > total / SHAPES)).collect()
+        # fewer than SHAPES shapes pass, and as many gap contexts; those of a single gap class also count together.
+        # A shape of several tokens must be seen a few times, else chance meetings of two values pass for one.
+        long = F.col("k").rlike(r"[ (]")
+        enough = F.col("k").startswith("v") & (F.col("e") > total / SHAPES) & (F.col("e") > F.when(long, 2.5).otherwise(0.1))
+        gap = ~F.col("k").startswith("v")
+        every = counts.filter(gap).agg(F.sum("e")).first()[0] or 1.0
+        kept = counts.filter(enough | (gap & (F.col("e") > every / SHAPES))).collect()
+        classes = counts.filter(gap).groupBy(F.substring_index("k", "\x1d", 1).alias("k")).agg(F.sum("e").alias("e")).collect()
         ends: dict[str, float] = {}
-        yes, no = ({r["k"][1:]: r["e"] for r in kept if r["k"][0] == c} for c in "yn")
-        for g in {*yes, *no}:
-            prior = 0.02 if g in ("sp", "none") else 0.5
-            ends[g] = (yes.get(g, 0.0) + 2 * prior) / (yes.get(g, 0.0) + no.get(g, 0.0) + 2)
+        yes, no = ({r["k"][1:]: r["e"] for r in [*classes, *kept] if r["k"][0] == c} for c in "yn")
+        for g in sorted({*yes, *no}, key=lambda g: "\x1d" in g):
+            cls = g.split("\x1d")[0]
+            ends[g] = (yes.get(g, 0.0) + 4 * ends.get(cls, usual(cls))) / (yes.get(g, 0.0) + no.get(g, 0.0) + 4)
         model = Model({r["k"][1:]: r["e"] for r in kept if r["k"][0] == "v"}, ends)
         scratch.drop(counts)
     scratch.drop(seen)

@@ -7,6 +7,8 @@ import math
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in every Python worker, once per Spark context; the driver serves the archive."""
+    sc = spark.sparkContext
+    if getattr(sc, "_docketry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="docketry-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/docketry.zip", "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(f"{folder}/docketry.zip")
+    sc._docketry_shipped = True
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage. A lost executor never takes one with it."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -75,6 +93,7 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
