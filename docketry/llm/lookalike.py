@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that leave no trace on the page, beside the tag characters and variation selectors.
 INVISIBLE = "\u00AD\u034F\u061C\u115F\u1160\u17B4\u17B5\u180B\u180C\u180D\u180E\u200B\u200C\u200D\u200E\u200F\u202A\u202B\u202C\u202D\u202E\u2060\u2061\u2062\u2063\u2064\u2065\u2066\u2067\u2068\u2069\u206A\u206B\u206C\u206D\u206E\u206F\u3164\uFEFF\uFFA0"
@@ -184,7 +185,7 @@ def canonicalize(df: DataFrame, text: str = "text", out: str = "canonical") -> D
     """
     df = df.drop(out) if out in df.columns and out != text else df
     names = df.columns
-    schema = df.schema.add(out, "string") if out != text else df.schema
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]) if out != text else df.schema
     i = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
