@@ -31,3 +31,142 @@ def section_address(uslm_id: Column) -> Column:
     app = F.when(F.regexp_extract(s, cite, 2) == "app", "a").otherwise("")
     by_cite = F.when(F.regexp_extract(s, cite, 3) != "", F.concat(F.lit("/us/usc/t"), F.regexp_extract(s, cite, 1), app, F.lit("/s"), F.regexp_extract(s, cite, 3)))
     return F.coalesce(by_path, by_cite)
+
+
+#: Citation formats. Group 1 and 2 are the two halves of a key.
+USC = r"(?i)(?:^|[^0-9a-z])([0-9]+)\s*U\.?\s*S\.?\s*C\.?\s*(?:§+\s*)?([0-9]+[A-Za-z]*(?:-[0-9]+)?)"
+PLAW = r"(?i)(?:^|[^a-z])P(?:ub(?:lic)?)?[.\s]*L(?:aw)?[.\s]*([0-9]+)\s*-\s*([0-9]+)"
+STAT = r"(?i)(?:^|[^0-9])([0-9]+)\s*Stat\.?\s*([0-9]+)"
+#: Addressing grade: title, appendix mark, section, subsection path, note mark.
+USC_PATH = r"(?i)(?:^|[^0-9a-z])([0-9]+[A-Za-z]?)\s*U\.?\s*S\.?\s*C\.?\s*(App\.\s*)?(?:§+\s*)?([0-9]+[A-Za-z]*(?:-[0-9]+[A-Za-z]*)?)((?:\([a-zA-Z0-9]{1,4}\))*)(\s+note)?"
+PLAW_SPAN = r"(?i)(?:^|[^a-z])P(?:ub(?:lic)?)?[.\s]*L(?:aw)?[.\s]*[0-9]+\s*-\s*[0-9]+"
+SECTION_MARK = r"(?i)(?:Sec\.|§+)\s*([0-9]+[A-Za-z]?)"
+SECTION_PATH = r"(/us/usc/t[0-9A-Za-z]+(?:/pl/[0-9]+/[0-9]+)?/s[^/]+)"
+#: First Congress whose laws are in the public-law collection.
+FIRST_COLLECTED = 104
+
+
+def _keys(text: Column, pattern: str) -> Column:
+    a, b = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (1, 2))
+    return F.array_distinct(F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b"))))
+
+
+def parse_citations(text: Column) -> Column:
+    """Matching grade: distinct ``usc`` (title, section), ``plaw`` (congress, number), ``stat`` (volume, page) keys, as
+    strings, without subsection paths. Null text gives empty arrays."""
+    t = fold_dashes(F.coalesce(text, F.lit("")))
+    return F.struct(_keys(t, USC).alias("usc"), _keys(t, PLAW).alias("plaw"), _keys(t, STAT).alias("stat"))
+
+
+def citation_overlap(a: Column, b: Column) -> Column:
+    """Shared keys per kind of two ``parse_citations`` results."""
+    return F.struct(*[F.size(F.array_intersect(a[k], b[k])).alias(k) for k in ("usc", "plaw", "stat")])
+
+
+def parse_authority(text: Column) -> Column:
+    """Addressing grade, in order, first of equals kept: title, section, subs (path as written), note, appendix,
+    ``uslm_id`` (subsection case kept, notes without path), ``section_id`` and ``cite``."""
+    t = fold_dashes(F.coalesce(text, F.lit("")))
+    parts = [F.regexp_extract_all(t, F.lit(USC_PATH), F.lit(g)) for g in range(1, 6)]
+    zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("title", "app", "section", "subs", "note"))])
+
+    def build(x: Column) -> Column:
+        app, note = x["app"] != "", x["note"] != ""
+        head = F.concat(F.lit("/us/usc/t"), F.lower(x["title"]), F.when(app, "a").otherwise(""), F.lit("/s"), F.lower(x["section"]))
+        path = F.regexp_replace(F.regexp_replace(x["subs"], r"\(", "/"), r"\)", "")
+        shown = F.concat(x["title"], F.lit(" U.S.C. "), F.when(app, "App. ").otherwise(""), x["section"], x["subs"], F.when(note, " note").otherwise(""))
+        return F.struct(
+            x["title"].alias("title"), x["section"].alias("section"), x["subs"].alias("subs"), note.alias("is_note"), app.alias("is_appendix"),
+            F.when(note, head).otherwise(F.concat(head, path)).alias("uslm_id"), head.alias("section_id"), shown.alias("cite"),
+        )
+
+    return F.array_distinct(F.transform(zipped, build))
+
+
+def law_spans(text: Column) -> Column:
+    """The text cut at each public law: one piece per law, up to the next one."""
+    t = fold_dashes(F.coalesce(text, F.lit("")))
+    marked = F.regexp_replace(t, PLAW_SPAN, "\u001e$0")
+    return F.filter(F.split(marked, "\u001e"), lambda s: F.regexp_extract(s, PLAW, 1) != "")
+
+
+def plaw_sections(text: Column) -> Column:
+    """Each public law with the first section named before the next law (null if none), in order, distinct."""
+
+    def build(s: Column) -> Column:
+        sec = F.regexp_extract(s, SECTION_MARK, 1)
+        return F.struct(F.regexp_extract(s, PLAW, 1).cast("int").alias("congress"), F.regexp_extract(s, PLAW, 2).cast("int").alias("number"), F.when(sec != "", sec).alias("section"))
+
+    return F.array_distinct(F.transform(law_spans(text), build))
+
+
+def credit_keys(text: Column) -> Column:
+    """Every section named behind each public law, as (congress, number, section), distinct."""
+
+    def build(s: Column) -> Column:
+        c, n = F.regexp_extract(s, PLAW, 1).cast("int"), F.regexp_extract(s, PLAW, 2).cast("int")
+        return F.transform(F.regexp_extract_all(s, F.lit(SECTION_MARK), F.lit(1)), lambda x: F.struct(c.alias("congress"), n.alias("number"), x.alias("section")))
+
+    return F.array_distinct(F.flatten(F.transform(law_spans(text), build)))
+
+
+def package_id(congress: Column, number: Column) -> Column:
+    """Name of a public law's package; null before the collection begins."""
+    return F.when(congress >= FIRST_COLLECTED, F.concat(F.lit("PLAW-"), congress, F.lit("publ"), number))
+
+
+def section_of(uslm_id: Column) -> Column:
+    """Enclosing section of a node id, null if it has none."""
+    s = F.regexp_extract(uslm_id, SECTION_PATH, 1)
+    return F.when(s != "", s)
+
+
+def ancestors(uslm_id: Column) -> Column:
+    """Enclosing nodes from the parent up to the section; empty for sections, notes and other ids."""
+    section = section_of(uslm_id)
+    rest = F.filter(F.split(F.substring(uslm_id, F.length(section) + 2, F.lit(1 << 30)), "/"), lambda x: x != "")
+    depth = F.size(rest)
+    up = F.transform(F.sequence(depth - 1, F.lit(0), F.lit(-1)), lambda k: F.concat_ws("/", section, F.when(k > 0, F.array_join(F.slice(rest, F.lit(1), k), "/"))))
+    none = F.array().cast("array<string>")
+    return F.when(section.isNull() | uslm_id.rlike("/note/[0-9]+$") | (depth < 1), none).otherwise(F.coalesce(up, none))
+
+
+def citation(uslm_id: Column) -> Column:
+    """Readable citation of a node id: ``5a U.S.C. App. 3(b)`` style, with ``note`` for notes; null if it has no section."""
+    t = F.regexp_extract(uslm_id, "/t([0-9]+[a-zA-Z]?)/s([^/]+)", 1)
+    s = F.regexp_extract(uslm_id, "/t([0-9]+[a-zA-Z]?)/s([^/]+)", 2)
+    rest = F.regexp_extract(uslm_id, "/t[0-9]+[a-zA-Z]?/s[^/]+(/.*)?$", 1)
+    app = F.when(t.rlike("[aA]$"), F.concat(F.regexp_replace(t, "[aA]$", ""), F.lit(" U.S.C. App. "))).otherwise(F.concat(t, F.lit(" U.S.C. ")))
+    path = F.when(rest.startswith("/note"), " note").otherwise(F.regexp_replace(rest, "/([^/]+)", "($1)"))
+    return F.when(s != "", F.concat(app, s, path))
+
+
+def newest_law(laws: Column) -> Column:
+    """Largest (congress, number) of an array of ``a``, ``b`` string pairs; null if there is none."""
+    return F.array_max(F.transform(laws, lambda x: F.struct(x["a"].try_cast("int").alias("congress"), x["b"].try_cast("int").alias("number"))))
+
+
+def flatten_references(refs: Column) -> Column:
+    """``cite_refs`` (arrays of string arrays per kind) as distinct (kind, a, b) keys; null gives none."""
+
+    def of(kind: str) -> Column:
+        pairs = F.transform(F.filter(F.coalesce(refs[kind], F.array().cast("array<array<string>>")), lambda x: x.isNotNull()), lambda x: F.struct(F.lit(kind).alias("kind"), F.get(x, F.lit(0)).alias("a"), F.get(x, F.lit(1)).alias("b")))
+        return F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+
+    return F.array_distinct(F.concat(of("usc"), of("plaw"), of("stat")))
+
+
+def end_years(text: Column) -> Column:
+    """Years that a text states as an end bound ("through fiscal year 2023", "until December 31, 2015")."""
+    lead = r"(?i)(?:through|until|ending(?:\s+on|\s+in)?|no\s+later\s+than\s+the\s+end\s+of)\s+"
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(lead + r"(?:the\s+)?(?:end\s+of\s+)?(?:(?:fiscal|calendar)\s+year\s+|FY\s*)?(?:[A-Za-z]+\s+[0-9]{1,2},?\s+)?(19[0-9]{2}|20[0-9]{2})(?![0-9])"), F.lit(1)), lambda y: y.cast("int"))
+
+
+def terminal_year(text: Column) -> Column:
+    """Latest end bound of a text, null if none."""
+    return F.array_max(end_years(text))
+
+
+def deadline_year(text: Column) -> Column:
+    """Latest year from 2000 to 2099 that stands alone in a text, null if none."""
+    return F.array_max(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:^|[^0-9A-Za-z])(20[0-9]{2})(?=$|[^0-9A-Za-z])"), F.lit(1)), lambda y: y.cast("int")))

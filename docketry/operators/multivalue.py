@@ -33,7 +33,7 @@ _BRACKET = r"\((?:[^()]|\([^()]*\))*\)"
 _GAP = rf"(?:[\s{HARD}{SOFT}]+(?:(?:and|or)(?=[\s\"“(])[\s{HARD}{SOFT}]*)?)"
 _NUMBERED = re.compile(r"[^\s]*\d[^\s]*")
 _ROMAN = re.compile(r"(?:[IVXLC]+|[A-Za-z])[.)]?")
-_TOKEN = re.compile(rf"(?P<quote>{_QUOTED})|(?P<bracket>{_BRACKET})|(?P<gap>{_GAP})|(?P<text>.)", re.S)
+_TOKEN = re.compile(rf"(?P<quote>{_QUOTED})|(?P<bracket>{_BRACKET})|(?P<gap>{_GAP})|(?P<text>[^\s{HARD}{SOFT}\"“„«(]+|.)", re.S)
 
 
 @dataclass
@@ -52,10 +52,10 @@ def _gap_class(text: str) -> str:
     return "nl" if re.search(r"[\n\t\r]", text) else "sp" if text else "none"
 
 
-def _shape(token: str) -> str:
-    if token[0] in '"“„«':
+def _shape(token: str, kind: str) -> str:
+    if kind == "quote":
         return '"'
-    if token[0] == "(" and re.search(r"\s", token):
+    if kind == "bracket":
         inner = _GAPS.sub(" ", token)
         return " ".join("#" if re.search(r"\d", w) else w.casefold() for w in inner.split())
     if _NUMBERED.fullmatch(token):
@@ -75,14 +75,14 @@ def read_field(text: str) -> Field:
     def close(end: int) -> None:
         nonlocal start
         if start is not None:
-            add(start, end)
+            add(start, end, "text")
             start = None
 
-    def add(a: int, b: int) -> None:
+    def add(a: int, b: int, kind: str) -> None:
         nonlocal gap_from
         if tokens:
             gaps.append(_gap_class(text[gap_from:a]))
-        tokens.append((a, b, _shape(text[a:b])))
+        tokens.append((a, b, _shape(text[a:b], kind)))
         gap_from = b
 
     for m in _TOKEN.finditer(text):
@@ -91,7 +91,7 @@ def read_field(text: str) -> Field:
             close(a)
         elif kind == "quote" and start is None or kind == "bracket" and re.search(r"\s", m.group()):
             close(a)
-            add(a, b)
+            add(a, b, kind)
         elif start is None:
             start = a
     close(len(text))
@@ -245,7 +245,7 @@ def learn(df: DataFrame, column: str, scratch: Scratch) -> Model:
         # fewer than SHAPES shapes pass, and as many gap contexts; those of a single gap class also count together.
         # A shape of several tokens must be seen a few times, else chance meetings of two values pass for one.
         long = F.col("k").rlike(r"[ (]")
-        enough = F.col("k").startswith("v") & (F.col("e") > total / SHAPES) & (F.col("e") > F.when(long, 2.5).otherwise(0.1))
+        enough = F.col("k").startswith("v") & (F.col("e") > total / SHAPES) & (F.col("e") > F.when(long, 2.5).otherwise(0.5))
         gap = ~F.col("k").startswith("v")
         every = counts.filter(gap).agg(F.sum("e")).first()[0] or 1.0
         kept = counts.filter(enough | (gap & (F.col("e") > every / SHAPES))).collect()
@@ -264,7 +264,7 @@ def learn(df: DataFrame, column: str, scratch: Scratch) -> Model:
 def as_written(text: str) -> str:
     """A value without quotes around the whole, doubled quotes inside made single, blanks squeezed."""
     text = text.strip()
-    if len(text) > 1 and text[0] == '"' and text[-1] == '"':
+    if re.fullmatch(r'"(?:[^"]|"")*"', text):
         text = text[1:-1].replace('""', '"')
     elif len(text) > 1 and (text[0], text[-1]) in (("“", "”"), ("„", "“"), ("„", "”"), ("«", "»")):
         text = text[1:-1]
