@@ -146,6 +146,8 @@ class Canon:
 
     def exact(self, norm: str) -> object | None:
         """The entry whose name or alias covers the words entirely: longest non-overlapping mentions, at most fillers beside."""
+        if not self.names:
+            return None
         text = f" {norm} "
         spans = sorted(((end - len(key) + 1, end, ids) for end, (key, ids) in self.automaton.iter(text)), key=lambda s: (s[0] - s[1], s[0]))
         taken: list[tuple] = []

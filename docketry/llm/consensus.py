@@ -5,7 +5,6 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass
-from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +15,9 @@ from ..runtime import Scratch, skew_join
 PRIOR = (2.0, 1.0)
 #: Annotators with more than this share of the votes are tested for copying; there are fewer than 1 / HEAVY of them.
 HEAVY = 1 / 64
-#: Two annotators count as dependent when their covariance exceeds what their reliabilities explain by this factor,
-#: by this much, and by this many standard errors.
-EXCESS = (1.2, 0.02, 4.0)
+#: Two annotators count as dependent when their covariance exceeds what those with the others explain by a factor, by
+#: this much, and by this many standard errors.
+EXCESS = (1.15, 0.015, 4.0)
 
 
 @dataclass
@@ -98,8 +97,9 @@ def dependent_blocks(combos: DataFrame, heavy: list[str]) -> list[list[str]]:
     """Groups of ``heavy`` annotators (at most 1 / HEAVY) that agree by more than their reliabilities explain.
 
     ``combos`` has distinct vote combinations (``v``: array of annotator and sign) with their number ``n``. Were votes
-    independent given the truth, covariances would be products of one number per annotator; each number is the median
-    over all triples of annotators, which a minority of copying pairs can't move.
+    independent given the truth, covariances would be products of one number per annotator, so for any two others c, d
+    the ratio cov(a, b) cov(c, d) / (cov(a, c) cov(b, d)) would be 1. Its median over all c, d tells how much a and b
+    agree beyond that; others that copy spoil only a minority of the ratios.
     """
     if len(heavy) < 4:
         return []
@@ -116,20 +116,27 @@ def dependent_blocks(combos: DataFrame, heavy: list[str]) -> list[list[str]]:
         err[r["a"], r["b"]] = math.sqrt(max(x * (1 - x) * y * (1 - y), 1e-4) / n)
     factor, much, errors = EXCESS
     group = {a: {a} for a in heavy}
-    while True:  # the clearest pair joins, then the numbers are taken again without it
-        d = {}
-        for a in heavy:
+    sure = {p for p, x in cov.items() if abs(x) > 3 * err[min(p), max(p)]}
+    while True:  # the clearest pair joins, then the ratios are taken again without it
+        clear = []
+        for a, b in sorted(err):
+            if b in group[a] or (a, b) not in sure:
+                continue
+            rest = [h for h in heavy if h not in group[a] and h not in group[b]]
             found = []
-            for b, c in itertools.combinations([h for h in heavy if h not in group[a]], 2):
-                e = err.get((b, c), err.get((c, b), 1.0))
-                if b not in group[c] and abs(cov.get((b, c), 0.0)) > 3 * e and (a, b) in cov and (a, c) in cov:
-                    found.append(cov[a, b] * cov[a, c] / cov[b, c])
-            d[a] = math.sqrt(max(median(found), 0.0)) if found else 0.0
-        excess = {(a, b): abs(cov[a, b]) - d[a] * d[b] for (a, b) in err if b not in group[a]}
-        clear = [p for p, x in excess.items() if x > max(much, errors * err[p]) and abs(cov[p]) > factor * d[p[0]] * d[p[1]]]
+            for c, d in itertools.permutations(rest, 2):
+                if c not in group[d] and {(c, d), (a, c), (b, d)} <= sure:
+                    usual = abs(cov[a, c] * cov[b, d] / cov[c, d])
+                    part = sum((err[min(p), max(p)] / cov[p]) ** 2 for p in ((a, c), (b, d), (c, d)))
+                    found.append((abs(cov[a, b]) / usual, (abs(cov[a, b]) - usual) / math.sqrt(err[a, b] ** 2 + usual**2 * part)))
+            if found:
+                ratio, sigmas = (sorted(x)[len(found) // 2] for x in zip(*found))
+                excess = abs(cov[a, b]) * (1 - 1 / ratio)
+                if ratio > factor and excess > much and sigmas > errors:
+                    clear.append((excess, a, b))
         if not clear:
             break
-        a, b = max(clear, key=lambda p: (excess[p], p))
+        _, a, b = max(clear)
         group[a] |= group[b]
         for x in group[a]:
             group[x] = group[a]

@@ -127,20 +127,22 @@ def canonical_points(cps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
         run = np.cumsum((ccc == 0) | head[:-1])
         order = np.lexsort((ccc, run))
         cps, ccc = cps[order], ccc[order]
-    # composition: a mark right behind its base joins it, until no pair is left
+    # composition: the first mark of a run that makes a letter with its base joins it, if no mark of its own class
+    # stands between; again until no pair is left
     row = np.cumsum(head[:-1])
-    while True:
+    while len(t.pair_keys):
+        base = np.maximum.accumulate(np.where(ccc == 0, np.arange(len(cps)), -1))
         marks = np.flatnonzero(ccc[1:] > 0) + 1
-        marks = marks[(row[marks] == row[marks - 1]) & (ccc[marks - 1] == 0)]
-        if not len(marks) or not len(t.pair_keys):
-            break
-        keys = (cps[marks - 1].astype(np.int64) << 21) | cps[marks].astype(np.int64)
+        marks = marks[(base[marks] >= 0) & ((ccc[marks - 1] == 0) | (ccc[marks - 1] < ccc[marks]))]
+        marks = marks[row[marks] == row[base[marks]]]
+        keys = (cps[base[marks]].astype(np.int64) << 21) | cps[marks].astype(np.int64)
         hit = np.minimum(np.searchsorted(t.pair_keys, keys), len(t.pair_keys) - 1)
-        ok = t.pair_keys[hit] == keys
-        if not ok.any():
+        ok = np.flatnonzero(t.pair_keys[hit] == keys)
+        if not len(ok):
             break
+        ok = ok[np.unique(base[marks[ok]], return_index=True)[1]]
         cps = cps.copy()
-        cps[marks[ok] - 1] = t.pair_to[hit[ok]]
+        cps[base[marks[ok]]] = t.pair_to[hit[ok]]
         keep = np.ones(len(cps), bool)
         keep[marks[ok]] = False
         moved = np.concatenate([[0], np.cumsum(keep)])
