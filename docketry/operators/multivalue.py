@@ -14,6 +14,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +27,14 @@ SHAPES = 20_000
 #: Longest value, in tokens, that may start or end at a soft gap; a run between hard delimiters may be a value at any length.
 LONGEST = 24
 ROUNDS = 6
+#: Longest piece of text whose class is kept for the next time it is met.
+SHORT = 64
 HARD = ";；|•·¦"
 SOFT = ",，、/&"
 _QUOTED = r"\"(?:[^\"]|\"\")*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»"
 _BRACKET = r"\((?:[^()]|\([^()]*\))*\)"
 _GAP = rf"(?:[\s{HARD}{SOFT}]+(?:(?:and|or)(?=[\s\"“(])[\s{HARD}{SOFT}]*)?)"
-_NUMBERED = re.compile(r"[^\s]*\d[^\s]*")
+_NUMBERED = re.compile(r"\D*\d.*", re.S)
 _ROMAN = re.compile(r"(?:[IVXLC]+|[A-Za-z])[.)]?")
 _TOKEN = re.compile(rf"(?P<quote>{_QUOTED})|(?P<bracket>{_BRACKET})|(?P<gap>{_GAP})|(?P<text>[^\s{HARD}{SOFT}\"“„«(]+|.)", re.S)
 
@@ -45,6 +48,11 @@ class Field:
 
 
 def _gap_class(text: str) -> str:
+    return _short_gap(text) if len(text) <= SHORT else _short_gap.__wrapped__(text)
+
+
+@lru_cache(1 << 14)
+def _short_gap(text: str) -> str:
     marks = "".join(sorted({"," if c in ",，、" else ";" if c in ";；" else c for c in text if c in HARD + SOFT}))
     word = "+" if re.search(r"\b(?:and|or)\b", text) else ""
     if marks or word:
@@ -58,11 +66,14 @@ def _shape(token: str, kind: str) -> str:
     if kind == "bracket":
         inner = _GAPS.sub(" ", token)
         return " ".join("#" if re.search(r"\d", w) else w.casefold() for w in inner.split())
+    return _word(token) if len(token) <= SHORT else _word.__wrapped__(token)
+
+
+@lru_cache(1 << 16)
+def _word(token: str) -> str:
     if _NUMBERED.fullmatch(token):
         return "#"
-    if _ROMAN.fullmatch(token):
-        return "@"
-    return token.casefold()
+    return "@" if _ROMAN.fullmatch(token) else token.casefold()
 
 
 _GAPS = re.compile(r"\s+")
@@ -215,7 +226,9 @@ def learn(df: DataFrame, column: str, scratch: Scratch) -> Model:
                         found[_encode(shapes, gaps)] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["chunk", "n"])
 
-    seen = scratch.put(df.select(column).mapInArrow(reduce, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")), "chunks")
+    counts = df.select(column).mapInArrow(reduce, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    # few bytes but much work: as many files as tasks, or every round would run in one
+    seen = scratch.put(counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunks")
     model: Model | None = None
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(None if model is None else (model.value, model.gaps))
