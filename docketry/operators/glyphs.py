@@ -130,3 +130,21 @@ def carry_forward(df: DataFrame, group: list[str], order: list[str], value: Colu
     """Last non-null ``value`` up to each row."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+
+
+def data_pages(chars: DataFrame, title: str) -> DataFrame:
+    """``page, is_rotated``: pages that hold table rows. A page counts when most of its glyphs are rotated and its text,
+    read in order of ``top`` and ``x0``, names the title; upright pages when their first line names it."""
+    p = chars.groupBy("page").agg(
+        (F.sum((~F.col("upright")).cast("long")) / F.count("*")).alias("part"),
+        F.lower(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.round("top", 0).alias("t"), "x0", "text"))), lambda s: s["text"]), ""), "[^A-Za-z]", "")).alias("said"),
+    )
+    wanted = F.lit(re.sub(r"[^a-z]", "", title.lower()))
+    return p.filter(((F.col("part") > 0.5) & F.col("said").contains(wanted)) | ((F.col("part") <= 0.5) & F.col("said").startswith(wanted))).select("page", (F.col("part") > 0.5).alias("is_rotated"))
+
+
+def header_box(chars: DataFrame, header: str) -> DataFrame:
+    """``page, x_from, x_to, bottom``: where the words of a column header stand; rows start below ``bottom``."""
+    want = [w.lower() for w in header.split()]
+    hits = chars.filter(F.lower("text").isin(want))
+    return hits.groupBy("page").agg(F.min("x0").alias("x_from"), F.max("x1").alias("x_to"), F.max("top").alias("bottom"), F.countDistinct(F.lower("text")).alias("_n")).filter(F.col("_n") == len(set(want))).drop("_n")

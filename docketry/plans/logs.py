@@ -20,7 +20,7 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "candidates").select("candidate_id", "mandate_id", "package_id", "stage", "requirement_number", F.lower(F.trim("judge")).alias("judge"), F.lower(F.trim("verdict")).alias("verdict"), "latency_ms", "judged_at", "log_seq")
 
 
-LOG = "l AS (SELECT candidate_id, mandate_id, package_id, stage, lower(trim(judge)) AS judge, lower(trim(verdict)) AS verdict, latency_ms, judged_at, log_seq FROM candidates)"
+LOG = "l AS (SELECT candidate_id, mandate_id, package_id, requirement_number, stage, lower(trim(judge)) AS judge, lower(trim(verdict)) AS verdict, latency_ms, judged_at, log_seq FROM candidates)"
 LAST = f"{LOG}, x AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, judge ORDER BY log_seq DESC) AS rn FROM l), t AS (SELECT * FROM x WHERE rn = 1)"
 
 

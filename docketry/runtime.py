@@ -67,12 +67,32 @@ def ship(spark: SparkSession) -> None:
     sc._docketry_shipped = True
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    """Delete this process's scratch tables when it ends, if Spark still runs."""
+    for spark, root in _roots:
+        try:
+            _delete(spark, root)
+        except Exception:
+            return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage. A lost executor never takes one with it."""
 
     def __init__(self, spark: SparkSession, label: str):
         ship(spark)
+        if not _roots:
+            atexit.register(_sweep)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        _roots.append((spark, self.root))
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a scan of the copy."""
@@ -86,9 +106,7 @@ class Scratch:
         """Delete a table that ``put`` returned and that nothing will read again."""
         path = getattr(df, "_docketry_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
