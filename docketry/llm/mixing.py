@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,11 +20,16 @@ MOST_TARGETS = 100_000
 
 @dataclass
 class Mix:
-    """``usage``: mix, key, source, n_tokens, times_used; ``shares``: one row per target; ``schedule``: slots in order."""
+    """``usage``: mix, key, source, n_tokens, times_used; ``shares``: one row per target; ``schedule``: slots in order,
+    made when it is asked for."""
 
     usage: DataFrame
     shares: DataFrame
-    schedule: DataFrame
+    make_schedule: Callable[[], DataFrame]
+
+    @property
+    def schedule(self) -> DataFrame:
+        return self.make_schedule()
 
 
 def _order(seed: str, key: str) -> Column:
@@ -90,7 +96,7 @@ def mix_sources(texts: DataFrame, key: str, source: str, size: str, targets: lis
         "mix_name", F.col("source").alias("source_name"), "target_share", F.coalesce(F.try_divide(F.col("tokens"), everything), F.lit(0.0)).alias("actual_share"),
         "tokens", "quota", "source_texts", "texts_used", "most_used", "max_repeats",
     )
-    return Mix(usage, shares, _schedule(base, key, rows, sizes, passes, block, scratch))
+    return Mix(usage, shares, lambda: _schedule(base, key, rows, sizes, passes, block, scratch))
 
 
 def _schedule(base: DataFrame, key: str, rows: list[tuple], sizes: dict[str, float], passes: int, block: int, scratch: Scratch) -> DataFrame:
