@@ -9,6 +9,7 @@ from ..functions import citations as C
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators import linkage as J
+from ..operators.search import top_k_overlap
 from ..operators.units import collapse, nearest_ancestor
 from ..runtime import table
 from .catalogue import query
@@ -52,9 +53,8 @@ TOKEN_PAIRS = f"""{FILINGS}, l AS (SELECT package_id, {sql_tokens('title')} AS t
 def q_link_top1(spark: SparkSession, d: str) -> DataFrame:
     """Most similar mandate of each filing by content words; ties go to the smaller id."""
     left, right = _token_sides(spark, d)
-    s = J.token_scores(left, right, "package_id", "mandate_id", "t").withColumn("similarity", F.round("jaccard", ROUND))
-    best = s.groupBy("package_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "mandate_id")).alias("b"))
-    return best.select("package_id", "b.mandate_id", (-F.col("b.s")).alias("similarity"))
+    best = top_k_overlap(left, right, "package_id", "mandate_id", "t", 1, digits=ROUND)
+    return best.select("package_id", "mandate_id", F.col("score").alias("similarity"))
 
 
 @query(f"""WITH {TOKEN_PAIRS}, m AS (SELECT package_id, mandate_id, round(shared / (ln + rn - shared) + shared / greatest(least(ln, rn), 1), {ROUND}) AS score, shared FROM p WHERE shared >= 2),
@@ -62,8 +62,7 @@ def q_link_top1(spark: SparkSession, d: str) -> DataFrame:
 def q_link_topk_score(spark: SparkSession, d: str) -> DataFrame:
     """Twenty best mandates of each filing with two words or more in common: Jaccard plus overlap coefficient."""
     left, right = _token_sides(spark, d)
-    s = J.token_scores(left, right, "package_id", "mandate_id", "t").filter("shared >= 2").withColumn("score", F.round(F.col("jaccard") + F.col("overlap"), ROUND))
-    return J.top_k(s.select("package_id", "mandate_id", "score", "shared"), ["package_id"], [F.desc("score"), F.col("mandate_id")], 20)
+    return top_k_overlap(left, right, "package_id", "mandate_id", "t", 20, score="sum", least=2, digits=ROUND)
 
 
 def _cite_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -165,3 +165,28 @@ def test_vectors(spark):
     assert out[1] == pytest.approx(1.0) and out[2] == 0.0 and out[3] is None and out[4] is None
     assert V.max_cosine(v, "i", "v", ref.limit(0)).filter("cosine is not null").count() == 0
     assert not any(math.isnan(x) for x in out.values() if x is not None)
+
+
+@pytest.mark.parametrize(("score", "least", "block", "cells"), [("jaccard", 1, 20_000, 1 << 24), ("sum", 2, 7, 50)])
+def test_search_is_exact(spark, monkeypatch, score, least, block, cells):
+    import random
+
+    from docketry.operators import search
+
+    monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "CELLS", cells)
+    monkeypatch.setattr(search, "HELD", 60)
+    r = random.Random(6)
+    make = lambda p, n: [(f"{p}{i:03d}", sorted({f"w{int(r.paretovariate(0.7))}" for _ in range(r.randint(0, 8))})) for i in range(n)]
+    a, b = make("q", 40), make("r", 150) + [("rz", None)]
+    got = search.top_k_overlap(spark.createDataFrame(a, "q string, t array<string>"), spark.createDataFrame(b, "r string, t array<string>").repartition(3), "q", "r", "t", 3, score=score, least=least)
+    want = []
+    for q, x in a:
+        found = []
+        for k, y in b:
+            n = len(set(x) & set(y or []))
+            if n >= least:
+                found.append((-round(n / len(set(x) | set(y)) + (n / max(min(len(x), len(y)), 1) if score == "sum" else 0), 6), k, n))
+        want += [(q, k, -s, n, i + 1) for i, (s, k, n) in enumerate(sorted(found)[:3])]
+    assert rows(got) == sorted(want, key=repr)
+    assert search.top_k_overlap(spark.createDataFrame(a, "q string, t array<string>").limit(0), spark.createDataFrame(b, "r string, t array<string>"), "q", "r", "t", 3).count() == 0
