@@ -9,12 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch, skew_join
+from ..runtime import Scratch, hot_keys, skew_join
 
 #: Pseudo-counts behind every reliability: (right, wrong) before any label is seen.
 PRIOR = (2.0, 1.0)
 #: Annotators with more than this share of the votes are tested for copying; there are fewer than 1 / HEAVY of them.
 HEAVY = 1 / 64
+#: Up to this many (annotator, label) rates are broadcast; their number is checked before.
+FEW = 20_000
 #: Two annotators count as dependent when their covariance exceeds what those with the others explain by a factor, by
 #: this much, and by this many standard errors.
 EXCESS = (1.15, 0.015, 4.0)
@@ -163,19 +165,20 @@ def _one_class(edges: DataFrame, item: list[str], cls: str, scratch: Scratch, ro
     joint = flat.filter("block is not null").groupBy("_p", "n", "block").agg(F.array_sort(F.collect_list(F.struct("a", "k"))).alias("m"))
     joint = joint.select("_p", "n", F.concat(F.lit("b:"), F.array_join("m.a", "\x1f")).alias("u"), F.array_join("m.k", "").alias("k"))
     state = scratch.put(single.unionByName(joint).withColumn("uk", F.concat_ws("\x1e", "u", "k")), "units")
+    few = state.select("uk").distinct().limit(FEW + 1).count() <= FEW
+    hot = [] if few else hot_keys(state, "uk")
     votes = flat.groupBy("_p", "n").agg(F.sum("s").alias("p"), F.count("*").alias("c"))
     share = votes.agg(F.sum(F.col("p") * F.col("n")) / F.sum(F.col("c") * F.col("n"))).first()[0] or 0.5
     belief = scratch.put(votes.select("_p", "n", ((F.col("p") + share) / (F.col("c") + 1)).alias("belief"), F.lit(None).cast("double").alias("before")), "belief")
     right, wrong = PRIOR
-    turn = 0
+    turn, prior = 0, belief.agg((F.sum(F.col("belief") * F.col("n")) + 1) / (F.sum("n") + 2)).first()[0] or 0.5
     while turn < rounds:
         turn += 1
-        prior = belief.agg((F.sum(F.col("belief") * F.col("n")) + 1) / (F.sum("n") + 2)).first()[0] or 0.5
-        seen = scratch.put(state.join(belief.select("_p", "belief"), "_p"), "seen")
+        seen = state.join(belief.select("_p", "belief"), "_p")
         sums = seen.groupBy("u", "k", "uk").agg(F.sum(F.col("belief") * F.col("n")).alias("b1"), F.sum((1 - F.col("belief")) * F.col("n")).alias("b0"))
         of_unit = sums.groupBy("u").agg(F.sum("b1").alias("t1"), F.sum("b0").alias("t0"))
         rates = sums.join(of_unit, "u").select("uk", "b1", "b0", "t1", "t0")
-        e = skew_join(seen, rates, "uk", "inner", [])
+        e = seen.join(F.broadcast(rates), "uk") if few else skew_join(seen, rates, "uk", "inner", hot)
         # before any label: an annotator is right more often than not; a combination of votes says nothing
         alone = F.col("u").startswith("a:")
         usual = (F.col("b1") + F.col("b0")) / (F.col("t1") + F.col("t0"))
@@ -189,8 +192,8 @@ def _one_class(edges: DataFrame, item: list[str], cls: str, scratch: Scratch, ro
         log_odds = F.lit(math.log(prior / (1 - prior))) + F.sum("y")
         after = answers.groupBy("_p", "n").agg((1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), log_odds))))).alias("belief"), F.first("belief").alias("before"))
         after = scratch.put(after, "belief")
-        moved = after.agg(F.max(F.abs(F.col("belief") - F.col("before")))).first()[0] or 0.0
-        scratch.drop(seen)
+        moved, prior = after.agg(F.max(F.abs(F.col("belief") - F.col("before"))), (F.sum(F.col("belief") * F.col("n")) + 1) / (F.sum("n") + 2)).first()
+        moved, prior = moved or 0.0, prior or 0.5
         scratch.drop(belief)
         belief = after
         if moved < tolerance:
