@@ -66,3 +66,11 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_job_entry(spark, tmp_path, capsys):
+    from docketry.__main__ import main
+
+    assert main(["list"]) == 0 and "q_link_top1" in capsys.readouterr().out
+    assert main(["nothing"]) == 2
+    assert main(["q_scope_funnel", SMALL, str(tmp_path / "o"), "csv"]) == 0 and spark.read.option("header", True).csv(str(tmp_path / "o")).count() > 0
