@@ -270,6 +270,6 @@ def map_values(df: DataFrame, value: str, entries: DataFrame, entry_id: str, nam
 
     ids = to_arrow_type(kind)
     schema = StructType([StructField("_v", StringType()), StructField(out, kind), StructField("how", StringType())])
-    base = df.drop(out, "how").withColumn("_v", F.col(value))
+    base = df.withColumn("_v", F.col(value)).drop(out, "how")
     mapped = base.filter(F.col("_v").isNotNull()).select("_v").distinct().mapInArrow(find, schema)
     return skew_join(base, mapped, "_v").drop("_v").withColumn("how", F.coalesce("how", F.lit("none")))

@@ -41,18 +41,22 @@ def assign_splits(records: DataFrame, id_col: str, keys: list[str], targets: dic
     one by one where most is missing, the others by their position among components of the same ``balance`` profile.
     Null and empty key values link nothing; a record without keys is a component of its own and is not persisted.
     Records sharing only a key that holds a third of all rows are fine: keys are pre-aggregated, and the lookup
-    treats hot keys apart. Repeated ids get the split of each row's own keys. Empty input gives empty output.
+    treats hot keys apart. Repeated ids get the split of each row's own keys; rows without id and keys form one
+    component. Columns named like those added here are replaced. Empty input gives empty output.
     """
     balance = balance or []
     total_weight = sum(targets.values())
     shares = {k: v / total_weight for k, v in targets.items()}
     tagged = [F.when(F.coalesce(F.trim(F.col(k)), F.lit("")) != "", F.concat(F.lit(f"{i}:"), F.trim(F.col(k)))) for i, k in enumerate(keys)]
+    # the batch's columns travel as one struct, so none can clash with those made here
+    carried = [c for c in records.columns if c not in ("component", "component_n", "split", "status")]
     batch = scratch.put(
-        records.withColumn("_keys", F.array_sort(F.array_distinct(F.array_compact(F.array(*tagged)))))
-        .withColumn("_key", F.coalesce(F.get("_keys", F.lit(0)), F.concat(F.lit("r:"), F.col(id_col).cast("string"))))
-        .withColumn("_profile", _profile(balance)),
+        records.select(
+            F.struct(*[F.col(f"`{c}`") for c in carried]).alias("_row"), F.array_sort(F.array_distinct(F.array_compact(F.array(*tagged)))).alias("_keys"),
+            F.concat(F.lit("r:"), F.col(id_col).cast("string")).alias("_own"), _profile(balance).alias("_profile"),
+        ).withColumn("_key", F.coalesce(F.get("_keys", F.lit(0)), "_own", F.lit("r:"))),
         "batch",
-    )
+    )
     state = scratch.spark.createDataFrame([], KEYS) if state is None else state
     # keys of the batch and links between the keys of one record, both pre-aggregated
     counts = batch.groupBy("_key", "_profile").agg(F.count("*").alias("n"))
@@ -75,14 +79,14 @@ def assign_splits(records: DataFrame, id_col: str, keys: list[str], targets: dic
         .select("component", F.when(F.size("splits") == 1, F.get("splits", F.lit(0))).otherwise(F.lit(QUARANTINE)).alias("split"), "had"),
         "kept",
     )
-    size = fresh.groupBy("component").agg(F.sum("n").alias("n"), F.max_by("_profile", F.struct("n", "_profile")).alias("profile"))
+    size = fresh.groupBy("component").agg(F.sum("n").alias("n"), F.coalesce(F.max_by("_profile", F.struct("n", "_profile")), F.lit("")).alias("profile"))
     new = scratch.put(size.join(kept.select("component"), "component", "left_anti"), "new")
     placed = scratch.put(_fill(new, fresh, kept, size, shares, scratch), "placed")
     where = scratch.put(kept.select("component", "split").unionByName(placed), "where")
     status = F.when(F.col("split") == QUARANTINE, "quarantined").otherwise("assigned").alias("status")
     sizes = fresh.select("component", "n").unionByName(moved.select("component", "n")).groupBy("component").agg(F.sum("n").alias("component_n"))
     key_table = scratch.put(fresh.select("key", "component").distinct().join(where, "component").join(sizes, "component"), "keys")
-    out = skew_join(batch.withColumnRenamed("_key", "key"), key_table, "key").select(*[F.col(c) for c in records.columns], F.col("component"), F.col("component_n"), F.col("split"), status)
+    out = skew_join(batch.withColumnRenamed("_key", "key"), key_table, "key").select("_row.*", "component", "component_n", "split", status)
     old_keys = moved.select("key", "component", F.col("n").alias("had"))
     new_keys = fresh.filter(~F.col("key").startswith("r:")).groupBy("key", "component").agg(F.sum("n").alias("got"))
     after = old_keys.join(new_keys, ["key", "component"], "full").join(where, "component").select("key", "component", (F.coalesce("had", F.lit(0)) + F.coalesce("got", F.lit(0))).alias("n"), "split", status)

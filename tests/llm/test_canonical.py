@@ -32,6 +32,12 @@ def test_table(spark):
     assert K.map_values(d, "v", entries.limit(0), "id", "name", ["short"]).filter("entry_id is not null").count() == 0
 
 
+def test_value_column_named_like_the_answer(spark):
+    entries = spark.createDataFrame([(i, n) for i, n, _ in LIST], "id long, name string")
+    out = K.map_values(spark.createDataFrame([("park commission",), ("x",)], "how string"), "how", entries, "id", "name", [], out="id")
+    assert sorted((r["id"] or 0, r["how"]) for r in out.collect()) == [(0, "none"), (2, "exact")]
+
+
 def test_bound_is_checked(spark, monkeypatch):
     monkeypatch.setattr(K, "MOST_ENTRIES", 3)
     with pytest.raises(ValueError):

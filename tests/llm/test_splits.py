@@ -35,7 +35,7 @@ def test_components_match_brute_force(spark, scratch):
 def test_shared_keys_share_splits(spark, scratch):
     r = random.Random(1)
     rows = [(i, r.choice([f"s{r.randint(0, 400)}", None, "hot", " "]), r.choice([f"a{r.randint(0, 900)}", None]), r.choice("xyz")) for i in range(3000)]
-    df = spark.createDataFrame(rows, "id int, source string, author string, split string").withColumnRenamed("split", "kind")
+    df = spark.createDataFrame(rows, "id int, source string, author string, kind string")
     out = assign_splits(df, "id", ["source", "author"], TARGETS, scratch, balance=["kind"])
     got = out.records.collect()
     assert len(got) == 3000 and {x["split"] for x in got} == set(TARGETS) and {x["status"] for x in got} == {"assigned"}
@@ -99,3 +99,11 @@ def test_odd_records(spark, scratch):
 def test_sections(spark):
     d = spark.createDataFrame([(1, "/us/usc/t5/s1/a", "x", True), (2, "5 U.S.C. 1 note", "x", True), (3, None, None, None)], "gold_id long, uslm_id string, stratum string, gold_congressional boolean")
     assert [r["section_id"] for r in section_records(d).orderBy("gold_id").collect()] == ["/us/usc/t5/s1", "/us/usc/t5/s1", None]
+
+
+def test_clashing_columns(spark, scratch):
+    df = spark.createDataFrame([(i, f"k{i % 9}", "a", "b", i, "c", "d") for i in range(90)] + [(None, None, None, None, None, None, None)], "id int, key string, split string, component string, n int, _key string, status string")
+    out = assign_splits(df, "id", ["key"], TARGETS, scratch, balance=["split"]).records
+    assert out.columns == ["id", "key", "n", "_key", "component", "component_n", "split", "status"]
+    assert out.count() == 91 and out.filter("id = 3 and _key = 'c' and n = 3").count() == 1
+    assert out.filter("key is not null").select("key", "split").distinct().count() == 9
