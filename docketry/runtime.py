@@ -137,6 +137,21 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", ho
     return far.unionByName(near)
 
 
+def fan_join(left: DataFrame, right: DataFrame, key: str, hot: list, parts: int = 64) -> DataFrame:
+    """Inner join of ``left`` with a ``right`` that may have very many rows of the ``hot`` keys (a bounded list).
+
+    Right rows of a hot key are dealt to ``parts`` salts and the left rows of it repeated for each, so no task gets them
+    all; other keys have the one salt 0. Null keys match nothing.
+    """
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    rest = F.xxhash64(*[c for c in right.columns if c != key]) if len(right.columns) > 1 else F.lit(0).cast("long")
+    dealt = right.withColumn("_salt", F.when(is_hot, F.pmod(rest, F.lit(parts))).otherwise(F.lit(0)).cast("int"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("_salt", F.explode(salts)).join(dealt, [key, "_salt"]).drop("_salt")
+
+
 def spread(df: DataFrame, keys: list[str], order: Column, tie: Column, weight: Column | None = None, rows: int | None = None, rank: str = "rank", total: str = "group_total") -> DataFrame:
     """Add each row's position in its group, and the group's total, without collecting a group into one task.
 

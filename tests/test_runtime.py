@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from docketry.runtime import hot_keys, shared_dir, skew_join, spread
+from docketry.runtime import fan_join, hot_keys, shared_dir, skew_join, spread
 
 
 def test_shared_dir_is_stable(spark):
@@ -32,3 +32,11 @@ def test_spread_ranks_without_gaps_and_sums_weights(spark):
 
 def test_spread_of_nothing(spark):
     assert spread(spark.range(0).withColumn("g", F.lit(1)), ["g"], F.xxhash64("id"), F.col("id")).count() == 0
+
+
+def test_fan_join_is_a_join(spark):
+    left = spark.createDataFrame([("h", 1), ("h", 2), ("c", 3), (None, 4), ("z", 5)], "k string, l int")
+    right = spark.range(300).select(F.when(F.col("id") < 290, "h").when(F.col("id") < 295, "c").alias("k"), F.col("id").alias("r"))
+    out = fan_join(left, right, "k", ["h"], parts=7)
+    assert out.columns == ["k", "l", "r"] and out.count() == 290 * 2 + 5 == out.distinct().count()
+    assert fan_join(left, right, "k", []).count() == 585
