@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import HOT_SHARE, fan_join, skew_join
+
 #: Characters that leave no trace on the page, beside the tag characters and variation selectors.
 INVISIBLE = "\u00AD\u034F\u061C\u115F\u1160\u17B4\u17B5\u180B\u180C\u180D\u180E\u200B\u200C\u200D\u200E\u200F\u202A\u202B\u202C\u202D\u202E\u2060\u2061\u2062\u2063\u2064\u2065\u2066\u2067\u2068\u2069\u206A\u206B\u206C\u206D\u206E\u206F\u3164\uFEFF\uFFA0"
 #: Blanks of other widths.
@@ -202,16 +204,13 @@ def canonicalize(df: DataFrame, text: str = "text", out: str = "canonical") -> D
     return df.mapInArrow(run, schema)
 
 
-def alike_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per record: ``key``, ``group_id`` (smallest key of the records that look the same), ``variant``
-    (digest of the exact text), ``variants`` in the group and ``members`` of it. Null texts are left out.
+def alike_forms(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, form, variant``: digests of the canonical form and of the exact text. Null texts are left out.
 
-    Texts travel as 128-bit-or-longer digests only, so no shuffle moves whole texts.
+    Texts travel as 128-bit digests only, so no shuffle moves whole texts.
     """
-    forms = canonicalize(df.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_t")), "_t", "_c").select(
-        key, F.unhex(F.sha2("_c", 256)).alias("form"), F.unhex(F.sha2("_t", 256)).alias("variant")
-    )
-    return forms
+    d = canonicalize(df.filter(F.col(text).isNotNull()).select(F.col(key), F.col(text).alias("_t")), "_t", "_c")
+    return d.select(key, F.md5("_c").alias("form"), F.md5("_t").alias("variant"))
 
 
 def alike_pairs(df: DataFrame, scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -220,13 +219,18 @@ def alike_pairs(df: DataFrame, scratch, key: str = "doc_id", text: str = "text")
     Works on groups of exact copies first: only groups with two or more variants survive, pairs are formed between
     variants and expanded to members last, so equal copies are never compared with each other.
     """
-    forms = scratch.put(alike_groups(df, key, text), "forms")
-    variants = forms.groupBy("form", "variant").agg(F.count("*").alias("n"))
-    many = variants.groupBy("form").agg(F.count("*").alias("v")).filter("v > 1").select("form")
-    kept = scratch.put(forms.join(many, "form", "left_semi"), "kept")
-    a = kept.select("form", F.col("variant").alias("va")).distinct()
-    b = kept.select("form", F.col("variant").alias("vb")).distinct()
+    forms = scratch.put(alike_forms(df, key, text), "forms")
+    variants = scratch.put(forms.groupBy("form", "variant").agg(F.count("*").alias("n")), "variants")
+    total = variants.agg(F.sum("n")).first()[0] or 0
+    sizes = variants.groupBy("form").agg(F.count("*").alias("v"), F.sum("n").alias("n"))
+    hot = lambda d, c: [r[0] for r in d.filter(F.col("n") > max(1, total * HOT_SHARE)).select(c).collect()]  # noqa: E731  at most 1 / HOT_SHARE
+    many = sizes.filter("v > 1").select("form")
+    kept = scratch.put(skew_join(forms, many, "form", "left_semi", hot(sizes, "form")), "kept")
+    some = variants.join(many, "form", "left_semi")
+    a, b = some.select("form", F.col("variant").alias("va")), some.select("form", F.col("variant").alias("vb"))
     pairs = a.join(b, "form").filter("va < vb").select("va", "vb")
     x = kept.select(F.col("variant").alias("va"), F.col(key).alias("_x"))
     y = kept.select(F.col("variant").alias("vb"), F.col(key).alias("_y"))
-    return pairs.join(x, "va").join(y, "vb").select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b"))
+    often = hot(variants, "variant")
+    both = fan_join(fan_join(pairs, x, "va", often), y, "vb", often)
+    return both.select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import Scratch
+from ..runtime import HOT_SHARE, Scratch, fan_join, skew_join
 from .components import components
 
 #: Most words whose frequency is broadcast. A word is listed when it holds more than 1 / LISTED of all word
@@ -36,12 +36,19 @@ def copy_classes(records: DataFrame, key: str, words: Column, scratch: Scratch)
 
     ``class_id`` is a number valid for this run. Empty word sets have no similarity and are left out.
     """
-    sets = scratch.put(records.select(key, words.alias("words")).filter(F.size("words") > 0).withColumn("digest", F.unhex(F.md5(F.array_join(F.col("words").cast("array<string>"), ",")))), "sets")
+    sets = scratch.put(records.select(key, words.alias("words")).filter(F.size("words") > 0).withColumn("digest", F.md5(F.array_join(F.col("words").cast("array<string>"), ","))), "sets")
     classes = scratch.put(sets.groupBy("digest").agg(F.first("words").alias("words"), F.count("*").alias("n")).withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    members = scratch.put(sets.select(key, "digest").join(classes.select("digest", "class_id"), "digest").select("class_id", key), "members")
+    hot = [r[0] for r in _hot(classes, "digest")]
+    members = scratch.put(skew_join(sets.select(key, "digest"), classes.select("digest", "class_id"), "digest", "inner", hot).select("class_id", key), "members")
     return classes.select("class_id", "words", "n"), members
 
 
+def _hot(classes: DataFrame, column: str) -> list:
+    """Classes with more than ``HOT_SHARE`` of the records: at most 1 / HOT_SHARE."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return classes.filter(F.col("n") > max(1, total * HOT_SHARE)).select(column).collect()
+
+
 def _pairs_in_tiles(tile: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i, j) of one tile, i left and j right, with size i <= size j <= size i / t; rows sorted by tile, size."""
     n = len(tile)
@@ -224,11 +231,13 @@ def near_duplicate_pairs(records: DataFrame, key: str, words: Column, t: float,
     """``<key>_a < <key>_b`` for every pair of records with similarity at least ``t``, copies included."""
     classes, members = copy_classes(records, key, words, scratch)
     links = similar_classes(classes, t, scratch)
+    hot = [r[0] for r in _hot(classes, "class_id")]
     x, y = members.select(F.col("class_id").alias("a"), F.col(key).alias("_x")), members.select(F.col("class_id").alias("b"), F.col(key).alias("_y"))
     several = classes.filter("n > 1").select("class_id")
-    copies = members.join(several, "class_id", "left_semi")
-    within = copies.select("class_id", F.col(key).alias("_x")).join(copies.select("class_id", F.col(key).alias("_y")), "class_id").filter("_x < _y").select("_x", "_y")
-    across = links.select("a", "b").join(x, "a").join(y, "b").select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
+    copies = scratch.put(skew_join(members, several, "class_id", "left_semi", hot), "copies")
+    left, right = copies.select("class_id", F.col(key).alias("_x")), copies.select("class_id", F.col(key).alias("_y"))
+    within = fan_join(left, right, "class_id", hot).filter("_x < _y").select("_x", "_y")
+    across = fan_join(fan_join(links.select("a", "b"), x, "a", hot), y, "b", hot).select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
     return within.union(across).select(F.col("_x").alias(f"{key}_a"), F.col("_y").alias(f"{key}_b"))
 
 
@@ -244,4 +253,4 @@ def near_duplicate_groups(records: DataFrame, key: str, words: Column, t: float,
     of = scratch.put(of, "of")
     group = of.groupBy("root").agg(F.min("rep").alias("group_id"))
     of = of.join(group, "root").select("class_id", F.col("rep"), F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), "group_id")
-    return members.join(of, "class_id").select(key, F.col("rep").alias("class_id"), "copies", "links", "group_id")
+    return skew_join(members, of, "class_id", "inner", [r[0] for r in _hot(classes, "class_id")]).select(key, F.col("rep").alias("class_id"), "copies", "links", "group_id")
