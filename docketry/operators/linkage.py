@@ -55,15 +55,18 @@ def prefer(df: DataFrame, group: list[str], flag: Column, order: list[Column]) -
     return d.filter((F.col("_f") == 1) | ((F.coalesce(F.col("_any"), F.lit(0)) == 0) & (F.col("_rn") == 1))).drop("_f", "_any", "_rn")
 
 
-def blocked(left: DataFrame, right: DataFrame, block: str, everywhere: Column) -> DataFrame:
+def blocked(left: DataFrame, right: DataFrame, block: str, everywhere: Column, parts: int = 64) -> DataFrame:
     """Pairs of equal non-null ``block`` plus every left row with the right rows that belong everywhere.
 
-    The latter are met through their distinct block value as a constant key rather than an OR in the join condition,
-    which would force a nested loop; a right row belongs to exactly one of the two parts, so no pair comes twice.
+    ``left`` is a stated query set. The right rows that belong everywhere are dealt to ``parts`` blocks, each of which
+    meets the query set in a task of its own; an OR in the join condition would force a nested loop instead. A right
+    row belongs to exactly one of the two parts, so no pair comes twice.
     """
-    own = left.join(right.filter(~everywhere), block)
-    wide = right.filter(everywhere).drop(block).withColumn("_all", F.lit(1))
-    return own.drop(block).unionByName(left.withColumn("_all", F.lit(1)).join(wide, "_all").drop("_all", block))
+    own = left.join(right.filter(~everywhere), block).drop(block)
+    names = [c for c in right.columns if c != block]
+    wide = right.filter(everywhere).drop(block).withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int"))
+    every = left.drop(block).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return own.unionByName(every.join(wide, "_part").drop("_part"))
 
 
 def all_of(items: DataFrame, key: str, ok: Column) -> DataFrame:
