@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import jaccard, overlap_coefficient
+
 #: Queries per block: what is broadcast at a time.
 BLOCK = 20_000
 #: Cells of the overlap matrix held at a time, and candidates kept before they are cut to the best.
@@ -99,3 +101,27 @@ def top_k_overlap(queries: DataFrame, rows: DataFrame, query_id: str, row_id: st
 
     best = top_k(out, ["q"], [F.desc("score"), F.col("r")], k)
     return best.select(F.col("q").alias(query_id), F.col("r").alias(row_id), "score", "shared", "rank")
+
+
+def top_k_united(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, tokens: str, keys: str, k: int, least: int = 2, weight: float = 2.0, digits: int = 6) -> DataFrame:
+    """``query_id, row_id, score, hits, shared, rank``: the ``k`` best rows of every query by shared ``keys`` and tokens.
+
+    A row counts if it shares a key or ``least`` tokens; ``score`` is ``weight`` per shared key plus Jaccard plus overlap
+    coefficient of the token sets (two empty sets have Jaccard 1). Ties go to the smaller id; ids are unique.
+
+    Pairs that share a key are met by an equi-join and scored whole. The others come from ``top_k_overlap``: a pair without
+    a key that isn't among its ``k`` best has ``k`` rows above it, and keys only raise those, so none is lost. A pair found
+    both ways keeps the score with its keys.
+    """
+    from .linkage import shared_keys, top_k
+
+    x, y = queries.select(query_id, F.col(tokens).alias("_x")), rows.select(row_id, F.col(tokens).alias("_y"))
+    none = F.array().cast("array<string>")
+    d = shared_keys(queries, rows, query_id, row_id, keys).withColumnRenamed("shared", "hits").join(x, query_id).join(y, row_id)
+    d = d.withColumn("_x", F.coalesce("_x", none)).withColumn("_y", F.coalesce("_y", none)).withColumn("shared", F.size(F.array_intersect("_x", "_y")).cast("long"))
+    value = weight * F.col("hits") + jaccard(F.col("_x"), F.col("_y")) + overlap_coefficient(F.col("shared"), F.size("_x"), F.size("_y"))
+    by_key = d.select(query_id, row_id, F.round(value, digits).alias("score"), "hits", "shared")
+    by_word = top_k_overlap(queries, rows, query_id, row_id, tokens, k, score="sum", least=least, digits=digits)
+    by_word = by_word.select(query_id, row_id, "score", F.lit(0).cast("long").alias("hits"), "shared")
+    best = by_key.unionByName(by_word).groupBy(query_id, row_id).agg(F.max(F.struct("score", "hits", "shared")).alias("_b")).select(query_id, row_id, "_b.*")
+    return top_k(best, [query_id], [F.desc("score"), F.col(row_id)], k)

@@ -9,7 +9,7 @@ from ..functions import citations as C
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators import linkage as J
-from ..operators.search import top_k_overlap
+from ..operators.search import top_k_overlap, top_k_united
 from ..operators.units import collapse, nearest_ancestor
 from ..runtime import table
 from .catalogue import query
@@ -60,7 +60,8 @@ def q_link_top1(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {TOKEN_PAIRS}, m AS (SELECT package_id, mandate_id, round(shared / (ln + rn - shared) + shared / greatest(least(ln, rn), 1), {ROUND}) AS score, shared FROM p WHERE shared >= 2),
     s AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY score DESC, mandate_id) AS rank FROM m) SELECT package_id, mandate_id, score, shared, CAST(rank AS INT) AS rank FROM s WHERE rank <= 20""")
 def q_link_topk_score(spark: SparkSession, d: str) -> DataFrame:
-    """Twenty best mandates of each filing with two words or more in common: Jaccard plus overlap coefficient."""
+    """Twenty best mandates of each filing with two words or more in common: Jaccard plus overlap coefficient. Words only;
+    ``q_link_candidates`` is the search by citations and words."""
     left, right = _token_sides(spark, d)
     return top_k_overlap(left, right, "package_id", "mandate_id", "t", 20, score="sum", least=2, digits=ROUND)
 
@@ -92,6 +93,29 @@ def q_cite_overlap(spark: SparkSession, d: str) -> DataFrame:
     return J.shared_citations(left, right, "package_id", "mandate_id", "keys")
 
 
+def _title_keys(kind: str, pattern: str) -> str:
+    return f"SELECT package_id, '{kind}' AS kind, unnest({sql_keys('title', pattern)}) AS k FROM f WHERE {EVERY}"
+
+
+@query(f"""WITH {FILINGS}, l AS (SELECT package_id, {sql_tokens('title')} AS x FROM f WHERE {EVERY}), r AS (SELECT mandate_id, {sql_tokens('nature_of_report')} AS y FROM report),
+    lk AS (SELECT DISTINCT * FROM ({_refs('usc')} UNION ALL {_refs('plaw')} UNION ALL {_refs('stat')} UNION ALL {_title_keys('usc', C.USC)} UNION ALL {_title_keys('plaw', C.PLAW)} UNION ALL {_title_keys('stat', C.STAT)})),
+    rk AS ({_cites('usc', C.USC)} UNION ALL {_cites('plaw', C.PLAW)} UNION ALL {_cites('stat', C.STAT)}),
+    lt AS (SELECT package_id, unnest(x) AS k FROM l), rt AS (SELECT mandate_id, unnest(y) AS k FROM r),
+    u AS (SELECT package_id, mandate_id, count(*) AS hits FROM lk JOIN rk USING (kind, k) GROUP BY 1, 2 UNION ALL SELECT package_id, mandate_id, 0 FROM lt JOIN rt USING (k) GROUP BY 1, 2 HAVING count(*) >= 2),
+    c AS (SELECT package_id, mandate_id, CAST(max(hits) AS BIGINT) AS hits FROM u GROUP BY 1, 2),
+    n AS (SELECT package_id, mandate_id, hits, len(x) AS ln, len(y) AS rn, len(list_intersect(x, y)) AS shared FROM c JOIN l USING (package_id) JOIN r USING (mandate_id)),
+    m AS (SELECT package_id, mandate_id, round(2 * hits + shared / greatest(least(ln, rn), 1) + CASE WHEN ln + rn = 0 THEN 1.0 ELSE shared / (ln + rn - shared) END, {ROUND}) AS score, hits, shared FROM n),
+    s AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY score DESC, mandate_id) AS rank FROM m) SELECT package_id, mandate_id, score, hits, shared, CAST(rank AS INT) AS rank FROM s WHERE rank <= 20""")
+def q_link_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty best mandates of each filing with a citation or two words in common: two for each citation, in the references
+    or the title, plus Jaccard plus overlap coefficient of the words."""
+    keys = lambda c: F.concat(*[F.transform(c[k], lambda x: F.struct(F.lit(k).alias("kind"), x["a"].alias("a"), x["b"].alias("b"))) for k in ("usc", "plaw", "stat")])
+    named = F.concat(C.flatten_references(F.col("cite_refs")), keys(C.parse_citations(F.col("title"))))
+    left = filings(spark, d).filter(every_20th(F.col("package_id"))).select("package_id", X.token_set(F.col("title")).alias("t"), named.alias("keys"))
+    right = table(spark, d, "report").select("mandate_id", X.token_set(F.col("nature_of_report")).alias("t"), keys(C.parse_citations(F.col("authority"))).alias("keys"))
+    return top_k_united(left, right, "package_id", "mandate_id", "t", "keys", 20, digits=ROUND)
+
+
 B1 = """CASE WHEN k >= 2 AND a THEN CASE WHEN t >= 0.15 THEN 'confident' ELSE 'candidate' END WHEN k >= 2 AND m THEN 'candidate' WHEN k >= 1 AND (a OR m) AND NOT law_only THEN 'candidate'
     WHEN law_only AND (a OR m) AND t >= 0.25 THEN 'candidate' WHEN k >= 1 AND NOT law_only AND t >= 0.15 THEN 'candidate' ELSE 'none' END"""
 

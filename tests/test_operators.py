@@ -190,3 +190,28 @@ def test_search_is_exact(spark, monkeypatch, score, least, block, cells):
         want += [(q, k, -s, n, i + 1) for i, (s, k, n) in enumerate(sorted(found)[:3])]
     assert rows(got) == sorted(want, key=repr)
     assert search.top_k_overlap(spark.createDataFrame(a, "q string, t array<string>").limit(0), spark.createDataFrame(b, "r string, t array<string>"), "q", "r", "t", 3).count() == 0
+
+
+def test_united_search_keeps_pairs_that_share_only_a_key(spark):
+    import random
+
+    from docketry.operators import search
+
+    r = random.Random(9)
+    make = lambda p, n: [(f"{p}{i:03d}", sorted({f"w{int(r.paretovariate(0.7))}" for _ in range(r.randint(0, 6))}), sorted({f"c{r.randint(0, 40)}" for _ in range(r.randint(0, 3))})) for i in range(n)]
+    a, b = make("q", 30), make("r", 120)
+    a, b = a + [("qz", [], ["c99"])], b + [("rz", [], ["c99"]), ("ry", ["w1"], ["c99"]), ("rx", None, None)]
+    schema = "%s string, t array<string>, keys array<string>"
+    got = search.top_k_united(spark.createDataFrame(a, schema % "q"), spark.createDataFrame(b, schema % "r").repartition(3), "q", "r", "t", "keys", 4)
+    want = []
+    for q, x, c in a:
+        found = []
+        for k, y, e in b:
+            x, y = set(x), set(y or [])
+            hits, n = len(set(c) & set(e or [])), len(x & y)
+            if hits or n >= 2:
+                jaccard = n / len(x | y) if x or y else 1.0
+                found.append((-round(2 * hits + n / (min(len(x), len(y)) or 1) + jaccard, 6), k, hits, n))
+        want += [(q, k, -s, h, n, i + 1) for i, (s, k, h, n) in enumerate(sorted(found)[:4])]
+    assert rows(got.select("q", "r", "score", "hits", "shared", "rank")) == sorted(want, key=repr)
+    assert any(h and n < 2 for _, _, _, h, n, _ in want)
