@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,16 +19,12 @@ MOST_TARGETS = 100_000
 
 @dataclass
 class Mix:
-    """``usage``: mix, key, source, n_tokens, times_used; ``shares``: one row per target; ``schedule``: slots in order,
-    made when it is asked for."""
+    """``schedule``: texts in the order of the slots; ``usage``: mix, key, source, n_tokens, times_used, counted from the
+    schedule; ``shares``: one row per target, summed from the usage."""
 
     usage: DataFrame
     shares: DataFrame
-    make_schedule: Callable[[], DataFrame]
-
-    @property
-    def schedule(self) -> DataFrame:
-        return self.make_schedule()
+    schedule: DataFrame
 
 
 def _order(seed: str, key: str) -> Column:
@@ -48,7 +43,9 @@ def mix_sources(texts: DataFrame, key: str, source: str, size: str, targets: lis
 
     The schedule cuts each source's stream into blocks of ``block`` tokens and lays slots 0, 1, 2, ... at golden-ratio
     points; the source whose cumulative weight holds the point gets the slot, and its k-th slot takes its k-th block.
-    So every prefix of the mix has shares close to the whole. Both streams and slots are ranked by bucketed prefix
+    So every prefix of the mix has shares close to the whole. Blocks of a source that got too few of the slots (a small
+    weight, or others held at their caps) follow behind the last slot, spaced by the weights, so every block is placed
+    once. Usage and shares are counted from the schedule. Both streams and slots are ranked by bucketed prefix
     sums: no source is collected into one task. Null sources belong to no mix, texts of no tokens are used 0 times,
     repeated keys count as texts of their own; a mix without usable source has size 0.
     """
@@ -74,19 +71,11 @@ def mix_sources(texts: DataFrame, key: str, source: str, size: str, targets: lis
             rows.append((mix, s, w, r, w / sum(x[1] for x in own), w / whole if on else 0.0, t, n, quota, quota // t if t else 0, quota % t if t else 0))
     plan = spark.createDataFrame(rows, "mix_name string, source string, weight double, max_repeats int, target_share double, live_share double, source_tokens long, source_texts long, quota long, full long, rest long")
     passes = max((r[9] for r in rows), default=0) + 1  # at most the largest max_repeats + 1
-    # position of every text in each pass that some mix cuts short; orders depend on the pass only
-    cut = sorted({(r[1], r[9]) for r in rows if r[10] > 0})
-    at = None
-    for p in sorted({p for _, p in cut}):
-        some = base.filter(F.col("source").isin([s for s, q in cut if q == p]))
-        one = spread(some, ["source"], _order(f"pass {p}", key), F.col(key), F.col("n_tokens"), rank="start").select(key, "source", "n_tokens", "start", F.lit(p).cast("long").alias("full"))
-        at = one if at is None else at.unionByName(one)
+    schedule = scratch.put(_schedule(base, key, rows, sizes, passes, block, scratch), "schedule")
     b = F.broadcast(plan)  # no more rows than targets, checked above
-    used = base.join(b.select("mix_name", "source", "full"), "source").select("mix_name", key, "source", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("full")).otherwise(0).alias("times"))
-    if at is not None:
-        more = at.join(b.select("mix_name", "source", "full", "rest"), ["source", "full"]).filter("start < rest and n_tokens > 0").select("mix_name", key, "source", "n_tokens", F.lit(1).cast("long").alias("times"))
-        used = used.unionByName(more)
-    usage = scratch.put(used.groupBy("mix_name", key, "source", "n_tokens").agg(F.sum("times").alias("times_used")), "usage")
+    unused = base.join(b.select("mix_name", "source"), "source").select("mix_name", key, "source", "n_tokens", F.lit(0).cast("long").alias("times"))
+    used = schedule.select("mix_name", key, "source", "n_tokens", F.lit(1).cast("long").alias("times"))
+    usage = unused.unionByName(used).groupBy("mix_name", key, "source", "n_tokens").agg(F.sum("times").alias("times_used"))
     reached = usage.groupBy("mix_name", "source").agg(
         F.sum(F.col("n_tokens") * F.col("times_used")).alias("tokens"), F.sum((F.col("times_used") > 0).cast("long")).alias("texts_used"), F.max("times_used").alias("most_used")
     )
@@ -96,7 +85,7 @@ def mix_sources(texts: DataFrame, key: str, source: str, size: str, targets: lis
         "mix_name", F.col("source").alias("source_name"), "target_share", F.coalesce(F.try_divide(F.col("tokens"), everything), F.lit(0.0)).alias("actual_share"),
         "tokens", "quota", "source_texts", "texts_used", "most_used", "max_repeats",
     )
-    return Mix(usage, shares, lambda: _schedule(base, key, rows, sizes, passes, block, scratch))
+    return Mix(usage, shares, schedule)
 
 
 def _schedule(base: DataFrame, key: str, rows: list[tuple], sizes: dict[str, float], passes: int, block: int, scratch: Scratch) -> DataFrame:
@@ -112,18 +101,19 @@ def _schedule(base: DataFrame, key: str, rows: list[tuple], sizes: dict[str, flo
         one = one.select(key, "source", "n_tokens", (F.col("start") + F.lit(p) * F.col("tokens_all")).alias("start"))
         stream = one if stream is None else stream.unionByName(one)
     slots = None
-    edges = []
+    edges, span = [], {}
     for mix in sizes:
         own = [r for r in rows if r[0] == mix and r[8] > 0]
         n = sum(-(-r[8] // block) for r in own)
         upto = 0
+        span[mix] = n + n // 8 + 64 * len(own)
         for r in own:
             width = round(2**32 * r[5] / sum(x[5] for x in own))
             edges.append((mix, r[1], upto, upto + width if r is not own[-1] else 2**32, -(-r[8] // block), r[8]))
             upto += width
         if n:
             # golden-ratio points stray from their share by a few log n slots, so the last blocks may lie beyond n; the surplus is dropped
-            s = spark.range(0, n + n // 8 + 64 * len(own)).select(F.lit(mix).alias("mix_name"), F.col("id").alias("slot"))
+            s = spark.range(0, span[mix]).select(F.lit(mix).alias("mix_name"), F.col("id").alias("slot"))
             slots = s if slots is None else slots.unionByName(s)
     columns = f"mix_name string, slot long, source string, block_no long, place long, {key} {base.schema[key].dataType.simpleString()}, n_tokens long"
     if slots is None or stream is None:
@@ -140,6 +130,22 @@ def _schedule(base: DataFrame, key: str, rows: list[tuple], sizes: dict[str, flo
     inner = Window.partitionBy("mix_name", "source", "chunk").orderBy("slot")
     ranked = placed.join(offsets, ["mix_name", "source", "chunk"]).withColumn("block_no", F.col("before") + F.row_number().over(inner) - 1)
     ranked = ranked.filter(F.col("block_no") < F.col("blocks")).select("mix_name", "source", "slot", "block_no", "quota")
+    # blocks without a slot: the k-th left of a source lies (k + 1/2) / weight behind the last slot, in units of the greatest weight left
+    got = {(r["mix_name"], r["source"]): r["n"] for r in counts.groupBy("mix_name", "source").agg(F.sum("n").alias("n")).collect()}  # as many as targets
+    lacking, late = {}, []
+    for m, src, _, _, need, quota in edges:
+        if got.get((m, src), 0) < need:
+            lacking.setdefault(m, []).append((src, got.get((m, src), 0), need, quota))
+    live_share = {(r[0], r[1]): r[5] for r in rows}
+    for m, own in lacking.items():
+        top = max(live_share[m, src] for src, *_ in own)
+        late += [(m, src, have, need, quota, top / live_share[m, src], i, len(own), span[m]) for i, (src, have, need, quota) in enumerate(own)]
+    if late:
+        rest = spark.createDataFrame(late, "mix_name string, source string, have long, need long, quota long, step double, i long, among long, span long")
+        rest = rest.withColumn("from", F.explode(F.sequence("have", F.col("need") - 1, F.lit(chunk).cast("long"))))
+        rest = rest.withColumn("block_no", F.explode(F.sequence("from", F.least(F.col("from") + chunk, F.col("need")) - 1)))
+        slot = F.col("span") + F.floor((F.col("block_no") - F.col("have") + 0.5) * F.col("step")).cast("long") * F.col("among") + F.col("i")
+        ranked = ranked.unionByName(rest.select("mix_name", "source", slot.alias("slot"), "block_no", "quota"))
     blocks = stream.withColumn("block_no", F.floor(F.col("start") / block).cast("long"))
     out = ranked.join(blocks, ["source", "block_no"]).filter("start < quota")
     return out.select("mix_name", "slot", "source", "block_no", (F.col("start") - F.col("block_no") * block).alias("place"), key, "n_tokens")

@@ -47,3 +47,16 @@ def test_given_total_is_capped(spark, scratch, texts):
 def test_nothing_to_mix(spark, scratch, texts):
     out = mix_sources(texts.limit(0), "id", "src", "n", TARGETS, scratch)
     assert out.usage.count() == 0 and out.schedule.count() == 0 and {r["tokens"] for r in out.shares.collect()} == {0}
+
+
+@pytest.mark.parametrize(("targets", "total"), [([("m", "big", 0.7, 1), ("m", "mid", 0.299, 9), ("m", "tiny", 0.001, 4)], None), ([("m", "big", 1.0, 2), ("m", "mid", 0.5, 9), ("m", "tiny", 3.0, 1)], {"m": 10**6}), ([("m", "big", 1.0, 1), ("m", "tiny", 1e-12, 1)], {"m": 10**15})])
+def test_every_block_is_placed_once(spark, scratch, texts, targets, total):
+    out = mix_sources(texts, "id", "src", "n", targets, scratch, total=total, block=512)
+    rows, plan, tokens = out.schedule.collect(), {}, {}
+    for r in rows:
+        plan[r["id"]] = plan.get(r["id"], 0) + 1
+        tokens[r["source"]] = tokens.get(r["source"], 0) + r["n_tokens"]
+    assert plan == {r["id"]: r["times_used"] for r in out.usage.collect() if r["times_used"]}
+    shares = {r["source_name"]: r for r in out.shares.collect()}
+    assert all(r["quota"] <= tokens.get(s, 0) < r["quota"] + 400 for s, r in shares.items())
+    assert len({(r["source"], r["block_no"]) for r in rows}) == len({(r["slot"], r["source"], r["block_no"]) for r in rows}) == len({r["slot"] for r in rows})
