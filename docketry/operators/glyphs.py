@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -54,13 +55,20 @@ def carry_layout(pages: DataFrame, layouts: DataFrame, doc: str = "doc_id") -> D
 
 
 def dedupe_glyphs(pdf: pd.DataFrame, tol: float = 1.0) -> pd.DataFrame:
-    """One page without glyphs stamped twice: the same text within ``tol`` in both axes of one already kept."""
-    kept: dict[str, list[tuple[float, float]]] = {}
+    """One page without glyphs stamped twice: the same text within ``tol`` in both axes of one already kept, from
+    left to right. Kept glyphs lie in cells somewhat wider than ``tol``, so those within it are in the cell or next to it,
+    however many there are. Glyphs without a place are kept."""
+    kept: dict[tuple[str, int, int], list[tuple[float, float]]] = {}
     keep = []
-    for r in pdf.sort_values(["top", "x0", "text"]).itertuples():
-        seen = kept.setdefault(r.text, [])
-        if not any(abs(r.x0 - x) <= tol and abs(r.top - y) <= tol for x, y in seen[-64:]):
-            seen.append((r.x0, r.top))
+    cell = tol * 1.01 or 1.0
+    for r in pdf.sort_values(["x0", "top", "text"]).itertuples():
+        if pd.isna(r.x0) or pd.isna(r.top):
+            keep.append(r.Index)
+            continue
+        i, j = math.floor(r.x0 / cell), math.floor(r.top / cell)
+        near = (p for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for p in kept.get((r.text, a, b), ()))
+        if not any(abs(r.x0 - x) <= tol and abs(r.top - y) <= tol for x, y in near):
+            kept.setdefault((r.text, i, j), []).append((r.x0, r.top))
             keep.append(r.Index)
     return pdf.loc[keep]
 

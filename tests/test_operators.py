@@ -215,3 +215,19 @@ def test_united_search_keeps_pairs_that_share_only_a_key(spark):
         want += [(q, k, -s, h, n, i + 1) for i, (s, k, h, n) in enumerate(sorted(found)[:4])]
     assert rows(got.select("q", "r", "score", "hits", "shared", "rank")) == sorted(want, key=repr)
     assert any(h and n < 2 for _, _, _, h, n, _ in want)
+
+
+@pytest.mark.parametrize("tol", [1.0, 1.5])
+def test_double_stamps_of_long_rows(tol):
+    import random
+
+    leaders = [(5.0 * i, 100.0 + t, ".") for i in range(150) for t in (0.0, 0.8)]
+    assert len(G.dedupe_glyphs(pd.DataFrame(leaders, columns=["x0", "top", "text"]), tol)) == 150
+    r = random.Random(4)
+    page = [(r.randint(0, 300) / 10, r.randint(0, 300) / 10, r.choice(".a")) for _ in range(900)]
+    want = []
+    for x, y, c in sorted(page):
+        if not any(c == k and abs(x - a) <= tol and abs(y - b) <= tol for a, b, k in want):
+            want.append((x, y, c))
+    got = G.dedupe_glyphs(pd.DataFrame([*page, (None, 1.0, "a")], columns=["x0", "top", "text"]), tol)
+    assert sorted(map(tuple, got.dropna().to_numpy().tolist())) == want and got.x0.isna().sum() == 1
