@@ -30,10 +30,10 @@ def _prefix(texts: list[str]) -> str:
 
 
 def collapse_section(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Units of one section: a row folds into its nearest flagged ancestor of the same rhythm and a like actor; rows
+    """Units of one section, one row per id: a row folds into its nearest flagged ancestor of the same rhythm and a like actor; rows
     left under one parent with one rhythm and like actors (greedily, in id order) become one if the text they share
     states a duty. A unit's id is that of its owner, or the first sibling."""
-    pdf = pdf.drop_duplicates("uslm_id").sort_values("uslm_id")
+    pdf = pdf.sort_values("uslm_id")
     rows = {r.uslm_id: (r.entity or "", r.cadence or "", r.text or "") for r in pdf.itertuples()}
     owner, rule = {i: i for i in rows}, dict.fromkeys(rows, "own")
     for i, (who, when, _) in rows.items():
@@ -63,12 +63,14 @@ def collapse_section(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"uslm_id": list(rows), "unit_id": [top(i) for i in rows], "rule": [rule[i] for i in rows]})
 
 
-def collapse(findings: DataFrame) -> DataFrame:
-    """``uslm_id, unit_id, rule`` for findings (``uslm_id, entity, cadence, text``). Sections are independent, since both
-    rules need a common parent; a section's findings are bounded by the section's size in the code. Ids without a
-    section stand alone; null ids are dropped."""
-    d = findings.filter(F.col("uslm_id").isNotNull()).withColumn("_s", F.coalesce(section_of(F.col("uslm_id")), F.col("uslm_id")))
-    return d.select("_s", "uslm_id", "entity", "cadence", "text").groupBy("_s").applyInPandas(lambda pdf: collapse_section(pdf), SCHEMA)
+def collapse(findings: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """``uslm_id, unit_id, rule`` for findings (``uslm_id, entity, cadence, text``). Of rows of one id the last by ``order``
+    counts, ties and no order by content, so the result doesn't depend on how rows arrive. Sections are independent, since
+    both rules need a common parent; rows of one id are one before, so a section's are bounded by its size in the code.
+    Ids without a section stand alone; null ids are dropped."""
+    last = F.max(F.struct(*order, "entity", "cadence", "text")).alias("_l")
+    d = findings.filter(F.col("uslm_id").isNotNull()).groupBy("uslm_id").agg(last).withColumn("_s", F.coalesce(section_of(F.col("uslm_id")), F.col("uslm_id")))
+    return d.select("_s", "uslm_id", "_l.entity", "_l.cadence", "_l.text").groupBy("_s").applyInPandas(lambda pdf: collapse_section(pdf), SCHEMA)
 
 
 def nearest_ancestor(df: DataFrame, id_col: str = "uslm_id") -> DataFrame:

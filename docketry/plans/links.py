@@ -215,9 +215,10 @@ def q_nearest_ancestor(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def q_unit_collapse(spark: SparkSession, d: str) -> DataFrame:
-    """Adjudicated mandates collapsed into units per section (greedy fold: no SQL; tested against cases)."""
+    """Adjudicated mandates collapsed into units per section (greedy fold: no SQL; tested against cases). Of
+    repeated ids the last ``gold_id`` counts."""
     g = table(spark, d, "mandate_gold").filter("gold.is_mandate")
-    return collapse(g.select("uslm_id", F.coalesce("gold.recipient", F.lit("")).alias("entity"), F.lit("annual").alias("cadence"), "text"))
+    return collapse(g.select("gold_id", "uslm_id", F.coalesce("gold.recipient", F.lit("")).alias("entity"), F.lit("annual").alias("cadence"), "text"), ("gold_id",))
 
 
 @query(f"""WITH k AS (SELECT mandate_id, {sql_norm("coalesce(nature_of_report, '')")} || chr(31) || {sql_norm("coalesce(authority, '')")} AS k FROM report)

@@ -109,6 +109,15 @@ def test_units(spark):
     assert out["/us/usc/t5/s2/b"] == ("/us/usc/t5/s2/a", "sibling") and out["/us/usc/t5/s2/c"][1] == "own" and out["/us/usc/t5/s3/b"][1] == "own" and len(out) == 9
 
 
+def test_units_of_repeated_ids_do_not_depend_on_arrival(spark):
+    f = [(1, "/us/usc/t5/s1", "Board", "annual", "x"), (2, "/us/usc/t5/s1/a", "Secretary", "annual", "y"), (3, "/us/usc/t5/s1/a", "Board", "annual", "z")]
+    schema = "n long, uslm_id string, entity string, cadence string, text string"
+    run = lambda f, *order: rows(U.collapse(spark.createDataFrame(f, schema).coalesce(1), *order))
+    assert run(f) == run(f[::-1])
+    assert run(f, ("n",)) == run(f[::-1], ("n",)) == [("/us/usc/t5/s1", "/us/usc/t5/s1", "own"), ("/us/usc/t5/s1/a", "/us/usc/t5/s1", "ancestor")]
+    assert run([(-n, *r) for n, *r in f], ("n",))[1] == ("/us/usc/t5/s1/a", "/us/usc/t5/s1/a", "own")
+
+
 def test_glyph_rows(spark):
     chars = spark.createDataFrame([(1, float(i), t) for i, t in enumerate([10.0, 10.5, 12.4, 15.0])], "page int, x0 double, top double")
     assert [r["cluster"] for r in G.gap_clusters(chars, ["page"], "top", 2.0, "x0").orderBy("top").collect()] == [0, 0, 0, 1]
