@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,8 +25,8 @@ from ..runtime import Scratch
 
 #: Most shapes in the broadcast model: those with more than 1 / SHAPES of all expected values, so never more.
 SHAPES = 20_000
-#: Longest value, in tokens, that may start or end at a soft gap; a run between hard delimiters may be a value at any length.
-LONGEST = 24
+#: Log-probability of an unlearnt value, besides one less for each token.
+RARE = -25.0
 ROUNDS = 6
 #: Longest piece of text whose class is kept for the next time it is met.
 SHORT = 64
@@ -130,6 +131,7 @@ class Model:
         total = sum(shapes.values()) or 1.0
         self.value = {s: math.log(n / total) for s, n in shapes.items() if n > 0}
         self.gaps = gaps
+        self._sorted: list[str] = []
 
     def cut(self, gap: str, after: str) -> tuple[float, float]:
         """Log-probability that a gap before the token ``after`` ends a value, and that it doesn't."""
@@ -139,38 +141,56 @@ class Model:
 
     def of(self, shape: str, tokens: int) -> float:
         """Log-probability of a value; unlearnt ones are rarer the longer they are."""
-        return self.value.get(shape, -25.0 - tokens)
+        return self.value.get(shape, RARE - tokens)
+
+    def learnt(self, shapes: list[str], gaps: list[str]) -> Iterator[tuple[int, int, str]]:
+        """All values of a learnt shape (first token, end token, shape), as far as learnt shapes go."""
+        if len(self._sorted) != len(self.value):
+            self._sorted = sorted(self.value)
+        for i in range(len(shapes)):
+            shape = shapes[i]
+            for j in range(i + 1, len(shapes) + 1):
+                if shape in self.value:
+                    yield i, j, shape
+                at = bisect_right(self._sorted, shape)  # a longer learnt shape that begins like this comes next
+                if j == len(shapes) or at == len(self._sorted) or not self._sorted[at].startswith(shape):
+                    break
+                shape += _joint(gaps[j - 1]) + shapes[j]
+
+    def lattice(self, shapes: list[str], gaps: list[str]) -> tuple[list, list[float], list[float]]:
+        """Every run of tokens may be a value, of whatever length: the learnt ones (first token, end token, shape,
+        log-probability with inner gaps and the gap that ends it), and for the unlearnt from i to j the two parts of
+        theirs, ``start[i] + end[j]``, so that they needn't be listed."""
+        n = len(shapes)
+        cuts = [self.cut(g, s) for g, s in zip(gaps, shapes[1:])]
+        whole = [0.0]
+        for c in cuts:
+            whole.append(whole[-1] + c[1])
+        last = [c[0] for c in cuts] + [0.0]
+        arcs = [(i, j, s, self.value[s] + whole[j - 1] - whole[i] + last[j - 1]) for i, j, s in self.learnt(shapes, gaps)]
+        return arcs, [RARE + i - whole[i] for i in range(n)], [0.0] + [whole[j - 1] + last[j - 1] - j for j in range(1, n + 1)]
 
     def arcs(self, shapes: list[str], gaps: list[str]) -> list[tuple[int, int, str, float]]:
-        """All values (first token, end token, shape, log-probability with its inner gaps and the gap that ends it)."""
-        n, out = len(shapes), []
-        cuts = [self.cut(g, s) for g, s in zip(gaps, shapes[1:])]
-        for i in range(n):
-            shape, inner = "", 0.0
-            for j in range(i, n):
-                if j - i >= LONGEST and not (i == 0 and j == n - 1):
-                    if i:
-                        break
-                    shape += " " + shapes[j]
-                    inner += cuts[j - 1][1]
-                    continue
-                if j > i:
-                    g = gaps[j - 1]
-                    shape += (" " if g in ("nl", "sp", "none") else f"{g} ") + shapes[j]
-                    inner += cuts[j - 1][1]
-                else:
-                    shape = shapes[i]
-                end = cuts[j][0] if j < n - 1 else 0.0
-                out.append((i, j + 1, shape, self.of(shape, j - i + 1) + inner + end))
-        return out
+        """The whole lattice as a list."""
+        arcs, start, end = self.lattice(shapes, gaps)
+        of = {(i, j): (s, p) for i, j, s, p in arcs}
+        spans = [(i, j) for i in range(len(shapes)) for j in range(i + 1, len(shapes) + 1)]
+        return [(i, j, *(of.get((i, j)) or (_together(shapes[i:j], gaps[i : j - 1]), start[i] + end[j]))) for i, j in spans]
 
     def best(self, shapes: list[str], gaps: list[str]) -> list[int]:
-        """End token of each value on the most probable path (Viterbi); on a tie, the longer first value."""
+        """End token of each value on the most probable path (Viterbi); on a tie, the longer value."""
         n = len(shapes)
-        score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-        for i, j, _, p in self.arcs(shapes, gaps):
-            if score[i] + p > score[j] + 1e-12:
-                score[j], back[j] = score[i] + p, i
+        arcs, start, end = self.lattice(shapes, gaps)
+        into: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        for i, j, _, p in arcs:
+            into[j].append((i, p))
+        score, back, top, first = [0.0] + [-math.inf] * n, [0] * (n + 1), -math.inf, 0
+        for j in range(1, n + 1):
+            if score[j - 1] + start[j - 1] > top + 1e-12:
+                top, first = score[j - 1] + start[j - 1], j - 1
+            for i, p in sorted([(first, top + end[j]), *((i, score[i] + p) for i, p in into[j])]):
+                if p > score[j] + 1e-12:
+                    score[j], back[j] = p, i
         ends = []
         while n:
             ends.append(n)
@@ -179,29 +199,67 @@ class Model:
 
     def expect(self, shapes: list[str], gaps: list[str], weight: float, values: dict, cuts: dict) -> None:
         """Add a chunk's expected values and gap decisions (forward-backward)."""
-        n, arcs = len(shapes), self.arcs(shapes, gaps)
-        fwd, bwd = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
-        fwd[0] = bwd[n] = 0.0
+        n = len(shapes)
+        arcs, start, end = self.lattice(shapes, gaps)
+        into: dict[int, list] = defaultdict(list)
+        out: dict[int, list] = defaultdict(list)
+        for i, j, _, p in arcs:
+            into[j].append((i, p))
+            out[i].append((j, p))
 
         def plus(a: float, b: float) -> float:
             hi, lo = (a, b) if a > b else (b, a)
             return hi if lo == -math.inf else hi + math.log1p(math.exp(lo - hi))
 
-        for i, j, _, p in arcs:
-            fwd[j] = plus(fwd[j], fwd[i] + p)
-        for i, j, _, p in reversed(arcs):
-            bwd[i] = plus(bwd[i], bwd[j] + p)
+        fwd, bwd = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        run = -math.inf
+        for j in range(1, n + 1):
+            run = plus(run, fwd[j - 1] + start[j - 1])
+            fwd[j] = run + end[j]
+            for i, p in into[j]:
+                fwd[j] = plus(fwd[j], fwd[i] + p)
+        run = -math.inf
+        for i in range(n - 1, -1, -1):
+            run = plus(run, end[i + 1] + bwd[i + 1])
+            bwd[i] = run + start[i]
+            for j, p in out[i]:
+                bwd[i] = plus(bwd[i], bwd[j] + p)
         ended = [0.0] * n
+        known = set()
         for i, j, s, p in arcs:
+            known.add((i, j))
             e = math.exp(min(0.0, fwd[i] + p + bwd[j] - fwd[n]))
             if e > 1e-6:
                 values[s] += weight * e
                 ended[j - 1] += e
+        least, most = math.log(1e-6) + fwd[n], [-math.inf] * (n + 1)
+        for j in range(n, 0, -1):
+            most[j - 1] = max(most[j], end[j] + bwd[j])
+        for i in range(n):
+            a = fwd[i] + start[i]
+            if a + most[i] <= least:
+                continue
+            for j in range(i + 1, n + 1):
+                if a + most[j - 1] <= least:
+                    break
+                if a + end[j] + bwd[j] > least and (i, j) not in known:
+                    e = math.exp(min(0.0, a + end[j] + bwd[j] - fwd[n]))
+                    values[_together(shapes[i:j], gaps[i : j - 1])] += weight * e
+                    ended[j - 1] += e
         for g, s, e in zip(gaps, shapes[1:], ended):
             cuts[f"{g}\x1d{s}", True] += weight * e
             cuts[f"{g}\x1d{s}", False] += weight * (1 - e)
 
 
+def _joint(gap: str) -> str:
+    return " " if gap in ("nl", "sp", "none") else f"{gap} "
+
+
+def _together(shapes: list[str], gaps: list[str]) -> str:
+    """Shape of a value of several tokens."""
+    return shapes[0] + "".join(_joint(g) + s for g, s in zip(gaps, shapes[1:]))
+
+
 def _encode(shapes: list[str], gaps: list[str]) -> str:
     return "\x1e".join(["\x1f".join(shapes), "\x1f".join(gaps)])
 
@@ -244,10 +302,7 @@ def learn(df: DataFrame, column: str, scratch: Scratch) -> Model:
                 for code, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     shapes, gaps = _decode(code)
                     if m is None:  # at first every chunk is one value
-                        text = shapes[0]
-                        for g, s in zip(gaps, shapes[1:]):
-                            text += (" " if g in ("nl", "sp", "none") else f"{g} ") + s
-                        values[text] += n
+                        values[_together(shapes, gaps)] += n
                     else:
                         m.expect(shapes, gaps, n, values, cuts)
                 rows = [("v" + k, v) for k, v in values.items()] + [(("y" if on else "n") + g, v) for (g, on), v in cuts.items()]

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import defaultdict
 
 import pytest
 
@@ -78,3 +80,19 @@ def test_viterbi_is_the_best_path():
 def test_as_written():
     assert as_written('"a ""b"" c"') == 'a "b" c' and as_written("“x  y”") == "x y" and as_written(' "a" and "b ') == '"a" and "b'
     assert as_written('"a" and "b"') == '"a" and "b"'
+
+
+def test_a_long_value_beside_others_stays_whole():
+    long = ["L"] + ["w"] * 38 + ["E"]
+    gaps = ["sp"] * 39
+    whole = " ".join(long)
+    model = Model({whole: 10, "c": 10, "L": 1, "w": 2, "E": 1}, {",": 0.5, "sp": 0.02})
+    assert model.best([*long, "c"], [*gaps, ","]) == [40, 41]
+    assert model.best(["c", *long, "c"], [",", *gaps, ","]) == [1, 41, 42]
+    # an unlearnt one too, and it is counted
+    model = Model({"c": 10}, {",": 0.5, "sp": 0.02})
+    assert model.best(["c", *long, "c"], [",", *gaps, ","]) == [1, 41, 42]
+    values, cuts = defaultdict(float), defaultdict(float)
+    model.expect(["c", *long, "c"], [",", *gaps, ","], 1.0, values, cuts)
+    apart = 1 / (1 + math.exp(-1))  # against one unlearnt value with a neighbour, one token longer
+    assert values[whole] == pytest.approx(apart**2) and values["c"] == pytest.approx(2 * apart)
