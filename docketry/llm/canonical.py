@@ -163,7 +163,7 @@ class Canon:
     def loose(self, norm: str) -> tuple[float, object] | None:
         """Best entry by token-set similarity, its words matched one to one; None below the threshold or on a tie."""
         words = [w for w in norm.split() if w not in FILLERS and (w.isalpha() or len(w) > 2)]
-        if not words or len(words) > 24:
+        if not words:
             return None
         options = [self.alike(w) for w in words]
         hits: dict[object, float] = defaultdict(float)
@@ -245,7 +245,7 @@ def map_values(df: DataFrame, value: str, entries: DataFrame, entry_id: str, nam
     Distinct values are mapped once and joined back, hot values apart, so a value that fills a third of the rows costs
     one lookup. ``entries`` must have at most ``MOST_ENTRIES`` rows, which is checked; it is broadcast. Null, empty and
     blank values get null and ``none``. An ambiguous value (two entries equally near) gets none. Columns ``out`` and
-    ``how`` of the input are replaced; values over 1,000 characters are compared by mentions only.
+    ``how`` of the input are replaced.
     """
     spark = df.sparkSession
     got = entries.select(entry_id, name, *aliases).limit(MOST_ENTRIES + 1).toArrow().to_pylist()

@@ -46,3 +46,10 @@ def test_bound_is_checked(spark, monkeypatch):
 
 def test_distance():
     assert K.Canon.distance("abcd", "abdc", 3) == 1 and K.Canon.distance("abc", "abc", 2) == 0 and K.Canon.distance("kitten", "sitting", 3) == 3 and K.Canon.distance("a", "abcdef", 2) == 3
+
+
+def test_long_names_may_be_misspelt():
+    words = ["amber", "birch", "cedar", "delta", "ember", "flint", "grove", "heron", "inlet", "joint", "kettle", "lumber", "marsh", "north", "otter", "prairie", "quarry", "ridge", "summit", "timber", "upland", "valley", "willow", "yonder", "zephyr", "meadow", "canyon", "orchard"]
+    canon = K.Canon([*LIST, (9, " ".join(words), (None,))], 0.72)
+    assert canon.find(" ".join(w.replace("prairie", "prarie").replace("orchard", "orchrad") for w in words)) == (9, "similar")
+    assert canon.find(" ".join(words[:14] + ["violin"] * 14))[0] is None and canon.find("violin " * 20_000)[0] is None
