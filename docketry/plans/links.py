@@ -57,6 +57,15 @@ def q_link_top1(spark: SparkSession, d: str) -> DataFrame:
     return best.select("package_id", "mandate_id", F.col("score").alias("similarity"))
 
 
+@query(f"""WITH {TOKEN_PAIRS}, s AS (SELECT package_id, mandate_id, round(shared / (ln + rn - shared), {ROUND}) AS similarity, row_number() OVER (PARTITION BY package_id ORDER BY round(shared / (ln + rn - shared), {ROUND}) DESC, mandate_id) AS rank FROM p)
+    SELECT package_id, mandate_id, similarity, CAST(rank AS INT) AS rank FROM s WHERE rank <= 3""")
+def q_link_top3(spark: SparkSession, d: str) -> DataFrame:
+    """Three most similar mandates of each filing by content words; ties go to the smaller id."""
+    left, right = _token_sides(spark, d)
+    best = top_k_overlap(left, right, "package_id", "mandate_id", "t", 3, digits=ROUND)
+    return best.select("package_id", "mandate_id", F.col("score").alias("similarity"), "rank")
+
+
 @query(f"""WITH {TOKEN_PAIRS}, m AS (SELECT package_id, mandate_id, round(shared / (ln + rn - shared) + shared / greatest(least(ln, rn), 1), {ROUND}) AS score, shared FROM p WHERE shared >= 2),
     s AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY score DESC, mandate_id) AS rank FROM m) SELECT package_id, mandate_id, score, shared, CAST(rank AS INT) AS rank FROM s WHERE rank <= 20""")
 def q_link_topk_score(spark: SparkSession, d: str) -> DataFrame:

@@ -74,3 +74,10 @@ def test_job_entry(spark, tmp_path, capsys):
     assert main(["list"]) == 0 and "q_link_top1" in capsys.readouterr().out
     assert main(["nothing"]) == 2
     assert main(["q_scope_funnel", SMALL, str(tmp_path / "o"), "csv"]) == 0 and spark.read.option("header", True).csv(str(tmp_path / "o")).count() > 0
+
+
+def test_top3_is_registered_and_begins_with_top1(spark):
+    queries, sql = _catalogue()
+    assert "q_link_top3" in sql
+    top = [tuple(r) for r in queries["q_link_top3"](spark, SMALL).collect()]
+    assert sorted(r[:3] for r in top if r[3] == 1) == sorted(map(tuple, queries["q_link_top1"](spark, SMALL).collect())) and max(r[3] for r in top) == 3
