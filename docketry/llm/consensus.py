@@ -6,7 +6,7 @@ import itertools
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Scratch, hot_keys, skew_join
@@ -15,8 +15,8 @@ from ..runtime import Scratch, hot_keys, skew_join
 PRIOR = (2.0, 1.0)
 #: Annotators with more than this share of the votes are tested for copying; there are fewer than 1 / HEAVY of them.
 HEAVY = 1 / 64
-#: Up to this many (annotator, label) rates are broadcast; their number is checked before.
-FEW = 20_000
+#: Up to this many distinct (annotator, label) pairs their rates go through the driver; their number is checked before, more meet by joins.
+LOOKUP = 1024
 #: Two annotators count as dependent when their covariance exceeds what those with the others explain by a factor, by
 #: this much, and by this many standard errors.
 EXCESS = (1.15, 0.015, 4.0)
@@ -56,7 +56,7 @@ def latest_votes(log: DataFrame, item: list[str], annotator: str, label: str, or
     return live.groupBy(*item, annotator).agg(F.max_by(label, F.struct(*order, label)).alias(label))
 
 
-def message_passing(votes: DataFrame, item: list[str], annotator: str, label: str, classes: list[str], scratch: Scratch, rounds: int = 60, tolerance: float = 2e-3) -> Consensus:
+def message_passing(votes: DataFrame, item: list[str], annotator: str, label: str, classes: list[str], scratch: Scratch, rounds: int = 60, tolerance: float = 2e-3, joint: bool = True) -> Consensus:
     """Label per item, by messages between items and annotators, one class against the rest.
 
     For each class, an edge says +1 (this class) or -1 (another). An item's message to an annotator is the belief that
@@ -66,8 +66,10 @@ def message_passing(votes: DataFrame, item: list[str], annotator: str, label: st
     item; leaving the receiver out is a subtraction. It ends when no belief moves by more than ``tolerance``, or after
     ``rounds``. The class of highest belief wins, ties go to the first of ``classes``.
 
-    Annotators that copy one another would outvote the rest, so heavy annotators whose votes agree by more than their
-    reliabilities explain send one joint message per item, with the combination of their votes as its label.
+    With ``joint``, heavy annotators whose votes agree by more than their reliabilities explain send one joint message per
+    item, with the combination of their votes as its label, so that copies don't outvote the rest. It asks that who votes
+    on an item doesn't depend on what others said there: where more annotators are called in because the first ones
+    disagreed, agreement varies with who is present, which looks like copying and isn't. Then leave it off.
 
     Items with the same votes have the same messages; they are counted once, with a weight, so the work per round
     follows the number of distinct vote combinations. ``votes`` has one row per item and annotator; labels outside
@@ -78,7 +80,7 @@ def message_passing(votes: DataFrame, item: list[str], annotator: str, label: st
     # with two classes the second is the mirror image of the first, so one pass serves both
     beliefs, skills, turns = None, None, 0
     for c in classes[:1] if len(classes) == 2 else classes:
-        b, s, n = _one_class(edges, item, c, scratch, rounds, tolerance)
+        b, s, n = _one_class(edges, item, c, scratch, rounds, tolerance, joint)
         b = b.select(*item, F.lit(c).alias("class"), "belief")
         if len(classes) == 2:
             b = b.unionByName(b.select(*item, F.lit(classes[1]).alias("class"), (1 - F.col("belief")).alias("belief")))
@@ -145,65 +147,124 @@ def dependent_blocks(combos: DataFrame, heavy: list[str]) -> list[list[str]]:
     return [sorted(g) for g in {id(g): g for g in group.values()}.values() if len(g) > 1]
 
 
-def _one_class(edges: DataFrame, item: list[str], cls: str, scratch: Scratch, rounds: int, tolerance: float) -> tuple[DataFrame, DataFrame, int]:
+def _llr(b1: Column, b0: Column, t1: Column, t0: Column, belief: Column) -> Column:
+    """What a unit answers to an item: log-likelihood ratio of its label, learnt from all other items. The sums include pseudo-counts."""
+    p1, p0 = (b1 - belief) / (t1 - belief), (b0 - (1 - belief)) / (t0 - (1 - belief))
+    tiny = F.lit(1e-9)
+    return F.log(F.greatest(p1, tiny) / F.greatest(p0, tiny))
+
+
+def _sigmoid(log_odds: Column) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), log_odds))))
+
+
+def _one_class(edges: DataFrame, item: list[str], cls: str, scratch: Scratch, rounds: int, tolerance: float, joint: bool) -> tuple[DataFrame, DataFrame, int]:
     """Belief per item that ``cls`` holds, rates per annotator, and the rounds it took."""
-    vote = F.struct(F.col("_a").alias("a"), (F.col("_l") == cls).alias("s"))
-    items = scratch.put(edges.groupBy(*item).agg(F.array_sort(F.collect_list(vote)).alias("v")).withColumn("_p", F.md5(F.to_json("v"))), "items")
-    combos = scratch.put(items.groupBy("_p").agg(F.first("v").alias("v"), F.count("*").alias("n")), "combos")
-    total = combos.agg(F.sum(F.size("v") * F.col("n"))).first()[0] or 0
-    per = combos.select("n", F.explode("v").alias("x")).groupBy(F.col("x.a").alias("a")).agg(F.sum("n").alias("n"))
-    heavy = sorted(r["a"] for r in per.filter(F.col("n") > total * HEAVY).collect())
-    blocks = dependent_blocks(combos, heavy)
+    spark = scratch.spark
+    signed = edges.select(*item, F.col("_a").alias("a"), (F.col("_l") == cls).alias("s"))
+    # items with the same votes get the same fingerprint, made by partial aggregation: no item's votes are collected
+    h = F.xxhash64("a", "s")
+    mark = F.concat_ws(":", F.bit_xor(h), F.sum(F.shiftright(F.xxhash64(h, F.lit(1)), 24)), F.count("*")).alias("_p")
+    items = scratch.put(signed.groupBy(*item).agg(mark), "items")
+    shown = items.groupBy("_p").agg(F.count("*").alias("n"), F.min(F.struct(*item)).alias("_i")).select("_p", "n", *[F.col(f"_i.{c}").alias(c) for c in item])
+    flat = scratch.put(signed.join(shown, item).select("_p", "n", "a", "s"), "flat")
+    blocks: list[list[str]] = []
+    if joint:
+        total = flat.agg(F.sum("n")).first()[0] or 0
+        heavy = sorted(r["a"] for r in flat.groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") > total * HEAVY).collect())
+        near = flat.filter(F.col("a").isin(heavy)).groupBy("_p", "n").agg(F.collect_list(F.struct("a", "s")).alias("v"))  # < 1 / HEAVY votes each
+        blocks = dependent_blocks(near, heavy) if heavy else []
     # units: an annotator, or those of a block that voted; labels: a sign, or the block's combination of signs
-    unit = None
+    unit = F.lit(None).cast("int")
     for i, b in enumerate(blocks):
-        unit = (unit or F).when(F.col("x.a").isin(b), F.lit(i))
-    unit = (unit.otherwise(F.lit(None).cast("int")) if unit is not None else F.lit(None).cast("int")).alias("block")
-    sign = F.when(F.col("x.s"), "+").otherwise("-")
-    flat = combos.select("_p", "n", F.explode("v").alias("x")).select("_p", "n", unit, F.col("x.a").alias("a"), sign.alias("k"), F.col("x.s").cast("double").alias("s"))
-    single = flat.filter("block is null").select("_p", "n", F.concat(F.lit("a:"), "a").alias("u"), "k")
-    joint = flat.filter("block is not null").groupBy("_p", "n", "block").agg(F.array_sort(F.collect_list(F.struct("a", "k"))).alias("m"))
-    joint = joint.select("_p", "n", F.concat(F.lit("b:"), F.array_join("m.a", "\x1f")).alias("u"), F.array_join("m.k", "").alias("k"))
-    state = scratch.put(single.unionByName(joint).withColumn("uk", F.concat_ws("\x1e", "u", "k")), "units")
-    few = state.select("uk").distinct().limit(FEW + 1).count() <= FEW
-    hot = [] if few else hot_keys(state, "uk")
-    votes = flat.groupBy("_p", "n").agg(F.sum("s").alias("p"), F.count("*").alias("c"))
+        unit = F.when(F.col("a").isin(b), F.lit(i)).otherwise(unit)
+    named_votes = flat.select("_p", "n", unit.alias("block"), "a", F.when(F.col("s"), "+").otherwise("-").alias("k"))
+    state = named_votes.filter("block is null").select("_p", "n", F.concat(F.lit("a:"), "a").alias("u"), "k")
+    if blocks:
+        both = named_votes.filter("block is not null").groupBy("_p", "n", "block").agg(F.array_sort(F.collect_list(F.struct("a", "k"))).alias("m"))
+        state = state.unionByName(both.select("_p", "n", F.concat(F.lit("b:"), F.array_join("m.a", "\x1f")).alias("u"), F.array_join("m.k", "").alias("k")))
+    state = scratch.put(state, "units")
+    votes = flat.groupBy("_p", "n").agg(F.sum(F.col("s").cast("double")).alias("p"), F.count("*").alias("c"))
     share = votes.agg(F.sum(F.col("p") * F.col("n")) / F.sum(F.col("c") * F.col("n"))).first()[0] or 0.5
-    belief = scratch.put(votes.select("_p", "n", ((F.col("p") + share) / (F.col("c") + 1)).alias("belief"), F.lit(None).cast("double").alias("before")), "belief")
+    start = scratch.put(votes.select("_p", ((F.col("p") + share) / (F.col("c") + 1)).alias("belief")), "belief")
+    labels = [(r["u"], r["k"]) for r in state.select("u", "k").distinct().limit(LOOKUP + 1).collect()]
+    run = _rounds_few if len(labels) <= LOOKUP else _rounds_many
+    belief, turn = run(spark, state, start, sorted(labels), scratch, rounds, tolerance)
     right, wrong = PRIOR
-    turn, prior = 0, belief.agg((F.sum(F.col("belief") * F.col("n")) + 1) / (F.sum("n") + 2)).first()[0] or 0.5
+    one, s = F.col("belief"), F.col("s").cast("double")
+    rates = flat.join(belief, "_p").groupBy(F.col("a").alias("annotator")).agg(
+        F.sum("n").alias("items"),
+        ((F.sum(one * s * F.col("n")) + right) / (F.sum(one * F.col("n")) + right + wrong)).alias("sensitivity"),
+        ((F.sum((1 - one) * (1 - s) * F.col("n")) + right) / (F.sum((1 - one) * F.col("n")) + right + wrong)).alias("specificity"),
+    )
+    named = {a: ",".join(b) for b in blocks for a in b}
+    label = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[F.col("annotator")] if named else F.lit(None).cast("string")
+    return skew_join(items, belief, "_p"), rates.withColumn("depends_on", label), turn
+
+
+def _expected(alone: Column, plus: Column, usual: Column) -> tuple[Column, Column]:
+    """Rates of a label before any is seen: an annotator is right more often than not; a combination of votes says nothing."""
+    right, wrong = (x / sum(PRIOR) for x in PRIOR)
+    return F.when(alone & plus, right).when(alone, wrong).otherwise(usual), F.when(alone & plus, wrong).when(alone, right).otherwise(usual)
+
+
+def _rounds_few(spark: SparkSession, state: DataFrame, start: DataFrame, labels: list[tuple[str, str]], scratch: Scratch, rounds: int, tolerance: float) -> tuple[DataFrame, int]:
+    """Rounds for at most ``LOOKUP`` labels: their sums go through the driver, and a round is one pass over the vote combinations
+    without a shuffle of them."""
+    at = spark.createDataFrame([(u, k, i) for i, (u, k) in enumerate(labels)], "u string, k string, i int")
+    packed = state.join(F.broadcast(at), ["u", "k"]).groupBy("_p", "n").agg(F.collect_list("i").alias("ks"))  # each label once at most
+    now, turn, weight = scratch.put(packed.join(start, "_p"), "state"), 0, sum(PRIOR)
+    b, n = F.col("belief"), F.col("n")
+    totals = now.agg((F.sum(b * n) + 1) / (F.sum(n) + 2)).first()
+    prior = totals[0] or 0.5
+    while turn < rounds and labels:
+        turn += 1
+        seen = now.select("n", "belief", F.explode("ks").alias("i")).groupBy("i").agg(F.sum(b * n).alias("b1"), F.sum((1 - b) * n).alias("b0"))
+        got = {r["i"]: (r["b1"], r["b0"]) for r in seen.collect()}  # <= LOOKUP rows
+        of_unit: dict[str, list[float]] = {}
+        for i, (u, _) in enumerate(labels):
+            t = of_unit.setdefault(u, [0.0, 0.0])
+            t[0], t[1] = t[0] + got[i][0], t[1] + got[i][1]
+        rows = []
+        for i, (u, k) in enumerate(labels):
+            (b1, b0), (t1, t0) = got[i], of_unit[u]
+            e1, e0 = ((x if k == "+" else y) / weight for x, y in (PRIOR, PRIOR[::-1])) if u.startswith("a:") else ((b1 + b0) / (t1 + t0),) * 2
+            rows.append((b1 + weight * e1, b0 + weight * e0, t1 + weight, t0 + weight))
+        sums = spark.createDataFrame([tuple(list(c) for c in zip(*rows))], "b1 array<double>, b0 array<double>, t1 array<double>, t0 array<double>")
+        answer = F.aggregate("ks", F.lit(math.log(prior / (1 - prior))), lambda acc, i: acc + _llr(*[F.get(F.col(c), i) for c in ("b1", "b0", "t1", "t0")], b))
+        seen = Observation()
+        after = now.crossJoin(F.broadcast(sums)).select("_p", "n", "ks", _sigmoid(answer).alias("belief"), b.alias("before"))
+        after = after.observe(seen, F.max(F.abs(b - F.col("before"))).alias("moved"), ((F.sum(b * n) + 1) / (F.sum(n) + 2)).alias("prior"))
+        before, now = now, scratch.put(after, "state")
+        scratch.drop(before)
+        moved, prior = seen.get["moved"] or 0.0, seen.get["prior"] or 0.5
+        if moved < tolerance:
+            break
+    return now.select("_p", "belief"), turn
+
+
+def _rounds_many(spark: SparkSession, state: DataFrame, start: DataFrame, labels: list, scratch: Scratch, rounds: int, tolerance: float) -> tuple[DataFrame, int]:
+    """Rounds for any number of labels: messages meet by joins, labels that fill much of the table apart."""
+    state = scratch.put(state.withColumn("uk", F.concat_ws("\x1e", "u", "k")), "units")
+    hot, belief, turn, weight = hot_keys(state, "uk"), start, 0, F.lit(sum(PRIOR))
+    n_of = state.select("_p", "n").distinct()
+    b, n = F.col("belief"), F.col("n")
+    prior = start.join(n_of, "_p").agg((F.sum(b * n) + 1) / (F.sum(n) + 2)).first()[0] or 0.5
     while turn < rounds:
         turn += 1
         seen = state.join(belief.select("_p", "belief"), "_p")
-        sums = seen.groupBy("u", "k", "uk").agg(F.sum(F.col("belief") * F.col("n")).alias("b1"), F.sum((1 - F.col("belief")) * F.col("n")).alias("b0"))
+        sums = seen.groupBy("u", "k", "uk").agg(F.sum(b * n).alias("b1"), F.sum((1 - b) * n).alias("b0"))
         of_unit = sums.groupBy("u").agg(F.sum("b1").alias("t1"), F.sum("b0").alias("t0"))
-        rates = sums.join(of_unit, "u").select("uk", "b1", "b0", "t1", "t0")
-        e = seen.join(F.broadcast(rates), "uk") if few else skew_join(seen, rates, "uk", "inner", hot)
-        # before any label: an annotator is right more often than not; a combination of votes says nothing
-        alone = F.col("u").startswith("a:")
-        usual = (F.col("b1") + F.col("b0")) / (F.col("t1") + F.col("t0"))
-        weight = right + wrong
-        e1 = F.when(alone & (F.col("k") == "+"), right / weight).when(alone, wrong / weight).otherwise(usual)
-        e0 = F.when(alone & (F.col("k") == "+"), wrong / weight).when(alone, right / weight).otherwise(usual)
-        p1 = (F.col("b1") - F.col("belief") + weight * e1) / (F.col("t1") - F.col("belief") + weight)
-        p0 = (F.col("b0") - (1 - F.col("belief")) + weight * e0) / (F.col("t0") - (1 - F.col("belief")) + weight)
-        tiny = F.lit(1e-9)
-        answers = e.select("_p", "n", "belief", F.log(F.greatest(p1, tiny) / F.greatest(p0, tiny)).alias("y"))
-        log_odds = F.lit(math.log(prior / (1 - prior))) + F.sum("y")
-        after = answers.groupBy("_p", "n").agg((1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), log_odds))))).alias("belief"), F.first("belief").alias("before"))
-        after = scratch.put(after, "belief")
-        moved, prior = after.agg(F.max(F.abs(F.col("belief") - F.col("before"))), (F.sum(F.col("belief") * F.col("n")) + 1) / (F.sum("n") + 2)).first()
-        moved, prior = moved or 0.0, prior or 0.5
-        scratch.drop(belief)
-        belief = after
+        e1, e0 = _expected(F.col("u").startswith("a:"), F.col("k") == "+", (F.col("b1") + F.col("b0")) / (F.col("t1") + F.col("t0")))
+        rates = sums.join(of_unit, "u").select("uk", (F.col("b1") + weight * e1).alias("b1"), (F.col("b0") + weight * e0).alias("b0"), (F.col("t1") + weight).alias("t1"), (F.col("t0") + weight).alias("t0"))
+        e = skew_join(seen, rates, "uk", "inner", hot)
+        answers = e.select("_p", "n", "belief", _llr(*[F.col(c) for c in ("b1", "b0", "t1", "t0")], b).alias("y"))
+        met = Observation()
+        after = answers.groupBy("_p", "n").agg(_sigmoid(F.lit(math.log(prior / (1 - prior))) + F.sum("y")).alias("belief"), F.first("belief").alias("before"))
+        after = after.observe(met, F.max(F.abs(b - F.col("before"))).alias("moved"), ((F.sum(b * n) + 1) / (F.sum(n) + 2)).alias("prior"))
+        before, belief = belief, scratch.put(after, "belief")
+        scratch.drop(before)
+        moved, prior = met.get["moved"] or 0.0, met.get["prior"] or 0.5
         if moved < tolerance:
             break
-    known = belief.select("_p", "belief")
-    rates = flat.join(known, "_p").groupBy(F.col("a").alias("annotator")).agg(
-        F.sum("n").alias("items"),
-        ((F.sum(F.col("belief") * F.col("s") * F.col("n")) + right) / (F.sum(F.col("belief") * F.col("n")) + right + wrong)).alias("sensitivity"),
-        ((F.sum((1 - F.col("belief")) * (1 - F.col("s")) * F.col("n")) + right) / (F.sum((1 - F.col("belief")) * F.col("n")) + right + wrong)).alias("specificity"),
-    )
-    named = {a: ",".join(b) for b in blocks for a in b}
-    label = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])[F.col("annotator")] if named else F.lit(None).cast("string")
-    return skew_join(items.select(*item, "_p"), known, "_p"), rates.withColumn("depends_on", label), turn
+    return belief.select("_p", "belief"), turn

@@ -77,3 +77,35 @@ def test_latest_usable_vote(spark):
 @pytest.mark.parametrize(("said", "cls"), [(' "Same." ', "same"), ("same mandate", "same"), ("not same", "different"), ("Not the same", "different"), ("diff", "different"), ("DIFFERENT.", "different"), ("Unclear", "unclear"), ("refused", None), ("n/a", None), ("", None), (None, None)])
 def test_verdicts(spark, said, cls):
     assert spark.createDataFrame([(said,)], "v string").select(verdict_class(F.col("v"))).first()[0] == cls
+
+
+def test_both_forms_agree(spark, scratch, monkeypatch):
+    truth, rows = made(600, {"a": 0.9, "b": 0.8, "c": 0.7, "d": 0.3, "e": 0.6}, ["same", "different"])
+    votes = spark.createDataFrame(rows, "i int, j string, v string")
+    few = {r["i"]: r["score"] for r in message_passing(votes, ["i"], "j", "v", ["same", "different"], scratch).items.collect()}
+    monkeypatch.setattr("docketry.llm.consensus.LOOKUP", 3)
+    many = {r["i"]: r["score"] for r in message_passing(votes, ["i"], "j", "v", ["same", "different"], scratch).items.collect()}
+    assert few.keys() == many.keys() and all(abs(few[i] - many[i]) < 1e-9 for i in few)
+
+
+def test_panels_grown_where_judges_disagree(spark, scratch):
+    """Good judges called in where the first ones leave it open: they agree by their skill, not by copying."""
+    r = random.Random(4)
+    skill = {"a": 0.97, "b": 0.95, "c": 0.97, "d": 0.85, "e": 0.83, "f": 0.72, "g": 0.5, "h": 0.2}
+    odds = {j: math.log(p / (1 - p)) for j, p in skill.items()}
+    truth, rows = {}, []
+    for i in range(6000):
+        t = truth[i] = r.choice(["same", "different"])
+        panel, said, total = r.sample("abdefgh", r.randint(3, 5)), {}, 0.0
+        for j in [*panel, *[x for x in "cab" if x not in panel]]:
+            if len(said) >= len(panel) and abs(total) > 2:
+                break
+            said[j] = t if r.random() < skill[j] else {"same": "different", "different": "same"}[t]
+            total += odds[j] * (1 if said[j] == "same" else -1)
+        rows += [(i, j, v) for j, v in said.items()]
+    out = message_passing(spark.createDataFrame(rows, "i int, j string, v string"), ["i"], "j", "v", ["same", "different"], scratch, joint=False)
+    best = {i: 0.0 for i in truth}
+    for i, j, v in rows:
+        best[i] += odds[j] * (1 if v == "same" else -1)
+    known = sum((best[i] >= 0) == (truth[i] == "same") for i in truth) / len(truth)
+    assert accuracy(out, truth) > known - 0.005
