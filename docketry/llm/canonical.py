@@ -12,26 +12,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import skew_join
+from ..runtime import HOT_SHARE, Scratch, skew_join
 
-#: Ways in which words of names are shortened.
-ABBREVIATIONS = {
-    "department": "dept dpt dep't dep depart", "bureau": "bur bu", "federal": "fed fedl fed'l", "national": "natl nat'l nat", "commission": "comm commn comn comm'n",
-    "administration": "admin adm admn admin'n", "institute": "inst instit", "centers": "ctrs ctr cntrs center centres", "foundation": "fdn found fndn", "office": "ofc off offc",
-    "services": "svcs svc svs srvcs serv service", "agency": "agy agcy", "corporation": "corp corpn", "council": "cncl coun", "board": "bd brd", "association": "assn assoc",
-    "committee": "cmte cttee", "government": "govt gov't", "international": "intl int'l", "united states": "us usa u.s u.s.a", "affairs": "aff affs", "safety": "sfty",
-    "accountability": "acct acctability acctblty account", "memorial": "mem meml", "scholarship": "schlrshp", "departments": "depts dpts", "and": "&",
-}
 #: Words that carry no meaning of their own in a name.
 FILLERS = frozenset("the of for and a an to in on".split())
+#: Words after which a name stands by itself: "Secretary of the <name>".
+CONNECTIVES = frozenset("of within at under in from".split())
+#: Short forms of the country's name, which may stand before any name.
+COUNTRY = {"us": ("united", "states"), "usa": ("united", "states")}
 #: Broadcast bound: a longer list is refused.
 MOST_ENTRIES = 200_000
-_SPLIT = re.compile(r"\s+[-–—‒―]+\s+|\s*[:/|;\[\](){}]\s*|\s*,\s+|\s+[–—]|[–—]\s+")
+#: Two word sets are one name when at least this part of all their words pairs off.
+COVER = 0.8
+#: Similarity of a word to one it shortens: by its beginning or keeping the last letter, by any letters in order, with one letter wrong.
+SHORT = (0.95, 0.85, 0.75)
+_BREAK = re.compile(r"\s+[-–—‒―]+\s+|\s*[:/|;\[\](){}]\s*|\s*,(?=\s|$)|\s+[–—]|[–—]\s+")
 _ZERO = re.compile(r"(?<=[^\W\d_])0|0(?=[^\W\d_])")
 
 
 def _words(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+(?:'[a-z]+)?", text)
+    return re.findall(r"[a-z0-9]+|\||&", text.replace("'", ""))
 
 
 class Canon:
@@ -39,50 +39,47 @@ class Canon:
 
     def __init__(self, entries: list[tuple], threshold: float):
         self.threshold = threshold
-        self.short = {a: full for full, many in ABBREVIATIONS.items() for a in many.split()}
-        self.names: dict[str, set] = defaultdict(set)  # normal form -> ids
         self.tokens: dict = {}  # id -> content words in order
         self.holders: dict[str, set] = defaultdict(set)  # content word -> ids
+        patterns: dict[str, set] = defaultdict(set)  # words between blanks -> ids
         initials: dict[str, set] = defaultdict(set)
         listed: dict[str, set] = defaultdict(set)
         for id_, name, aliases in entries:
             if not name or not name.strip():
                 continue
-            norm = self.normal(name)
-            self.names[norm].add(id_)
-            self.tokens[id_] = content = [w for w in norm.split() if w not in FILLERS]
+            words = self.read(name)
+            self.tokens[id_] = content = [w for w in words if w not in FILLERS and w != "|"]
             for w in content:
                 self.holders[w].add(id_)
-            raw = _words(self.fold(name).replace("&", " and "))
-            for pick in ({w for w in FILLERS}, {"the"}, set()):
-                code = "".join(w[0] for w in raw if w not in pick)
+            for form in (words, content):
+                patterns[" ".join(form)].add(id_)
+                for k in range(1, len(form)):  # turned round at a comma
+                    patterns[" ".join([*form[k:], "|", *form[:k]])].add(id_)
+            for skip in (FILLERS, {"the"}, set()):
+                code = "".join(w[0] for w in words if w not in skip and w != "|")
                 if len(code) > 1:
                     initials[code].add(id_)
             for a in aliases:
                 if a and a.strip():
                     if " " in a.strip():
-                        self.names[self.normal(a)].add(id_)
+                        patterns[" ".join(self.read(a))].add(id_)
                     else:
                         listed[re.sub(r"[^a-z0-9]", "", self.fold(a))].add(id_)
         # acronyms: the listed one wins, else initials that no other entry shares
         self.codes = {c: next(iter(x)) for c, x in initials.items() if len(x) == 1} | {c: next(iter(x)) for c, x in listed.items() if len(x) == 1}
         self.automaton = ahocorasick.Automaton()
-        for norm, ids in self.names.items():
-            loose = " ".join(w for w in norm.split() if w not in FILLERS)
-            for form in {norm, loose}:
-                if form:
-                    key = f" {form} "
-                    old = self.automaton.get(key, (key, frozenset()))[1]
-                    self.automaton.add_word(key, (key, old | frozenset(ids)))
-        self.automaton.make_automaton()
+        for p, ids in patterns.items():
+            if p:
+                self.automaton.add_word(f" {p} ", (p.count(" ") + 1, len(p) + 2, frozenset(ids)))
+        if patterns:
+            self.automaton.make_automaton()
         self.near = defaultdict(set)  # deletions of up to two letters -> content words
+        self.by_letter: dict[str, list[str]] = defaultdict(list)
         for w in self.holders:
+            self.by_letter[w[0]].append(w)
             for d in self._deletions(w, 2 if len(w) > 4 else 1):
                 self.near[d].add(w)
-        for a, full in self.short.items():  # misspelt short forms stand for the long one
-            if len(a) > 4 and a.isalpha() and full in self.holders and a not in self.holders:
-                for d in self._deletions(a, 1):
-                    self.near[d].add(a)
+        self.longest = max(map(len, self.holders), default=0)
         self.cache: dict[str, list] = {}
 
     @staticmethod
@@ -91,13 +88,11 @@ class Canon:
         text = "".join(c for c in text if not unicodedata.combining(c)).replace("’", "'").replace("_", " ").casefold()
         return re.sub(r"\s+", " ", _ZERO.sub("o", text)).strip()
 
-    def normal(self, text: str) -> str:
-        """Folded, abbreviations spelt out, words only."""
-        text = re.sub(r"\bu\. ?s\.(?: ?a\.)?", " us ", self.fold(text)).replace("&", " & ")
-        out = []
-        for w in re.findall(r"[a-z0-9]+(?:'[a-z]+)?|&", text):
-            out.append(self.short.get(w, w))
-        return " ".join(out)
+    def read(self, text: str) -> list[str]:
+        """Words of a text with ``|`` where it is broken; letters standing singly are joined, ``&`` is "and"."""
+        text = _BREAK.sub(" | ", re.sub(r"\s*(?:\d+/|\*+)\s*$", "", self.fold(text)))
+        text = re.sub(r"(?<![a-z0-9'])(?:[a-z]\.?[ ]){1,}[a-z]\.?(?![a-z0-9'])|(?<![a-z0-9'])(?:[a-z]\.){2,}", lambda m: re.sub(r"[ .]", "", m.group()), text)
+        return ["and" if w == "&" else w for w in _words(text)]
 
     @staticmethod
     def _deletions(w: str, depth: int) -> set[str]:
@@ -123,46 +118,74 @@ class Canon:
             prev2, prev = prev, row
         return min(prev[-1], most + 1)
 
+    @staticmethod
+    def shortens(w: str, v: str) -> float:
+        """Similarity of ``w`` to the longer ``v`` whose beginning or whose letters in order it is; 0 if it isn't."""
+        if len(w) < 2 or len(w) >= len(v) or w[0] != v[0]:
+            return 0.0
+        if v.startswith(w):
+            return SHORT[0] if len(w) > 2 else SHORT[1]
+        letters = iter(v)
+        if not all(c in letters for c in w):
+            return 0.0
+        return SHORT[0] if w[-1] == v[-1] else SHORT[1] if len(w) > 2 else 0.0
+
     def alike(self, w: str) -> list[tuple[str, float]]:
-        """Content words that ``w`` may be a misspelling of, with a similarity up to 1."""
+        """Content words that ``w`` may be a misspelling or a short form of, with a similarity up to 1."""
         got = self.cache.get(w)
         if got is None:
             if w in self.holders:
                 got = [(w, 1.0)]
             else:
+                best = {v: s for v in self.by_letter.get(w[0], ()) if (s := self.shortens(w, v))}
                 maybe = set()
-                for d in self._deletions(w, 2 if len(w) > 3 else 1) if len(w) <= 32 else ():
-                    maybe |= self.near.get(d, set())
-                got = []
+                if len(w) <= self.longest + 3:
+                    for d in self._deletions(w, 2 if len(w) > 3 else 1):
+                        maybe |= self.near.get(d, set())
                 for v in maybe:
                     far = self.distance(w, v, 3)
                     same = w[0] == v[0]
-                    full = self.short.get(v, v)
                     if far <= 1 or (far == 2 and len(v) > 4 and (len(w) > 4 or same)) or (far == 3 and len(v) > 5 and len(w) > 4 and same):
-                        got.append((full, 1 - (far + (full != v)) / (2 + max(len(w), len(v)))))
+                        best[v] = max(best.get(v, 0.0), 1 - far / (2 + max(len(w), len(v))))
+                if not best and len(w) > 4:  # a short form with a letter too much or wrong
+                    for x in self._deletions(w, 1):
+                        best.update({v: SHORT[2] for v in self.by_letter.get(x[0], ()) if self.shortens(x, v) == SHORT[0]})
+                got = sorted(best.items())
             if len(self.cache) < 500_000:
                 self.cache[w] = got
         return got
 
-    def exact(self, norm: str) -> object | None:
-        """The entry whose name or alias covers the words entirely: longest non-overlapping mentions, at most fillers beside."""
-        if not self.names:
+    @staticmethod
+    def _idle(words: list[str]) -> bool:
+        return all(w in FILLERS or w in COUNTRY or w in ("united", "states") or not w.isalpha() for w in words)
+
+    def mention(self, words: list[str]) -> object | None:
+        """The entry a value mentions: of all names found anywhere in it the longest that don't overlap, then the first that stands
+        by itself: nothing but fillers behind it up to the next break, and before it too, or a connective ("of the")."""
+        if not self.tokens:
             return None
-        text = f" {norm} "
-        spans = sorted(((end - len(key) + 1, end, ids) for end, (key, ids) in self.automaton.iter(text)), key=lambda s: (s[0] - s[1], s[0]))
+        text = f" {' '.join(words)} "
+        spans = []
+        for end, (n, size, ids) in self.automaton.iter(text):
+            first = text.count(" ", 0, end - size + 1)  # words before the mention
+            spans.append((first, first + n, ids))
         taken: list[tuple] = []
-        for a, b, ids in spans:
-            if all(b <= x + 0 or a >= y for x, y, _ in taken):
+        for a, b, ids in sorted(spans, key=lambda s: (s[0] - s[1], s[0])):
+            if all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, ids))
-        if len(taken) != 1 or len(taken[0][2]) != 1:
-            return None
-        a, b, ids = taken[0]
-        rest = (text[:a] + " " + text[b + 1 :]).split()
-        return next(iter(ids)) if all(w in FILLERS or w in ("united", "states", "us") or not w.isalpha() for w in rest) else None
+        for a, b, ids in sorted(taken):
+            left = words[:a][::-1]
+            left = left[: left.index("|")] if "|" in left else left
+            right = words[b:]
+            right = right[: right.index("|")] if "|" in right else right
+            lead = next((w for w in left if w not in ("the", "a", "an")), "")
+            if len(ids) == 1 and self._idle(right) and (self._idle(left) or lead in CONNECTIVES):
+                return next(iter(ids))
+        return None
 
-    def loose(self, norm: str) -> tuple[float, object] | None:
-        """Best entry by token-set similarity, its words matched one to one; None below the threshold or on a tie."""
-        words = [w for w in norm.split() if w not in FILLERS and (w.isalpha() or len(w) > 2)]
+    def similar(self, words: list[str]) -> tuple[float, object] | None:
+        """Best entry by token-set similarity, words matched one to one; None below the thresholds or on a tie."""
+        words = [x for w in words for x in COUNTRY.get(w, (w,)) if x not in FILLERS and x != "|" and (x.isalpha() or len(x) > 2)]
         if not words:
             return None
         options = [self.alike(w) for w in words]
@@ -173,88 +196,76 @@ class Canon:
         best: list[tuple[float, object]] = []
         for id_, h in hits.items():
             content = self.tokens[id_]
-            extra = 2 if "united" in words and "united" not in content else 0
-            if h / (len(words) - extra + len(content) - h) < self.threshold * 0.8:
+            # "United States" may be put before any name
+            spare = [] if "united" in content else [w for w in words if w in ("united", "states")]
+            n = len(words) - len(spare)
+            if h < COVER * (n + len(content) - h):
                 continue
-            left, score, matched = list(content), 0.0, 0
-            for o in sorted(options, key=len):
-                pick = max(((s, v) for v, s in o if v in left), default=None)
-                if pick:
-                    left.remove(pick[1])
-                    score += pick[0]
-                    matched += 1
-            # "United States" may be put before any name or left out
-            spare = [w for w, o in zip(words, options) if w in ("united", "states") and "united" not in content]
-            if matched == len(content) and len(words) - len(spare) == matched:
-                best.append((score / matched, id_))
-        best.sort(key=lambda x: (-x[0], str(x[1])))
-        if not best or best[0][0] < self.threshold or (len(best) > 1 and best[0][0] - best[1][0] < 1e-9):
+            left, used, score = list(content), set(), 0.0
+            for much, i, v in sorted(((s, i, v) for i, o in enumerate(options) for v, s in o if v in left), key=lambda x: (len(options[x[1]]), -x[0], x[1], x[2])):
+                if i not in used and v in left:
+                    left.remove(v)
+                    used.add(i)
+                    score += much
+            matched = len(used)
+            if matched >= COVER * (n + len(content) - matched) and matched:
+                cover = matched / (n + len(content) - matched)
+                best.append((score / matched * cover, score / matched, id_))
+        best.sort(key=lambda x: (-x[0], str(x[2])))
+        if not best or best[0][1] < self.threshold or (len(best) > 1 and best[0][0] - best[1][0] < 1e-9):
             return None
-        return best[0]
-
-    def code(self, text: str) -> object | None:
-        bare = re.sub(r"[\s.\-]", "", re.sub(r"\s*(?:\d+/|\*+|[;,:])\s*$", "", text.strip().strip("\"'“”")))
-        letters = re.fullmatch(r"(?:[A-Za-z][\s.\-]*)+", re.sub(r"\s*(?:\d+/|\*+|[;,:])\s*$", "", text.strip().strip("\"'“”")))
-        if letters and 2 <= len(bare) <= 10 and (re.fullmatch(r"\S+", text.strip()) or re.fullmatch(r"(?:[A-Za-z][\s.\-]+)*[A-Za-z]?[\s.]*", text.strip().rstrip(";,:*"))):
-            return self.codes.get(bare.casefold())
-        return None
-
-    def forms(self, text: str) -> Iterator[str]:
-        """The whole value, its turned-round forms, then its parts in order."""
-        parts = [p for p in _SPLIT.split(text) if p and p.strip(" \t\n.,;*-")]
-        yield text
-        if "," in text:
-            head, _, tail = text.rpartition(",")
-            if tail.strip(" .;*") and head.strip():
-                yield f"{tail} {head}"
-        if len(parts) > 1:
-            for p in parts:
-                yield p
-                if "," in p:
-                    head, _, tail = p.rpartition(",")
-                    yield f"{tail} {head}"
-            # a comma both turns the name round and stands before a unit
-            for i in range(1, len(parts)):
-                yield f"{parts[i]} {parts[i - 1]}"
+        return best[0][0], best[0][2]
 
     def find(self, value: str) -> tuple[object | None, str]:
-        """Entry meant by a value and how it was found: ``exact``, ``code``, ``similar`` or ``none``."""
-        text = re.sub(r"\s*(?:\d+/|\*+)\s*$", "", re.sub(r"\s+", " ", value.replace("_", " ").strip().strip("\"“”"))).strip(" -*;")
-        if (hit := self.code(text)) is not None:
-            return hit, "code"
-        forms = list(dict.fromkeys(f for f in self.forms(text)))
-        norms = [self.normal(f) for f in forms]
-        for n in norms:
-            if (hit := self.exact(n)) is not None:
-                return hit, "exact"
-        for n in norms:
-            if (got := self.loose(n)) is not None:
+        """Entry meant by a value and how it was found: ``exact`` (a mention), ``code``, ``similar`` or ``none``."""
+        words = self.read(value)
+        parts: list[list[str]] = [[]]
+        for w in words:
+            parts.append([]) if w == "|" else parts[-1].append(w)
+        parts = [p for p in parts if p]
+        codes = [self.codes.get(p[0]) if len(p) == 1 and 2 <= len(p[0]) <= 10 else None for p in parts]
+        if len(parts) == 1 and codes[0] is not None:
+            return codes[0], "code"
+        if (hit := self.mention(words)) is not None:
+            return hit, "exact"
+        tails = [p[i + 2 :] for p in parts for i in range(1, len(p) - 2) if p[i] in CONNECTIVES and p[i + 1] == "the"]
+        pairs = [x + y for x, y in zip(parts, parts[1:])] if len(parts) > 2 else []
+        for form in [words, *(parts if len(parts) > 1 else []), *pairs, *tails]:
+            if (got := self.similar(form)) is not None:
                 return got[1], "similar"
-        for f in forms[1:]:
-            if (hit := self.code(f)) is not None:
-                return hit, "code"
-        return None, "none"
+        hit = next((c for c in codes if c is not None), None)
+        return (hit, "code") if hit is not None else (None, "none")
 
 
 _compiled: dict[int, Canon] = {}
 
 
-def map_values(df: DataFrame, value: str, entries: DataFrame, entry_id: str, name: str, aliases: Iterable[str], out: str = "entry_id", threshold: float = 0.72) -> DataFrame:
-    """Add ``out`` (the entry meant, null if none) and ``how`` to every row.
+def map_values(df: DataFrame, value: str, entries: DataFrame, entry_id: str, name: str, aliases: Iterable[str], out: str = "entry_id", threshold: float = 0.72, scratch: Scratch | None = None) -> DataFrame:
+    """Add ``out`` (the entry meant, null if none) and ``how`` (``exact`` for a mention, ``code``, ``similar``, ``none``) to every row.
 
-    Distinct values are mapped once and joined back, hot values apart, so a value that fills a third of the rows costs
-    one lookup. ``entries`` must have at most ``MOST_ENTRIES`` rows, which is checked; it is broadcast. Null, empty and
-    blank values get null and ``none``. An ambiguous value (two entries equally near) gets none. Columns ``out`` and
-    ``how`` of the input are replaced.
+    An automaton over names, aliases and names turned round finds every mention in a value; the longest that don't overlap
+    win, and one stands if nothing but fillers is beside it up to the next break, or a connective before it. A word that
+    isn't part of the name and follows without a break ("Solar Commission Mirror") makes another name, so no entry. What is left goes
+    to token-set similarity: words pair off one to one, misspelt or shortened, ``COVER`` of all words must, at a mean word
+    similarity of ``threshold``. Short forms are recognised from the list's own words. An ambiguous value gets none.
+
+    Distinct values are counted and mapped once, in as many tasks as there are shuffle partitions, and joined back, hot
+    values apart, so a value that fills a third of the rows costs one lookup. ``entries`` must have at most
+    ``MOST_ENTRIES`` rows, which is checked; it is broadcast. Null, empty and blank values get null and ``none``. Columns
+    ``out`` and ``how`` of the input are replaced. An empty table or list gives no matches.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
     spark = df.sparkSession
+    scratch = scratch or Scratch(spark, "canonical")
     got = entries.select(entry_id, name, *aliases).limit(MOST_ENTRIES + 1).toArrow().to_pylist()
     if len(got) > MOST_ENTRIES:
         raise ValueError(f"more than {MOST_ENTRIES} canonical entries")
     listed = sorted(((r[entry_id], r[name], tuple(r[a] for a in aliases)) for r in got), key=lambda r: str(r[0]))
     sent = spark.sparkContext.broadcast(listed)
     kind = entries.schema[entry_id].dataType
-    stamp = hash((tuple(listed), threshold))
+    ids, stamp = to_arrow_type(kind), hash((tuple(listed), threshold))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if stamp not in _compiled:
@@ -262,14 +273,14 @@ def map_values(df: DataFrame, value: str, entries: DataFrame, entry_id: str, nam
             _compiled[stamp] = Canon(sent.value, threshold)
         canon = _compiled[stamp]
         for b in batches:
-            results = [canon.find(v) if v and v.strip() else (None, "none") for v in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in results], ids), pa.array([r[1] for r in results], pa.string())], ["_v", out, "how"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StringType, StructField, StructType
+            results = [canon.find(v) if v.strip() else (None, "none") for v in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in results], ids), pa.array([r[1] for r in results], pa.string())], ["_v", "_n", out, "how"])
 
-    ids = to_arrow_type(kind)
-    schema = StructType([StructField("_v", StringType()), StructField(out, kind), StructField("how", StringType())])
+    schema = StructType([StructField("_v", StringType()), StructField("_n", LongType()), StructField(out, kind), StructField("how", StringType())])
     base = df.withColumn("_v", F.col(value)).drop(out, "how")
-    mapped = base.filter(F.col("_v").isNotNull()).select("_v").distinct().mapInArrow(find, schema)
-    return skew_join(base, mapped, "_v").drop("_v").withColumn("how", F.coalesce("how", F.lit("none")))
+    counted = base.filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.count("*").alias("_n"))
+    # a stated number of partitions: adaptive execution would put the few bytes of all values into one task
+    mapped = scratch.put(counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_v").mapInArrow(find, schema), "mapped")
+    total = mapped.agg(F.sum("_n")).first()[0] or 0
+    hot = [r[0] for r in mapped.filter(F.col("_n") > max(1, total * HOT_SHARE)).select("_v").collect()]  # < 1 / HOT_SHARE
+    return skew_join(base, mapped.drop("_n"), "_v", hot=hot).drop("_v").withColumn("how", F.coalesce("how", F.lit("none")))

@@ -98,7 +98,7 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     filed = filed.select(F.lit("submissions").alias("table_name"), F.col("package_id").alias("record_key"), "value")
     blank = r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]"
     typed = report.unionByName(filed).filter(F.length(F.regexp_replace("value", blank, "")) > 0)
-    return canonical.map_values(typed.join(exact, "value", "left_anti"), "value", entries, "entity_id", "canonical_name", ["acronym"], out="entity_id")
+    return canonical.map_values(typed.join(exact, "value", "left_anti"), "value", entries, "entity_id", "canonical_name", ["acronym"], out="entity_id", scratch=Scratch(spark, "p5"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
