@@ -280,7 +280,7 @@ def map_values(df: DataFrame, value: str, entries: DataFrame, entry_id: str, nam
     base = df.withColumn("_v", F.col(value)).drop(out, "how")
     counted = base.filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.count("*").alias("_n"))
     # a stated number of partitions: adaptive execution would put the few bytes of all values into one task
-    mapped = scratch.put(counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_v").mapInArrow(find, schema), "mapped")
+    mapped = scratch.put(counted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(find, schema), "mapped")
     total = mapped.agg(F.sum("_n")).first()[0] or 0
     hot = [r[0] for r in mapped.filter(F.col("_n") > max(1, total * HOT_SHARE)).select("_v").collect()]  # < 1 / HOT_SHARE
     return skew_join(base, mapped.drop("_n"), "_v", hot=hot).drop("_v").withColumn("how", F.coalesce("how", F.lit("none")))
