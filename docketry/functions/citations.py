@@ -131,14 +131,32 @@ def ancestors(uslm_id: Column) -> Column:
     return F.when(section.isNull() | uslm_id.rlike("/note/[0-9]+$") | (depth < 1), none).otherwise(F.coalesce(up, none))
 
 
+def parent_of(uslm_id: Column) -> Column:
+    """The enclosing node; null for sections, notes and ids without a section."""
+    return F.get(ancestors(uslm_id), F.lit(0))
+
+
 def citation(uslm_id: Column) -> Column:
-    """Readable citation of a node id: ``5a U.S.C. App. 3(b)`` style, with ``note`` for notes; null if it has no section."""
-    t = F.regexp_extract(uslm_id, "/t([0-9]+[a-zA-Z]?)/s([^/]+)", 1)
-    s = F.regexp_extract(uslm_id, "/t([0-9]+[a-zA-Z]?)/s([^/]+)", 2)
-    rest = F.regexp_extract(uslm_id, "/t[0-9]+[a-zA-Z]?/s[^/]+(/.*)?$", 1)
-    app = F.when(t.rlike("[aA]$"), F.concat(F.regexp_replace(t, "[aA]$", ""), F.lit(" U.S.C. App. "))).otherwise(F.concat(t, F.lit(" U.S.C. ")))
-    path = F.when(rest.startswith("/note"), " note").otherwise(F.regexp_replace(rest, "/([^/]+)", "($1)"))
-    return F.when(s != "", F.concat(app, s, path))
+    """Readable citation of a node id, dashes folded: ``42 U.S.C. 300gg-111(a)(2)``, ``10 U.S.C. 2687 note``, and for a law printed
+    in an appendix ``Pub. L. 95-452, § 8(b) (5 U.S.C. App.)``. Other ids come back as they are; null stays null."""
+    u = fold_dashes(uslm_id)
+    law, node = r"^/us/usc/t([0-9A-Za-z_]+)/pl/([0-9]+)/([0-9]+)/s([^/]+)((?:/[^/]+)*)$", r"^/us/usc/t([0-9A-Za-z_]+)/s([^/]+)((?:/[^/]+)*)$"
+    part = lambda pattern, g: F.regexp_extract(u, pattern, g)
+    path = lambda c: F.regexp_replace(c, "/([^/]+)", "($1)")
+    enacted = F.concat(F.lit("Pub. L. "), part(law, 2), F.lit("-"), part(law, 3), F.lit(", § "), part(law, 4), path(part(law, 5)), F.lit(" ("), F.regexp_replace(part(law, 1), "a+$", ""), F.lit(" U.S.C. App.)"))
+    coded = F.concat(part(node, 1), F.lit(" U.S.C. "), part(node, 2), F.when(part(node, 3).rlike("(^|/)note/[^/]+$"), " note").otherwise(path(part(node, 3))))
+    return F.when(u.rlike(law), enacted).when(u.rlike(node), coded).otherwise(uslm_id)
+
+
+#: Fixed value: address of a section in the public code browser.
+CODE_URL = "https://uscode.house.gov/view.xhtml?req=granuleid:USC-prelim-title{}-section{}&num=0&edition=prelim"
+
+
+def code_url(uslm_id: Column) -> Column:
+    """Web address of a node's section; null for appendix titles and ids without a section."""
+    u, pattern = fold_dashes(uslm_id), r"^/us/usc/t([0-9]+)/s([^/]+)"
+    before, between, after = CODE_URL.split("{}")
+    return F.when(u.rlike(pattern), F.concat(F.lit(before), F.regexp_extract(u, pattern, 1), F.lit(between), F.regexp_extract(u, pattern, 2), F.lit(after)))
 
 
 def newest_law(laws: Column) -> Column:

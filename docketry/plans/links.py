@@ -10,10 +10,10 @@ from ..functions import rules as R
 from ..functions import text as X
 from ..operators import linkage as J
 from ..operators.search import top_k_overlap, top_k_united
-from ..operators.units import collapse, nearest_ancestor
+from ..operators.units import DUTY, collapse, nearest_ancestor
 from ..runtime import table
 from .catalogue import query
-from .texts import FOLD, q, sql_keys, sql_norm, sql_tokens
+from .texts import FOLD, q, sql_case, sql_keys, sql_norm, sql_tokens
 
 #: Fixed value: name of the entry that stands for several agencies at once.
 MULTI = "Combined Departments Reporting Jointly"
@@ -222,12 +222,34 @@ def q_nearest_ancestor(spark: SparkSession, d: str) -> DataFrame:
     return nearest_ancestor(table(spark, d, "mandate_gold").select("uslm_id").filter("uslm_id is not null"))
 
 
-@query()
+def _sql_like(x: str, y: str) -> str:
+    return f"({x} = '' OR {y} = '' OR starts_with({x}, {y}) OR starts_with({y}, {x}))"
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT uslm_id, arg_max(struct_pack(e := trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(gold.recipient, '')), '[^a-z ]', ' ', 'g'), ' (the|a|an) ', ' ', 'g'), ' +', ' ', 'g')), c := {sql_case("lower(trim(coalesce(text, '')))", R.FREQUENCIES, "CASE WHEN lower(trim(coalesce(text, ''))) IN ('', 'unknown', 'none') THEN 'unknown' ELSE 'other' END", whole=False)}, t := coalesce(text, '')), gold_id) AS r
+      FROM mandate_gold WHERE gold.is_mandate AND uslm_id IS NOT NULL GROUP BY 1),
+    n AS (SELECT uslm_id AS id, r.e AS e, r.c AS c, r.t AS t, regexp_extract(uslm_id, {q(C.SECTION_PATH)}, 1) AS s FROM g),
+    p AS (SELECT id, s, list_filter(string_split(substr(id, length(s) + 2), '/'), lambda x: x <> '') AS p FROM n WHERE s <> '' AND NOT regexp_matches(id, '/note/[0-9]+$')),
+    up AS (SELECT id, k, CASE WHEN k = 0 THEN s ELSE s || '/' || array_to_string(p[1:k], '/') END AS a FROM (SELECT id, s, p, unnest(range(0, len(p))) AS k FROM p)),
+    parent AS (SELECT id, arg_max(a, k) AS parent FROM up GROUP BY 1),
+    near AS (SELECT up.id, arg_max(up.a, up.k) AS a FROM up JOIN n ON n.id = up.a GROUP BY 1),
+    link AS (SELECT near.id, near.a FROM near JOIN n x ON x.id = near.id JOIN n y ON y.id = near.a WHERE x.c = y.c AND {_sql_like('x.e', 'y.e')}),
+    chain AS (SELECT id, id AS o FROM n WHERE id NOT IN (SELECT id FROM link) UNION ALL SELECT link.id, chain.o FROM link JOIN chain ON chain.id = link.a),
+    root AS (SELECT n.id, n.e, n.c, n.t, parent.parent AS p FROM n JOIN chain ON chain.id = n.id AND chain.o = n.id JOIN parent ON parent.id = n.id),
+    head AS (SELECT p, c, e, min(id) AS id FROM root GROUP BY 1, 2, 3), nth AS (SELECT *, row_number() OVER (PARTITION BY p, c ORDER BY id) AS k FROM head),
+    fold AS (SELECT p, c, CAST(1 AS BIGINT) AS k, [struct_pack(e := e, id := id)] AS l FROM nth WHERE k = 1
+      UNION ALL SELECT f.p, f.c, f.k + 1, CASE WHEN len(list_filter(f.l, lambda y: {_sql_like('y.e', 'h.e')})) > 0 THEN f.l ELSE list_append(f.l, struct_pack(e := h.e, id := h.id)) END FROM fold f JOIN nth h ON h.p = f.p AND h.c = f.c AND h.k = f.k + 1),
+    done AS (SELECT p, c, arg_max(l, k) AS l FROM fold GROUP BY 1, 2),
+    joined AS (SELECT r.id, r.t, list_filter(d.l, lambda y: {_sql_like('y.e', 'r.e')})[1].id AS first FROM root r JOIN done d ON d.p = r.p AND d.c = r.c),
+    same AS (SELECT first, count(*) AS n, min(t) AS lo, max(t) AS hi FROM joined GROUP BY 1),
+    one AS (SELECT first FROM same WHERE n > 1 AND regexp_matches(substr(lo, 1, CAST(coalesce(list_min(list_filter(range(1, least(length(lo), length(hi)) + 1), lambda i: lo[i] <> hi[i])) - 1, least(length(lo), length(hi))) AS BIGINT)), {q(DUTY)})),
+    u AS (SELECT chain.id, chain.o, coalesce((SELECT any_value(j.first) FROM joined j JOIN one USING (first) WHERE j.id = chain.o), chain.o) AS unit FROM chain)
+    SELECT id AS uslm_id, unit AS unit_id, CASE WHEN unit = id THEN 'own' WHEN o <> id THEN 'ancestor' ELSE 'sibling' END AS rule FROM u""")
 def q_unit_collapse(spark: SparkSession, d: str) -> DataFrame:
-    """Adjudicated mandates collapsed into units per section (greedy fold: no SQL; tested against cases). Of
-    repeated ids the last ``gold_id`` counts."""
+    """Adjudicated mandates collapsed into units per section: entity from the recipient, rhythm from the text. Of repeated ids
+    the last ``gold_id`` counts."""
     g = table(spark, d, "mandate_gold").filter("gold.is_mandate")
-    return collapse(g.select("gold_id", "uslm_id", F.coalesce("gold.recipient", F.lit("")).alias("entity"), F.lit("annual").alias("cadence"), "text"), ("gold_id",))
+    return collapse(g.select("gold_id", "uslm_id", X.entity_key(F.coalesce("gold.recipient", F.lit(""))).alias("entity"), R.frequency(F.col("text")).alias("cadence"), "text"), ("gold_id",))
 
 
 @query(f"""WITH k AS (SELECT mandate_id, {sql_norm("coalesce(nature_of_report, '')")} || chr(31) || {sql_norm("coalesce(authority, '')")} AS k FROM report)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import rules as R
 from ..functions import text as X
+from ..operators import statutes as S
 from ..operators.statutes import destination, html_text
 from ..runtime import table
 from .catalogue import query
@@ -161,13 +162,18 @@ def q_path_ancestors(spark: SparkSession, d: str) -> DataFrame:
     return x.select("gold_id", "ancestor", (F.col("p") + 1).alias("distance"))
 
 
-@query(r"""WITH d AS (SELECT DISTINCT uslm_id FROM documents WHERE uslm_id IS NOT NULL),
-    x AS (SELECT uslm_id, regexp_extract(uslm_id, '/t([0-9]+[a-zA-Z]?)/s([^/]+)', 1) AS t, regexp_extract(uslm_id, '/t([0-9]+[a-zA-Z]?)/s([^/]+)', 2) AS s, regexp_extract(uslm_id, '/t[0-9]+[a-zA-Z]?/s[^/]+(/.*)?$', 1) AS r FROM d)
-    SELECT uslm_id, CASE WHEN s <> '' THEN CASE WHEN regexp_matches(t, '[aA]$') THEN regexp_replace(t, '[aA]$', '') || ' U.S.C. App. ' ELSE t || ' U.S.C. ' END || s ||
-      CASE WHEN starts_with(r, '/note') THEN ' note' ELSE regexp_replace(r, '/([^/]+)', '(\1)', 'g') END END AS citation FROM x""")
+LAW_NODE, CODE_NODE = "^/us/usc/t([0-9A-Za-z_]+)/pl/([0-9]+)/([0-9]+)/s([^/]+)((/[^/]+)*)$", "^/us/usc/t([0-9A-Za-z_]+)/s([^/]+)((/[^/]+)*)$"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT uslm_id, translate(uslm_id, {FOLD}) AS u FROM documents WHERE uslm_id IS NOT NULL),
+    x AS (SELECT *, regexp_extract(u, {q(LAW_NODE)}, ['t', 'c', 'n', 's', 'r']) AS l, regexp_extract(u, {q(CODE_NODE)}, ['t', 's', 'r']) AS k FROM d)
+    SELECT uslm_id, CASE WHEN l.t <> '' THEN 'Pub. L. ' || l.c || '-' || l.n || ', § ' || l.s || regexp_replace(l.r, '/([^/]+)', '(\\1)', 'g') || ' (' || rtrim(l.t, 'a') || ' U.S.C. App.)'
+      WHEN k.t <> '' THEN k.t || ' U.S.C. ' || k.s || CASE WHEN regexp_matches(k.r, '(^|/)note/[^/]+$') THEN ' note' ELSE regexp_replace(k.r, '/([^/]+)', '(\\1)', 'g') END ELSE uslm_id END AS citation,
+      CASE WHEN regexp_matches(u, '^/us/usc/t[0-9]+/s[^/]') THEN 'https://uscode.house.gov/view.xhtml?req=granuleid:USC-prelim-title' || regexp_extract(u, '^/us/usc/t([0-9]+)/s([^/]+)', 1) || '-section' || regexp_extract(u, '^/us/usc/t([0-9]+)/s([^/]+)', 2) || '&num=0&edition=prelim' END AS url FROM x""")
 def q_pretty_citation(spark: SparkSession, d: str) -> DataFrame:
-    """Readable citation of every node that documents name."""
-    return table(spark, d, "documents").select("uslm_id").filter("uslm_id is not null").distinct().select("uslm_id", C.citation(F.col("uslm_id")).alias("citation"))
+    """Readable citation and web address of every node that documents name."""
+    u = F.col("uslm_id")
+    return table(spark, d, "documents").select("uslm_id").filter("uslm_id is not null").distinct().select("uslm_id", C.citation(u).alias("citation"), C.code_url(u).alias("url"))
 
 
 @query("""WITH k AS (SELECT reporting_entity, regexp_replace(lower(coalesce(reporting_entity, '')), '[^a-z ]', ' ', 'g') AS s FROM report),
@@ -269,9 +275,23 @@ def q_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", R.names_recipient(F.col("text")).alias("named"), R.length_between(F.col("text"), 120, 4000).alias("sized"))
 
 
-@query()
+def _first_at(pattern: str) -> str:
+    """Where a pattern first matches in ``w``, 0 if nowhere."""
+    return f"CASE WHEN regexp_matches(w, {q('(?is)' + pattern)}) THEN length(regexp_extract(w, {q('(?is)^(.*?)(?:' + pattern + ')')}, 1)) + 1 ELSE 0 END"
+
+
+def _behind(verb: str) -> str:
+    """Array of what stands behind each match: the text is marked behind the matches and cut at the marks."""
+    cut = f"string_split(regexp_replace(t, {q('(?is)' + verb)}, '\\0' || chr(30), 'g'), chr(30))"
+    return f"list_transform(range(2, len({cut}) + 1), lambda i: left(array_to_string(({cut})[i:], ''), {S.WINDOW}))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), x AS (SELECT doc_id, unnest(list_concat({_behind(S.DELIVERY)}, {_behind(S.DIRECT)})) AS w FROM d),
+    y AS (SELECT doc_id, regexp_matches(w, {q('(?is)' + S.CHAMBER)}) AS c, {_first_at(S.COMMITTEE)} AS a, {_first_at(S.CONGRESS)} AS b FROM x),
+    z AS (SELECT doc_id, max(CASE WHEN c THEN 3 WHEN a > 0 AND (b = 0 OR a <= b) THEN 1 WHEN b > 0 THEN 2 ELSE 0 END) AS tier FROM y GROUP BY 1)
+    SELECT doc_id, CASE tier WHEN 3 THEN 'chamber' WHEN 2 THEN 'congress' WHEN 1 THEN 'committee' ELSE 'unknown' END AS destination FROM d LEFT JOIN z USING (doc_id)""")
 def q_destination(spark: SparkSession, d: str) -> DataFrame:
-    """To whom each document's reports go (overlapping spans: no SQL; tested against cases)."""
+    """To whom each document's reports go."""
     return table(spark, d, "documents").select("doc_id", destination(F.col("text")).alias("destination"))
 
 

@@ -89,12 +89,67 @@ def test_law_sections():
         ("shall notify the Congress", "congress"), ("shall report to the President", "unknown"), ("", "unknown"), (None, "unknown"), ("transmit to the Congress, including the Committee on Rules", "congress"),
     ],
 )
-def test_destination(text, where):
-    assert S.destination_of(text) == where
+def test_destination(spark, text, where):
+    assert spark.createDataFrame([(text,)], "t string").select(S.destination(F.col("t"))).first()[0] == where
 
 
-def test_overlapping_spans():
-    assert len(S.recipient_spans("submit to A and transmit to B")) == 2
+def test_overlapping_spans(spark):
+    said = spark.createDataFrame([("submit to A and transmit to B, then notify " + "c" * 500,), (None,)], "t string").select(S.recipient_spans(F.col("t")).alias("s")).collect()
+    assert [len(x) for x in said[0]["s"]] == [240, 240, 240] and said[0]["s"][0].startswith(" A and transmit to B") and said[0]["s"][1].startswith(" B, then") and said[1]["s"] == []
+
+
+def test_a_node_between_stops_the_fold(spark):
+    """The nearest flagged ancestor decides: where it isn't alike, no higher one is asked."""
+    f = [("/us/usc/t5/s1/a", "", "annual", ""), ("/us/usc/t5/s1/a/1", "", "quarterly", ""), ("/us/usc/t5/s1/a/1/A", "", "annual", ""), ("/us/usc/t5/s1/a/1/A/i", "", "annual", "")]
+    out = {r["uslm_id"]: (r["unit_id"], r["rule"]) for r in U.collapse(spark.createDataFrame(f, "uslm_id string, entity string, cadence string, text string")).collect()}
+    top = "/us/usc/t5/s1/a/1/A"
+    assert out[top] == (top, "own") and out[top + "/i"] == (top, "ancestor") and out["/us/usc/t5/s1/a/1"][1] == "own"
+
+
+def test_units_match_a_plain_fold(spark):
+    """Against the two rules done one row at a time, on random trees."""
+    import random
+    import re
+
+    r = random.Random(6)
+    duty = "The head shall, every year, submit a report on "
+    nodes = {}
+    for _ in range(400):
+        parts = [r.choice("ab"), r.choice("12"), r.choice("AB"), r.choice("xyz")][: r.randint(0, 4)]
+        i = "/".join([f"/us/usc/t5/s{r.randint(1, 12)}", *parts])
+        nodes[i] = (r.choice(["secretary", "secretary of state", "", "board", "secretary of war"]), r.choice(["annual", "monthly"]), r.choice([duty + "a", duty + "b", "heading a", "heading b"]))
+    like = lambda a, b: not a or not b or a.startswith(b) or b.startswith(a)
+    up = lambda i: None if i.count("/") == 4 else i.rsplit("/", 1)[0]
+    owner = {}
+    for i in sorted(nodes, key=lambda i: i.count("/")):
+        p = up(i)
+        while p and p not in nodes:
+            p = up(p)
+        owner[i] = owner[p] if p and nodes[p][1] == nodes[i][1] and like(nodes[p][0], nodes[i][0]) else i
+    unit, families = dict(owner), {}
+    for i in sorted(i for i in nodes if owner[i] == i and up(i)):
+        some = families.setdefault((up(i), nodes[i][1]), [])
+        home = next((c for c in some if like(nodes[c[0]][0], nodes[i][0])), None)
+        some.append([i]) if home is None else home.append(i)
+    for c in (c for some in families.values() for c in some if len(c) > 1):
+        texts = [nodes[i][2] for i in c]
+        shared = next((min(texts)[:k] for k in range(len(min(texts)), -1, -1) if all(t.startswith(min(texts)[:k]) for t in texts)), "")
+        if re.search(r"\bshall\b[^.;]{0,200}?\bsubmit", shared):
+            for i in nodes:
+                if owner[i] in c:
+                    unit[i] = c[0]
+    got = {x["uslm_id"]: x["unit_id"] for x in U.collapse(spark.createDataFrame([(i, *v) for i, v in nodes.items()], "uslm_id string, entity string, cadence string, text string")).collect()}
+    assert got == unit and len(set(unit.values())) < len(nodes)
+
+
+def test_xml_blocks_and_notes(spark):
+    long = "long enough to count as the text of an operative note"
+    xml = f"""<m><section identifier="/us/usc/t1/s2"><heading>H</heading><subsection identifier="/us/usc/t1/s2/a"><num>(a)</num><subheading>Sub</subheading><content>one<proviso>two</proviso><quotedContent>three</quotedContent>four <i>fi</i>ve</content></subsection>
+    <notes><note topic="shortTitle"><p>{long}</p></note><note topic="effectiveDate"><p>{long}</p></note><note><heading>N</heading><p>{long}</p><note topic="misc"><p>{long}</p></note></note></notes></section></m>"""
+    n = {r["uslm_id"]: r for r in S.node_index(spark.createDataFrame([(xml,)], "body string")).collect()}
+    assert n["/us/usc/t1/s2/a"]["text"] == "(a) Sub onetwo three four five"
+    notes = n["/us/usc/t1/s2"]["statutory_notes"]
+    assert len(notes) == 1 and notes[0]["topic"] == "" and notes[0]["text"].count(long) == 2
 
 
 def test_units(spark):
