@@ -110,6 +110,21 @@ def credit_keys(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(law_spans(text), build)))
 
 
+def credit_pages(text: Column) -> Column:
+    """Every Statutes page a source credit names, as distinct (volume, page) numbers."""
+    return F.transform(parse_citations(text)["stat"], lambda x: F.struct(x["a"].cast("int").alias("volume"), x["b"].cast("int").alias("page")))
+
+
+def tagged_keys(citations: Column) -> Column:
+    """``parse_citations`` as one array of (kind, a, b)."""
+    return F.concat(*[F.transform(citations[k], lambda x: F.struct(F.lit(k).alias("kind"), x["a"].alias("a"), x["b"].alias("b"))) for k in ("usc", "plaw", "stat")])
+
+
+def stated_cites(title: Column, refs: Column) -> Column:
+    """All that a filing cites, in its references or its title, as distinct (kind, a, b)."""
+    return F.array_union(flatten_references(refs), tagged_keys(parse_citations(title)))
+
+
 def package_id(congress: Column, number: Column) -> Column:
     """Name of a public law's package; null before the collection begins."""
     return F.when(congress >= FIRST_COLLECTED, F.concat(F.lit("PLAW-"), congress, F.lit("publ"), number))

@@ -111,3 +111,8 @@ def stage_b2(similarity: Column) -> Column:
 def score_reason(kinds: Column, similarity: Column, agency: Column) -> Column:
     """Readable reason of a score."""
     return F.concat_ws("; ", F.when(kinds > 0, F.concat(kinds.cast("string"), F.lit(" kinds of citation"))), F.concat(F.lit("similarity "), F.format_number(similarity, 3)), F.when(agency, "same agency"))
+
+
+def orphan_tag(agency_known: Column, cites: Column, best: Column) -> Column:
+    """Why a filing found no mandate, from whether its agency is listed, whether it cites, and the best similarity."""
+    return F.when(~agency_known, "agency_absent").when(cites & (best < 0.2), "cited_but_unlike").when(best >= 0.3, "near_miss").when(best >= 0.15, "weak").otherwise("none")

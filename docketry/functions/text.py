@@ -118,3 +118,26 @@ def entity_key(c: Column) -> Column:
 def same_entity(a: Column, b: Column) -> Column:
     """True if either key is empty or one starts with the other. Not transitive."""
     return (a == "") | (b == "") | a.startswith(b) | b.startswith(a)
+
+
+def descending(c: Column) -> Column:
+    """A key that sorts the other way round, for strings in a struct that is maximised: code points complemented, an end mark added."""
+    return F.concat(F.translate(F.hex(F.encode(F.coalesce(c, F.lit("")), "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
+def replace_once(c: Column, old: str, new: str) -> Column:
+    """``c`` with the one occurrence of ``old`` replaced; null where it occurs never or more than once, so no variant is made by mistake."""
+    times = (F.length(c) - F.length(F.replace(c, F.lit(old), F.lit("")))) / F.lit(len(old))
+    return F.when(times == 1, F.replace(c, F.lit(old), F.lit(new)))
+
+
+def agency_names(organization: Column, display: Column, author: Column) -> Column:
+    """The three names a catalogue gives an agency, ``full, display, author``: the first of an array, else empty."""
+    first = F.get(organization, F.lit(0))
+    return F.struct(*[F.coalesce(F.trim(x), F.lit("")).alias(n) for x, n in ((first, "full"), (display, "display"), (author, "author"))])
+
+
+def agency_keys(*names: Column) -> Column:
+    """All comparison keys of a filing's agency: of every name whole, of its parent and of its sub-unit; distinct, none empty."""
+    keys = [k for n in names for k in (basic_key(n), *map(basic_key, split_parent(n)))]
+    return F.array_distinct(F.filter(F.array(*keys), lambda k: k.isNotNull() & (k != "")))

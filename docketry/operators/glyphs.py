@@ -88,7 +88,7 @@ def cell_texts(chars: DataFrame) -> DataFrame:
     return d.groupBy("page", "row").agg(F.min("x0").alias("x0"), text("nature"), text("authority"), text("when_expected"))
 
 
-_CITE = re.compile(r"^\W*(?:\d+\s*U\.?\s*S\.?\s*C|Pub|P\.\s*L|\(?\d+\s*Stat|Executive Order)", re.I)
+_CITE = re.compile(r"^\W*(?:\d+\s*U\.?\s*S\.?\s*C|Pub|P\.\s*L|\(?\d+\s*Stat|Executive Order|Added\s+by\s+Pub|Aug\.\s+\d)", re.I)
 MERGED = "doc_id string, ord long, page int, entity string, nature_of_report string, authority string, when_expected string"
 
 
@@ -96,8 +96,9 @@ def merge_document(pdf: pd.DataFrame) -> pd.DataFrame:
     """Logical rows of one document (``doc_id, page, ord, type, text, nature, authority, when_expected``).
 
     Headers name the entity until the next one, headers in a row are one name, and a header ends the row before it. A
-    line starts a new row if the last authority fragment since the row began ends in a bracket and the line has a
-    nature that starts with no lower-case letter; else it goes on with the open row.
+    line starts a new row if no row is open, or if it has a nature, no authority of the open row is cut off (the last fragment
+    ends in a bracket, or there is none yet), its own authority begins as citations do, and its nature begins with a
+    digit or its first letter is no small one; else it goes on with the open row.
     """
     out, entity, header, row = [], "", False, None
     for r in pdf.sort_values("ord").itertuples():
@@ -110,8 +111,9 @@ def merge_document(pdf: pd.DataFrame) -> pd.DataFrame:
             continue
         header = False
         nature, authority, when = ((x or "").strip() for x in (r.nature, r.authority, r.when_expected))
-        closed = row is not None and row["_last"].endswith(")")
-        fresh = row is None or (closed and bool(nature) and not nature[0].islower()) or (bool(nature) and nature[0].isdigit() and bool(_CITE.match(authority)))
+        whole = row is not None and (not row["_last"] or row["_last"].endswith(")"))
+        sign, letter = (next((c for c in nature if f(c)), "") for f in (str.isalnum, str.isalpha))
+        fresh = row is None or (whole and bool(nature) and bool(_CITE.match(authority)) and (sign.isdigit() or not letter.islower()))
         if fresh:
             if row:
                 out.append(row)

@@ -63,6 +63,86 @@ def prompt(*parts: tuple[str, Column], most: int = 6000) -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.concat(F.lit(f"{label}: "), F.left(F.trim(c), F.lit(most)))) for label, c in parts])), "\n")
 
 
+PICK = "picked string, alternates array<string>, reasoning string, error string"
+
+
+def pick(df: DataFrame, prompt: str, options: str, name: str | Judge, unknown: str = "error", workers: int = 8, tries: int = 3) -> DataFrame:
+    """Every row with ``PICK`` columns: which of its ``options`` (array of ids) a judge picks.
+
+    A judge returns {"picked", "alternates", "reasoning"}; ``picked`` is an id or "none". Alternates that aren't among the options are
+    dropped, as is the pick. A pick that isn't among them is, by ``unknown``, an ``error`` (picked null: the row is tried again by a later
+    run) or quietly ``none``. Rows with null or empty options are "none" without a call; null prompts are an error.
+    """
+    if unknown not in ("error", "none"):
+        raise ValueError(f"unknown={unknown!r}")
+    f = REGISTRY[name] if isinstance(name, str) else name
+    added = [c.split()[0] for c in PICK.split(", ")]
+    base = df.drop(*added)
+    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in base.schema), PICK])
+
+    def one(text: str | None, ids) -> tuple:
+        known = list(ids) if ids is not None else []
+        if not known:
+            return "none", [], "no options", None
+        if text is None:
+            return None, [], None, "no prompt"
+        error = None
+        for _ in range(tries):
+            try:
+                out = f(text) or {}
+                got = out.get("picked")
+                if got in known or got == "none":
+                    return got, [a for a in out.get("alternates") or [] if a in known and a != got], out.get("reasoning"), None
+                if got is not None and unknown == "none":
+                    return "none", [], out.get("reasoning"), None
+                error = "no pick" if got is None else f"unknown id {got}"
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"[:500]
+        return None, [], None, error
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(workers) as pool:
+            for pdf in batches:
+                got = list(pool.map(one, pdf[prompt], pdf[options]))
+                yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(got, columns=added)], axis=1)
+
+    return base.mapInPandas(run, schema)
+
+
+def checked(judge: Judge, schema: dict[str, tuple[str, ...] | type], label: str) -> Judge:
+    """A judge whose answers are held to ``schema``: every field must be there, one of the allowed values or of the type; ``label`` is the
+    field taken as verdict. Other answers raise, so they are asked for again and never taken for a "no"."""
+
+    def f(text: str) -> dict | None:
+        out = judge(text)
+        if out is None:
+            return None
+        for field, wanted in schema.items():
+            ok = out.get(field) in wanted if isinstance(wanted, tuple) else isinstance(out.get(field), wanted)
+            if not ok:
+                raise ValueError(f"field {field}: {out.get(field)!r}")
+        return {**out, "verdict": out[label]}
+
+    return f
+
+
+class Endpoints:
+    """Models by name with the characters of text each can read; ``judge(name)`` cuts prompts to that, keeping their beginning."""
+
+    def __init__(self) -> None:
+        self.table: dict[str, tuple[Judge, int]] = {}
+
+    def add(self, name: str, call: Judge, budget: int, probe: str | None = None) -> None:
+        """``probe`` is asked once, so that a dead endpoint is found before a pass and not row by row."""
+        if probe is not None and call(probe) is None:
+            raise ConnectionError(f"{name} doesn't answer")
+        self.table[name] = (call, budget)
+
+    def judge(self, name: str) -> Judge:
+        call, budget = self.table[name]
+        return lambda text: call(text[:budget])
+
+
 def guard_unparsed(df: DataFrame, verdict: str, most: float = 0.02) -> DataFrame:
     """The rows unchanged, or an error when more than ``most`` of them have no verdict. An empty table passes."""
     n, bad = df.agg(F.count("*"), F.count_if(F.col(verdict).isNull())).first()

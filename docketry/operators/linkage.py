@@ -4,26 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..runtime import fan_join, hot_keys
+
+
+def _meet(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str) -> DataFrame:
+    """``left_id, right_id, _k`` for every key two rows have in common; keys that fill much of the right side are dealt to salts."""
+    a = left.select(left_id, F.explode(F.array_distinct(keys)).alias("_k"))
+    b = right.select(right_id, F.explode(F.array_distinct(keys)).alias("_k"))
+    kind = b.schema["_k"].dataType
+    # hot keys become literals, so keys of several parts are met by one string
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"_k.{p}").cast("string"), F.lit("\x1e")) for p in kind.names]) if isinstance(kind, T.StructType) else F.col("_k")
+    b = b.select(right_id, text.alias("_j"))
+    return fan_join(a.withColumn("_j", text), b, "_j", hot_keys(b, "_j")).drop("_j")
+
 
 def shared_keys(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str) -> DataFrame:
     """Pairs that share at least one element of the array ``keys``: ``left_id, right_id, shared``.
 
-    Both sides are exploded and met on the key, so the plan is an equi-join with partial aggregation, never a product.
-    Null and empty arrays meet nothing; repeated elements count once.
+    Both sides are exploded and met on the key, so the plan is an equi-join with partial aggregation, never a product, and
+    no task gets a hot key whole. Null and empty arrays meet nothing; repeated elements count once.
     """
-    a = left.select(left_id, F.explode(F.array_distinct(keys)).alias("_k"))
-    b = right.select(right_id, F.explode(F.array_distinct(keys)).alias("_k"))
-    return a.join(b, "_k").groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
+    return _meet(left, right, left_id, right_id, keys).groupBy(left_id, right_id).agg(F.count("*").alias("shared"))
 
 
 def shared_citations(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: str) -> DataFrame:
     """As ``shared_keys`` for arrays of (kind, a, b): shared keys per kind, ``kinds`` with any, ``law_only``."""
-    a = left.select(left_id, F.explode(F.array_distinct(keys)).alias("_k"))
-    b = right.select(right_id, F.explode(F.array_distinct(keys)).alias("_k"))
     n = {k: F.sum((F.col("_k.kind") == k).cast("long")).alias(k) for k in ("usc", "plaw", "stat")}
-    pairs = a.join(b, "_k").groupBy(left_id, right_id).agg(*n.values())
+    pairs = _meet(left, right, left_id, right_id, keys).groupBy(left_id, right_id).agg(*n.values())
     kinds = sum(((F.col(k) > 0).cast("int") for k in n), F.lit(0))
     return pairs.withColumn("kinds", kinds).withColumn("law_only", (F.col("plaw") > 0) & (F.col("usc") == 0) & (F.col("stat") == 0))
 
@@ -48,6 +58,14 @@ def best_one(df: DataFrame, group: list[str], by: Column, *carry: str) -> DataFr
     return df.groupBy(*group).agg(F.max_by(kept, by).alias("_best")).select(*group, *[F.col(f"_best.{c}").alias(c) for c in carry])
 
 
+def best_then_candidates(df: DataFrame, group: list[str], rank: str, verdict: str) -> DataFrame:
+    """The row of least ``rank`` of each group; where its verdict is ``candidate``, the group's other candidates too. Groups are
+    cut to a few rows before."""
+    w = Window.partitionBy(*group)
+    d = df.withColumn("_r", F.min(rank).over(w)).withColumn("_v", F.min_by(verdict, rank).over(w))
+    return d.filter((F.col(rank) == F.col("_r")) | ((F.col("_v") == "candidate") & (F.col(verdict) == "candidate"))).drop("_r", "_v")
+
+
 def prefer(df: DataFrame, group: list[str], flag: Column, order: list[Column]) -> DataFrame:
     """Rows of a group with ``flag``; where none has it, the first row by ``order``."""
     w = Window.partitionBy(*group)
@@ -60,9 +78,11 @@ def blocked(left: DataFrame, right: DataFrame, block: str, everywhere: Column, p
 
     ``left`` is a stated query set. The right rows that belong everywhere are dealt to ``parts`` blocks, each of which
     meets the query set in a task of its own; an OR in the join condition would force a nested loop instead. A right
-    row belongs to exactly one of the two parts, so no pair comes twice.
+    row belongs to exactly one of the two parts, so no pair comes twice. Blocks that fill much of the right side are dealt
+    to salts.
     """
-    own = left.join(right.filter(~everywhere), block).drop(block)
+    near = right.filter(~everywhere)
+    own = fan_join(left, near, block, hot_keys(near, block), parts).drop(block)
     names = [c for c in right.columns if c != block]
     wide = right.filter(everywhere).drop(block).withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int"))
     every = left.drop(block).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -88,6 +108,43 @@ def resolve(cites: DataFrame, nodes: DataFrame, node_id: str, section_id: str, o
     return out.withColumn("resolved_id", found).withColumn("resolved_at", at).drop("_exact", "_low", "_folded", "_section")
 
 
+def note_grades(cites: DataFrame, notes: DataFrame) -> DataFrame:
+    """How well a citation of a note finds the note meant: ``note``, ``note_unmatched`` or ``note_absent``, and by what.
+
+    ``cites`` has ``cite_id, section_id, laws, stats`` (arrays of the keys that the citing text names), ``notes`` has
+    ``section_id, laws, stats``, one row per note. A note of the section that names one of the laws is meant, else one that
+    names one of the Statutes pages, else all the section's notes are kept and the grade says so. Adds ``grade``,
+    ``selection`` (``law``, ``stat``, ``unmatched``, ``absent``) and ``notes`` (how many are meant; one that names two of the
+    keys counts for each). Notes are counted per section and key first, so a section with very many costs one row per key.
+    """
+
+    def hits(kind: str) -> DataFrame:
+        n = notes.select("section_id", F.explode(F.array_distinct(kind)).alias("_k")).groupBy("section_id", "_k").agg(F.count("*").alias("n"))
+        c = cites.select("cite_id", "section_id", F.explode(F.array_distinct(kind)).alias("_k"))
+        return c.join(n, ["section_id", "_k"]).groupBy("cite_id").agg(F.sum("n").alias(f"_{kind}"))
+
+    size = notes.groupBy("section_id").agg(F.count("*").alias("_all"))
+    d = cites.join(size, "section_id", "left").join(hits("laws"), "cite_id", "left").join(hits("stats"), "cite_id", "left")
+    how = F.when(F.col("_all").isNull(), "absent").when(F.col("_laws") > 0, "law").when(F.col("_stats") > 0, "stat").otherwise("unmatched")
+    d = d.withColumn("selection", how).withColumn("notes", F.coalesce("_laws", "_stats", "_all", F.lit(0)))
+    grade = F.when(how == "absent", "note_absent").when(how == "unmatched", "note_unmatched").otherwise("note")
+    return d.withColumn("grade", grade).drop("_all", "_laws", "_stats")
+
+
+def listed_tier(rows: DataFrame, key: str, tiers: list[tuple[str, str, DataFrame]], otherwise: str, out: str = "tier") -> DataFrame:
+    """``key, out``: the first of ``tiers`` (name, array column of ``rows``, table with the listed keys in ``k``) that lists one of the
+    row's keys, else ``otherwise``. One semi-join per tier on exploded distinct keys; null and empty arrays are on no list."""
+    found = None
+    for i, (_, keys, listed) in enumerate(tiers):
+        hit = rows.select(key, F.explode(F.array_distinct(keys)).alias("k")).join(listed.select("k").distinct(), "k", "left_semi").select(key, F.lit(i).alias("_t"))
+        found = hit if found is None else found.unionByName(hit)
+    best = found.groupBy(key).agg(F.min("_t").alias("_t"))
+    name = F.lit(otherwise)
+    for i, (label, _, _) in enumerate(tiers):
+        name = F.when(F.col("_t") == i, label).otherwise(name)
+    return rows.select(key).join(best, key, "left").select(key, name.alias(out))
+
+
 def select_notes(notes: Column, laws: Column, stats: Column) -> Column:
     """Notes that contain a cited law, else those that contain a cited Statutes page, else all; and which it was.
 

@@ -75,15 +75,14 @@ def q_link_topk_score(spark: SparkSession, d: str) -> DataFrame:
     return top_k_overlap(left, right, "package_id", "mandate_id", "t", 20, score="sum", least=2, digits=ROUND)
 
 
-def _cite_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    left = filings(spark, d).filter(every_20th(F.col("package_id"))).select("package_id", C.flatten_references(F.col("cite_refs")).alias("keys"))
-    p = table(spark, d, "report").select("mandate_id", C.parse_citations(F.col("authority")).alias("c"))
-    tag = lambda k: F.transform(F.col(f"c.{k}"), lambda x: F.struct(F.lit(k).alias("kind"), x["a"].alias("a"), x["b"].alias("b")))
-    return left, p.select("mandate_id", F.concat(tag("usc"), tag("plaw"), tag("stat")).alias("keys"))
+def _cite_sides(spark: SparkSession, d: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    asked = filings(spark, d) if every else filings(spark, d).filter(every_20th(F.col("package_id")))
+    left = asked.select("package_id", C.flatten_references(F.col("cite_refs")).alias("keys"))
+    return left, table(spark, d, "report").select("mandate_id", C.tagged_keys(C.parse_citations(F.col("authority"))).alias("keys"))
 
 
-def _refs(kind: str) -> str:
-    return f"SELECT package_id, '{kind}' AS kind, unnest(list_transform(list_filter(cite_refs.{kind}, lambda x: x[1] IS NOT NULL AND x[2] IS NOT NULL), lambda x: x[1] || '/' || x[2])) AS k FROM f WHERE {EVERY}"
+def _refs(kind: str, which: str = EVERY) -> str:
+    return f"SELECT package_id, '{kind}' AS kind, unnest(list_transform(list_filter(cite_refs.{kind}, lambda x: x[1] IS NOT NULL AND x[2] IS NOT NULL), lambda x: x[1] || '/' || x[2])) AS k FROM f WHERE {which}"
 
 
 def _cites(kind: str, pattern: str) -> str:
@@ -118,27 +117,28 @@ def _title_keys(kind: str, pattern: str) -> str:
 def q_link_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Twenty best mandates of each filing with a citation or two words in common: two for each citation, in the references
     or the title, plus Jaccard plus overlap coefficient of the words."""
-    keys = lambda c: F.concat(*[F.transform(c[k], lambda x: F.struct(F.lit(k).alias("kind"), x["a"].alias("a"), x["b"].alias("b"))) for k in ("usc", "plaw", "stat")])
-    named = F.concat(C.flatten_references(F.col("cite_refs")), keys(C.parse_citations(F.col("title"))))
-    left = filings(spark, d).filter(every_20th(F.col("package_id"))).select("package_id", X.token_set(F.col("title")).alias("t"), named.alias("keys"))
-    right = table(spark, d, "report").select("mandate_id", X.token_set(F.col("nature_of_report")).alias("t"), keys(C.parse_citations(F.col("authority"))).alias("keys"))
+    left = filings(spark, d).filter(every_20th(F.col("package_id"))).select("package_id", X.token_set(F.col("title")).alias("t"), C.stated_cites(F.col("title"), F.col("cite_refs")).alias("keys"))
+    right = table(spark, d, "report").select("mandate_id", X.token_set(F.col("nature_of_report")).alias("t"), C.tagged_keys(C.parse_citations(F.col("authority"))).alias("keys"))
     return top_k_united(left, right, "package_id", "mandate_id", "t", "keys", 20, digits=ROUND)
 
 
+ALL_CITE_PAIRS = CITE_PAIRS.replace(f" WHERE {EVERY}", "")
 B1 = """CASE WHEN k >= 2 AND a THEN CASE WHEN t >= 0.15 THEN 'confident' ELSE 'candidate' END WHEN k >= 2 AND m THEN 'candidate' WHEN k >= 1 AND (a OR m) AND NOT law_only THEN 'candidate'
     WHEN law_only AND (a OR m) AND t >= 0.25 THEN 'candidate' WHEN k >= 1 AND NOT law_only AND t >= 0.15 THEN 'candidate' ELSE 'none' END"""
 
 
-@query(f"""WITH {CITE_PAIRS}, x AS (SELECT p.package_id, p.mandate_id, (usc > 0)::INT + (plaw > 0)::INT + (stat > 0)::INT AS k, plaw > 0 AND usc = 0 AND stat = 0 AS law_only,
+@query(f"""WITH {ALL_CITE_PAIRS}, x AS (SELECT p.package_id, p.mandate_id, (usc > 0)::INT + (plaw > 0)::INT + (stat > 0)::INT AS k, plaw > 0 AND usc = 0 AND stat = 0 AS law_only,
       coalesce(f.government_author = r.reporting_entity, false) AS a, coalesce(r.reporting_entity = {q(MULTI)}, false) AS m, {sql_tokens('f.title')} AS x, {sql_tokens('r.nature_of_report')} AS y
       FROM p JOIN f USING (package_id) JOIN report r USING (mandate_id)),
     s AS (SELECT *, round(CASE WHEN len(list_distinct(x || y)) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(list_distinct(x || y)) END, 3) AS t, max((a OR m)::INT) OVER (PARTITION BY package_id) AS any_fit FROM x),
     c AS (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY k DESC, t DESC, mandate_id) AS rank FROM s WHERE any_fit = 0 OR a OR m),
-    v AS (SELECT package_id, mandate_id, rank, k, t, {B1} AS verdict FROM c WHERE rank <= 3)
-    SELECT package_id, mandate_id, CAST(rank AS INT) AS rank, CAST(k AS INT) AS kinds, t AS similarity, verdict FROM v WHERE verdict <> 'none'""")
+    v AS (SELECT package_id, mandate_id, rank, k, t, {B1} AS verdict FROM c WHERE rank <= 3),
+    w AS (SELECT *, min(rank) OVER (PARTITION BY package_id) AS best, arg_min(verdict, rank) OVER (PARTITION BY package_id) AS first FROM v WHERE verdict <> 'none')
+    SELECT package_id, mandate_id, CAST(rank AS INT) AS rank, CAST(k AS INT) AS kinds, t AS similarity, verdict FROM w WHERE rank = best OR (first = 'candidate' AND verdict = 'candidate')""")
 def q_link_citations(spark: SparkSession, d: str) -> DataFrame:
-    """Verdict on the three best mandates of each filing that share a citation, agencies that fit preferred."""
-    left, right = _cite_sides(spark, d)
+    """Verdict on the three best mandates of every filing that share a citation, agencies that fit preferred. The first that isn't
+    ruled out is the filing's; where it is a candidate only, the other candidates come too."""
+    left, right = _cite_sides(spark, d, every=True)
     p = J.shared_citations(left, right, "package_id", "mandate_id", "keys")
     f = filings(spark, d).select("package_id", "government_author", X.token_set(F.col("title")).alias("x"))
     r = table(spark, d, "report").select("mandate_id", "reporting_entity", X.token_set(F.col("nature_of_report")).alias("y"))
@@ -150,7 +150,8 @@ def q_link_citations(spark: SparkSession, d: str) -> DataFrame:
     s = s.withColumn("any_fit", F.max((F.col("a") | F.col("m")).cast("int")).over(Window.partitionBy("package_id"))).filter("any_fit = 0 or a or m")
     top = J.top_k(s, ["package_id"], [F.desc("kinds"), F.desc("t"), F.col("mandate_id")], 3)
     v = R.stage_b1(F.col("kinds"), F.col("t"), F.col("a"), F.col("m"), F.col("law_only"))
-    return top.select("package_id", "mandate_id", "rank", "kinds", F.col("t").alias("similarity"), v.alias("verdict")).filter("verdict <> 'none'")
+    kept = top.select("package_id", "mandate_id", "rank", "kinds", F.col("t").alias("similarity"), v.alias("verdict")).filter("verdict <> 'none'")
+    return J.best_then_candidates(kept, ["package_id"], "rank", "verdict")
 
 
 @query(f"""WITH {FILINGS}, l AS (SELECT package_id, government_author AS e, {sql_tokens('title')} AS x FROM f WHERE {EVERY}), r AS (SELECT mandate_id, reporting_entity AS e, {sql_tokens('nature_of_report')} AS y FROM report),

@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -116,10 +116,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Values of ``key`` that hold more than ``share`` of the rows: at most ``1 / share`` of them, whatever the input."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    total = df.count()
-    return [r[0] for r in counts.filter((F.col("n") > max(1, total * share)) & F.col(key).isNotNull()).select(key).collect()]
+    """Values of ``key`` that hold more than ``share`` of the rows: at most ``1 / share`` of them, whatever the input. One pass;
+    null keys are left out but count as rows."""
+    seen = Observation()
+    counts = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("total"))
+    top = counts.filter(F.col("k").isNotNull()).orderBy(F.desc("n")).limit(math.ceil(1 / share)).collect()
+    total = (seen.get["total"] or 0) if top else 0
+    return [r["k"] for r in top if r["n"] > max(1, total * share)]
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: list | None = None) -> DataFrame:

@@ -28,6 +28,11 @@ def work_left(items: DataFrame, log: DataFrame, keys: list[str], order: list[str
     return items.join(finished, keys, "left_anti")
 
 
+def never_ended(log: DataFrame, keys: list[str], ended: Column) -> DataFrame:
+    """Keys of which no record has ``ended``: a success or refusal of any attempt is final, nulls and errors are tried again."""
+    return log.groupBy(*keys).agg(F.max(F.coalesce(ended, F.lit(False))).alias("_e")).filter("not _e").select(*keys)
+
+
 def majority(votes: DataFrame, keys: list[str], label: str, usable: list[str]) -> DataFrame:
     """Consensus by unanimity: fewer than two usable votes or any disagreement give ``unclear``. Columns ``n, verdict``."""
     v = F.when(F.col(label).isin(usable), F.col(label))
