@@ -36,7 +36,8 @@ def copy_classes(records: DataFrame, key: str, words: Column, scratch: Scratch)
 
     ``class_id`` is a number valid for this run. Empty word sets have no similarity and are left out.
     """
-    sets = scratch.put(records.select(key, words.alias("words")).filter(F.size("words") > 0).withColumn("digest", F.md5(F.array_join(F.col("words").cast("array<string>"), ","))), "sets")
+    # words are filtered once they are written: a filter in the same step would make Spark find all words twice
+    sets = scratch.put(records.select(key, words.alias("words")).withColumn("digest", F.md5(F.array_join(F.col("words").cast("array<string>"), ","))), "sets").filter(F.size("words") > 0)
     classes = scratch.put(sets.groupBy("digest").agg(F.first("words").alias("words"), F.count("*").alias("n")).withColumn("class_id", F.monotonically_increasing_id()), "classes")
     hot = [r[0] for r in _hot(classes, "digest")]
     members = scratch.put(skew_join(sets.select(key, "digest"), classes.select("digest", "class_id"), "digest", "inner", hot).select("class_id", key), "members")
