@@ -17,9 +17,11 @@ from .components import components
 #: occurrences, so there are fewer than LISTED of them whatever the input; the others count as equally rare.
 LISTED = 100_000
 #: Records that share a word held by more than HOT_WORD classes must share a second one to meet.
-HOT_WORD = 1024
+HOT_WORD = 8192
 #: A larger tile is cut into blocks of this many entries, which meet pairwise in tasks of their own.
 TILE = 20_000
+#: 64-bit parts of a word bitmap.
+MAPS = 2
 #: Pairs looked at in one numpy step.
 STEP = 1 << 20
 
@@ -83,10 +85,11 @@ def candidates(classes: DataFrame, t: float, scratch: Scratch) -> DataFrame:
     A pair at ``t`` shares one of the rarest words of both (prefix filter), and two of them when prefixes are one word
     longer. Each rare word is a tile; words of more than ``HOT_WORD`` classes are refined to tiles of two words. Tiles
     over ``TILE`` entries are cut into blocks that meet pairwise. Within a tile, rows are ordered by size, only sizes
-    within the factor ``t`` meet, and 128-bit word bitmaps bound the overlap from above:
+    within the factor ``t`` meet, and word bitmaps of ``MAPS`` times 64 bits bound the overlap from above:
     overlap <= (size a + size b - differing bits) / 2.
     """
     spark = scratch.spark
+    bits = [f"m{i}" for i in range(MAPS)]
     occurrences = classes.agg(F.sum(F.size("words"))).first()[0] or 0
     counts = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") > max(1, occurrences / LISTED))
     listed = counts.toArrow()  # fewer than LISTED rows
@@ -108,11 +111,11 @@ def candidates(classes: DataFrame, t: float, scratch: Scratch) -> DataFrame:
                 df = np.where(ws[at] == flat, ns[at], 0)
             else:
                 df = np.zeros(len(flat), np.int64)
-            # bitmaps: one of 128 bits per word
-            bit = (flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(57)
+            # bitmaps: one of 64 * MAPS bits per word
+            bit = ((flat.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(64 * MAPS)
             maps = []
-            for half in (0, 1):
-                on = np.where((bit >> np.uint64(6)) == half, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+            for part in range(MAPS):
+                on = np.where((bit >> np.uint64(6)) == part, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
                 maps.append(np.bitwise_or.reduceat(on, off[:-1]) if len(on) else np.zeros(0, np.uint64))
             order = np.lexsort((flat, df, row))
             words, df, pos = flat[order], df[order], np.arange(len(flat)) - off[:-1][row]
@@ -122,7 +125,7 @@ def candidates(classes: DataFrame, t: float, scratch: Scratch) -> DataFrame:
             inside = pos < probe
             hot = inside & (df > HOT_WORD)
             cold = inside & (~hot | (np.ceil(t * s - 1e-9) < 2))  # sets so small that one common word may do
-            out_row, out_tile, out_index = [row[cold]], [words[cold]], [(pos < index)[cold]]
+            out_row, out_tile, out_index, out_big = [row[cold]], [words[cold]], [(pos < index)[cold]], [df[cold] > TILE]
             # two-word tiles: a hot word and any later word of the prefix that is one longer
             h = np.flatnonzero(hot)
             more = (probe - pos)[h]
@@ -133,32 +136,35 @@ def candidates(classes: DataFrame, t: float, scratch: Scratch) -> DataFrame:
             out_row.append(row[first])
             out_tile.append(mixed.view(np.int64))
             out_index.append((pos < index)[first])
+            out_big.append(np.minimum(df[first], df[second]) > TILE)
             r, tl, ix = np.concatenate(out_row), np.concatenate(out_tile), np.concatenate(out_index)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tl), pa.array(size[r].astype(np.int32)), pa.array(ids[r]), pa.array(ix), pa.array(maps[0][r].view(np.int64)), pa.array(maps[1][r].view(np.int64))],
-                ["tile", "size", "id", "idx", "m0", "m1"],
+                [pa.array(tl), pa.array(size[r].astype(np.int32)), pa.array(ids[r]), pa.array(ix), pa.array(np.concatenate(out_big)), *[pa.array(m[r].view(np.int64)) for m in maps]],
+                ["tile", "size", "id", "idx", "big", *bits],
             )
 
-    schema = "tile long, size int, id long, idx boolean, m0 long, m1 long"
+    schema = "tile long, size int, id long, idx boolean, big boolean, " + ", ".join(f"{m} long" for m in bits)
     entries = scratch.put(classes.select("class_id", "words").mapInArrow(enter, schema), "entries")
-    tiles = entries.groupBy("tile").agg(F.count("*").alias("n"), F.sum(F.col("idx").cast("int")).alias("k"))
-    live = scratch.put(tiles.filter("n > 1 and k > 0").select("tile", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "tiles")
-    e = entries.join(live, "tile")
+    # a tile may only be large if all its words are held by more than TILE classes, so few entries are counted
+    maybe = entries.filter("big")
+    large = scratch.put(maybe.groupBy("tile").agg(F.count("*").alias("n")).filter(F.col("n") > TILE).select("tile", F.ceil(F.col("n") / TILE).cast("int").alias("parts")), "large")
+    e = maybe.join(large, "tile", "left")
     # a block pair (p, q), p <= q, is a tile of its own: entries of block p go to (p, *) and (*, p)
     part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
-    small = e.filter("parts = 1").select("tile", F.lit(0).alias("p"), F.lit(0).alias("q"), "size", "id", "idx", F.lit(True).alias("l"), F.lit(True).alias("r"), "m0", "m1")
-    big = e.filter("parts > 1").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    big = big.select("tile", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "size", "id", "idx", F.col("part") <= F.col("other"), F.col("part") >= F.col("other"), "m0", "m1")
-    tiled = small.union(big).select(F.xxhash64("tile", "p", "q").alias("tile"), "size", "id", (F.col("idx")).alias("idx"), F.col("l"), F.col("r"), "m0", "m1")
+    whole = [F.lit(True).alias("l"), F.lit(True).alias("r"), *bits]
+    small = entries.filter("not big").select("tile", "size", "id", "idx", *whole).unionByName(e.filter("parts is null").select("tile", "size", "id", "idx", *whole))
+    cut = e.filter("parts is not null").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select(F.xxhash64("tile", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "size", "id", "idx", (F.col("part") <= F.col("other")).alias("l"), (F.col("part") >= F.col("other")).alias("r"), *bits)
+    tiled = small.unionByName(cut)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = 0
 
         def work(tab: pa.Table) -> Iterator[pa.RecordBatch]:
-            col = {c: tab.column(c).to_numpy() for c in ("tile", "size", "id", "idx", "l", "r", "m0", "m1")}
+            col = {c: tab.column(c).to_numpy() for c in ("tile", "size", "id", "idx", "l", "r", *bits)}
             size, ids = col["size"].astype(np.int64), col["id"]
-            m0, m1 = col["m0"].view(np.uint64), col["m1"].view(np.uint64)
+            maps = [col[m].view(np.uint64) for m in bits]
             lft, rgt = col["l"].astype(bool), col["r"].astype(bool)
             idx = col["idx"].astype(bool)
             one_block = lft & rgt
@@ -168,8 +174,12 @@ def candidates(classes: DataFrame, t: float, scratch: Scratch) -> DataFrame:
                 ok &= one_block[i] | one_block[j] | (lft[i] != lft[j])
                 i, j = i[ok], j[ok]
                 need = np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9).astype(np.int64)
-                differ = np.bitwise_count(m0[i] ^ m0[j]).astype(np.int64) + np.bitwise_count(m1[i] ^ m1[j])
-                ok = size[i] + size[j] - differ >= 2 * need
+                room = size[i] + size[j] - 2 * need  # bits that may differ
+                for m in maps:  # most pairs fail on the first part, so later ones are few
+                    ok = room >= 0
+                    i, j, room = i[ok], j[ok], room[ok]
+                    room = room - np.bitwise_count(m[i] ^ m[j]).astype(np.int64)
+                ok = room >= 0
                 a, b = ids[i[ok]], ids[j[ok]]
                 if len(a):
                     pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -188,7 +198,7 @@ def candidates(classes: DataFrame, t: float, scratch: Scratch) -> DataFrame:
         if rows:
             yield from work(pa.concat_tables(held))
 
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(live.count() / 200_000))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(entries.count() / 1_000_000))
     found = tiled.repartition(n, "tile").sortWithinPartitions("tile", "size").mapInArrow(meet, "a long, b long")
     out = scratch.put(found.distinct(), "candidates")
     scratch.drop(entries)
