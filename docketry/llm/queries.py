@@ -32,16 +32,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     """Split of every record, assigned in two batches: rows adjudicated up to the median day, then the rest against
-    the persisted component table."""
+    the persisted component table. The table lies in the shared folder under the job's own name, so each call starts afresh; a pipeline
+    keeps one path."""
     scratch = Scratch(spark, "p1")
     gold = table(spark, d, "mandate_gold")
     records = splits.section_records(gold).join(gold.select("gold_id", "adjudicated_at"), "gold_id")
     cut = records.agg(F.percentile_approx(F.unix_micros(F.col("adjudicated_at").cast("timestamp")), 0.5)).first()[0] or 0
     late = F.coalesce(F.unix_micros(F.col("adjudicated_at").cast("timestamp")) > cut, F.lit(True))
     targets = _targets(spark, d)
-    first = splits.assign_splits(records.filter(~late), "gold_id", ["section_id"], targets, scratch, balance=BALANCE)
-    second = splits.assign_splits(records.filter(late), "gold_id", ["section_id"], targets, scratch, state=first.state, balance=BALANCE)
-    return first.records.unionByName(second.records).select("gold_id", "section_id", "split", "status")
+    store = splits.Store(spark, f"{scratch.root}/components")
+    first = store.assign("early", records.filter(~late), "gold_id", ["section_id"], targets, scratch, balance=BALANCE)
+    second = store.assign("late", records.filter(late), "gold_id", ["section_id"], targets, scratch, balance=BALANCE)
+    return first.unionByName(second).select("gold_id", "section_id", "split", "status")
 
 
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.citations import section_address
@@ -15,6 +15,8 @@ from .components import components
 LARGE_SHARE = 1 / 2000
 TOP_PROFILES = 256
 QUARANTINE = "quarantine"
+#: Keys of the counts of records without keys; keys of records begin with a number.
+KEYLESS = "none:"
 KEYS = "key string, component string, n long, split string, status string"
 
 
@@ -39,7 +41,7 @@ def assign_splits(records: DataFrame, id_col: str, keys: list[str], targets: dic
     status ``quarantined`` and split ``quarantine`` and stays out of every split from then on. New components fill
     the deficits of the targets; those larger than ``LARGE_SHARE`` of the records (so a bounded number) are placed
     one by one where most is missing, the others by their position among components of the same ``balance`` profile.
-    Null and empty key values link nothing; a record without keys is a component of its own and is not persisted.
+    Null and empty key values link nothing; a record without keys is a component of its own; of these only counts per split persist.
     Records sharing only a key that holds a third of all rows are fine: keys are pre-aggregated, and the lookup
     treats hot keys apart. Repeated ids get the split of each row's own keys; rows without id and keys form one
     component. Columns named like those added here are replaced. Empty input gives empty output.
@@ -90,9 +92,54 @@ def assign_splits(records: DataFrame, id_col: str, keys: list[str], targets: dic
     old_keys = moved.select("key", "component", F.col("n").alias("had"))
     new_keys = fresh.filter(~F.col("key").startswith("r:")).groupBy("key", "component").agg(F.sum("n").alias("got"))
     after = old_keys.join(new_keys, ["key", "component"], "full").join(where, "component").select("key", "component", (F.coalesce("had", F.lit(0)) + F.coalesce("got", F.lit(0))).alias("n"), "split", status)
+    # records without keys are kept as one count per split, under a name that no key has, so later deficits know of them
+    lone_n = fresh.filter(F.col("key").startswith("r:")).join(where, "component").groupBy("split").agg(F.sum("n").alias("n"))
+    lone = lone_n.select(F.concat(F.lit(KEYLESS), "split").alias("key"), F.concat(F.lit(KEYLESS), "split").alias("component"), "n", "split", F.lit("assigned").alias("status"))
+    after = after.unionByName(lone).groupBy("key", "component", "split", "status").agg(F.sum("n").alias("n")).select("key", "component", "n", "split", "status")
     return Splits(out, scratch.put(after, "state"))
 
 
+class Store:
+    """The component table on disk: one version per batch under ``path``, named by place and batch, written aside and renamed.
+
+    A batch that was committed before is worked out again from the version before it, so a replay gives every record the split it had
+    and changes nothing; the table stays where it is for later jobs. Batches are one after another: a single job writes at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[str]:
+        """Committed versions in order."""
+        at = self._hadoop.Path(self.path)
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(n for n in names if n.startswith("v"))
+
+    def load(self, before: str | None = None) -> DataFrame | None:
+        """The newest table, or the one before the version of batch ``before``; None if there is none."""
+        known = self.versions()
+        at = next((i for i, v in enumerate(known) if v.split("-", 1)[1] == before), len(known))
+        return self.spark.read.schema(KEYS).parquet(f"{self.path}/{known[at - 1]}") if at else None
+
+    def commit(self, state: DataFrame, batch: str) -> bool:
+        """Write the table of a new batch; False, and nothing done, if the batch is known."""
+        known = self.versions()
+        if any(v.split("-", 1)[1] == batch for v in known):
+            return False
+        aside = f"{self.path}/_{batch}"
+        state.select(*[c.strip().split()[0] for c in KEYS.split(",")]).write.mode("overwrite").parquet(aside)
+        self._fs.rename(self._hadoop.Path(aside), self._hadoop.Path(f"{self.path}/v{len(known) + 1:08d}-{batch}"))
+        return True
+
+    def assign(self, batch: str, records: DataFrame, id_col: str, keys: list[str], targets: dict[str, float], scratch: Scratch, balance: list[str] | None = None) -> DataFrame:
+        """``assign_splits`` of a named batch against the table, which then holds it; the batch's records."""
+        out = assign_splits(records, id_col, keys, targets, scratch, state=self.load(before=batch), balance=balance)
+        self.commit(out.state, batch)
+        return out.records
+
+
 def _fill(new: DataFrame, fresh: DataFrame, kept: DataFrame, size: DataFrame, shares: dict[str, float], scratch: Scratch) -> DataFrame:
     """``component``, ``split`` for new components, so that the totals come as near to the shares as they can."""
     spark = scratch.spark

@@ -107,3 +107,30 @@ def test_clashing_columns(spark, scratch):
     assert out.columns == ["id", "key", "n", "_key", "component", "component_n", "split", "status"]
     assert out.count() == 91 and out.filter("id = 3 and _key = 'c' and n = 3").count() == 1
     assert out.filter("key is not null").select("key", "split").distinct().count() == 9
+
+
+def test_a_replayed_batch_changes_nothing(spark, scratch, tmp_path):
+    from docketry.llm.splits import Store
+
+    a = spark.createDataFrame([(i, f"k{i % 50}") for i in range(300)] + [(i, None) for i in range(900, 960)], "id int, k string")
+    b = spark.createDataFrame([(i, f"k{i % 70}") for i in range(300, 500)], "id int, k string")
+    store = Store(spark, f"file://{tmp_path}/store")
+    run = lambda name, df: sorted((r["id"], r["split"]) for r in store.assign(name, df, "id", ["k"], TARGETS, scratch).collect())
+    assert store.load() is None
+    one, two = run("a", a), run("b", b)
+    table = sorted(tuple(r) for r in store.load().collect())
+    assert sum(r[2] for r in table) == 560 and sum(r[2] for r in table if r[0].startswith("none:")) == 60
+    assert run("a", a) == one and run("b", b) == two and sorted(tuple(r) for r in store.load().collect()) == table and len(store.versions()) == 2
+    seen = {}
+    for i, split in [x for x in one + two if x[0] < 900]:
+        assert seen.setdefault(i % 50 if i < 300 else i % 70, split) == split
+    fresh = Store(spark, f"file://{tmp_path}/store")  # another job
+    assert sorted(tuple(r) for r in fresh.load().collect()) == table
+
+
+def test_keyless_records_count_in_later_deficits(spark, scratch):
+    a = spark.createDataFrame([(i, None) for i in range(1000)], "id int, k string")
+    one = assign_splits(a, "id", ["k"], {"x": 1.0}, scratch)
+    b = spark.createDataFrame([(i, f"k{i}") for i in range(5000, 6000)], "id int, k string")
+    two = assign_splits(b, "id", ["k"], {"x": 0.5, "y": 0.5}, scratch, state=one.state)
+    assert {r["split"] for r in two.records.collect()} == {"y"}
