@@ -17,7 +17,7 @@ from .components import components
 #: occurrences, so there are fewer than LISTED of them whatever the input; the others count as equally rare.
 LISTED = 100_000
 #: Records that share a word held by more than HOT_WORD classes must share a second one to meet.
-HOT_WORD = 8192
+HOT_WORD = 4096
 #: A larger tile is cut into blocks of this many entries, which meet pairwise in tasks of their own.
 TILE = 20_000
 #: 64-bit parts of a word bitmap.
@@ -52,8 +52,8 @@ def _hot(classes: DataFrame, column: str) -> list:
     return classes.filter(F.col("n") > max(1, total * HOT_SHARE)).select(column).collect()
 
 
-def _pairs_in_tiles(tile: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of one tile, i left and j right, with size i <= size j <= size i / t; rows sorted by tile, size."""
+def _pairs_in_tiles(tile: np.ndarray, size: np.ndarray, left: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of one tile, i left, with size i <= size j <= size i / t; rows sorted by tile, size."""
     n = len(tile)
     tile_end = np.concatenate([np.flatnonzero(tile[1:] != tile[:-1]) + 1, [n]])
     end = tile_end[np.searchsorted(tile_end, np.arange(n), side="right")]
@@ -74,8 +74,7 @@ def _pairs_in_tiles(tile: np.ndarray, size: np.ndarray, left: np.ndarray, right:
         c = count[a:b]
         i = np.repeat(rows[a:b], c)
         j = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[rows[a:b]], c)
-        keep = right[j]
-        yield i[keep], j[keep]
+        yield i, j
         a = b
 
 
@@ -168,18 +167,16 @@ def candidates(classes: DataFrame, t: float, scratch: Scratch) -> DataFrame:
             lft, rgt = col["l"].astype(bool), col["r"].astype(bool)
             idx = col["idx"].astype(bool)
             one_block = lft & rgt
-            for i, j in _pairs_in_tiles(col["tile"], size, idx, np.ones(len(size), bool), t):
+            total = np.arange(2 * int(size.max()) + 1)
+            room = (total - 2 * np.ceil(t / (1 + t) * total - 1e-9)).astype(np.int16)  # bits that may differ, by the sum of sizes
+            for i, j in _pairs_in_tiles(col["tile"], size, idx, t):
+                left_bits = room[size[i] + size[j]]
+                for m in maps:  # nearly all pairs fail here, so the rest is looked at for few
+                    left_bits = left_bits - np.bitwise_count(m[i] ^ m[j])
+                    ok = left_bits >= 0
+                    i, j, left_bits = i[ok], j[ok], left_bits[ok]
                 # equal sizes: the smaller id is the indexed side; block pairs: the two sides differ unless the block is one
-                ok = (size[i] < size[j]) | (ids[i] < ids[j])
-                ok &= one_block[i] | one_block[j] | (lft[i] != lft[j])
-                i, j = i[ok], j[ok]
-                need = np.ceil(t / (1 + t) * (size[i] + size[j]) - 1e-9).astype(np.int64)
-                room = size[i] + size[j] - 2 * need  # bits that may differ
-                for m in maps:  # most pairs fail on the first part, so later ones are few
-                    ok = room >= 0
-                    i, j, room = i[ok], j[ok], room[ok]
-                    room = room - np.bitwise_count(m[i] ^ m[j]).astype(np.int64)
-                ok = room >= 0
+                ok = ((size[i] < size[j]) | (ids[i] < ids[j])) & (one_block[i] | one_block[j] | (lft[i] != lft[j]))
                 a, b = ids[i[ok]], ids[j[ok]]
                 if len(a):
                     pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
