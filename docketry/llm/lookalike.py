@@ -228,9 +228,22 @@ def alike_pairs(df: DataFrame, scratch, key: str = "doc_id", text: str = "text")
     kept = scratch.put(skew_join(forms, many, "form", "left_semi", hot(sizes, "form")), "kept")
     some = variants.join(many, "form", "left_semi")
     a, b = some.select("form", F.col("variant").alias("va")), some.select("form", F.col("variant").alias("vb"))
-    pairs = a.join(b, "form").filter("va < vb").select("va", "vb")
+    kinds = variants.count()
+    wide = [r["form"] for r in sizes.filter(F.col("v") > max(1, kinds * HOT_SHARE)).select("form").collect()]  # forms with very many variants
+    pairs = fan_join(a, b, "form", wide).filter("va < vb").select("va", "vb")
     x = kept.select(F.col("variant").alias("va"), F.col(key).alias("_x"))
     y = kept.select(F.col("variant").alias("vb"), F.col(key).alias("_y"))
     often = hot(variants, "variant")
     both = fan_join(fan_join(pairs, x, "va", often), y, "vb", often)
     return both.select(F.least("_x", "_y").alias(f"{key}_a"), F.greatest("_x", "_y").alias(f"{key}_b"))
+
+
+def alike_groups(df: DataFrame, scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per text: ``key, group_id`` (smallest key that looks the same), ``members`` (texts that look the same, itself included)
+    and ``variants`` (different character sequences among them). Null texts are left out; no pairs are formed."""
+    forms = scratch.put(alike_forms(df, key, text), "forms")
+    variants = forms.groupBy("form", "variant").agg(F.count("*").alias("n"), F.min(key).alias("k"))
+    groups = scratch.put(variants.groupBy("form").agg(F.min("k").alias("group_id"), F.sum("n").alias("members"), F.count("*").alias("variants")), "groups")
+    total = groups.agg(F.sum("members")).first()[0] or 0
+    hot = [r["form"] for r in groups.filter(F.col("members") > max(1, total * HOT_SHARE)).select("form").collect()]
+    return skew_join(forms.select(key, "form"), groups, "form", "inner", hot).select(key, "group_id", "members", "variants")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..runtime import Scratch, spread
 
 #: Sum of capacities up to which the size histogram (one row per size) is collected.
-MOST_SIZES = 4_000_000
+MOST_SIZES = 1 << 18
 
 
 @dataclass
@@ -106,9 +106,10 @@ def step_ranks(groups: list[Group]) -> list[tuple[Group, int]]:
 def pack(texts: DataFrame, key: str, size: str, limits: list[tuple[str, int, int]], scratch: Scratch, together: bool, per_step: int = 64) -> DataFrame:
     """Container of every text or piece.
 
-    ``limits`` has (name, capacity, joiner). With ``together`` the limits are tiers of one packing: a text goes to the
-    shortest window that holds it, windows of longer tiers are filled up from shorter ones. Without, every limit packs
-    all texts on its own; the limits below it then only order its items. A text larger than the (longest) capacity is
+    ``limits`` has (name, capacity, joiner). A text goes to the tier of the shortest limit that holds it; tiers are packed from the longest,
+    and what their windows leave open is filled from shorter tiers. With ``together`` there is one packing, each tier having windows
+    of its own limit. Without, every limit packs all texts on its own into windows of its capacity, its tiers being itself
+    and the limits below it. A text larger than the (longest) capacity is
     cut into full pieces and a remainder; no other text is cut. Texts of size 0 are placed too and take a joiner.
 
     Only the histogram of sizes (at most the sum of the capacities plus one row per limit, checked) and the plan, a
@@ -123,7 +124,8 @@ def pack(texts: DataFrame, key: str, size: str, limits: list[tuple[str, int, int
     if sum(c for _, c, _ in limits) > MOST_SIZES:
         raise ValueError("capacities too large for one size histogram")
     limits = sorted(limits, key=lambda x: (-x[1], x[0]))
-    jobs = [("all", limits)] if together else [(n, [(n, c, j)]) for n, c, j in limits]
+    # per packing its tiers: name, window, joiner, and the largest size routed to it
+    jobs = [("all", [(n, c, j, c) for n, c, j in limits])] if together else [(n, [(n, c, j, r) for m, r, _ in limits if r < c or m == n]) for n, c, j in limits]
     n = F.coalesce(F.col(size), F.lit(0)).cast("long")
     parts = []
     for name, tiers in jobs:
@@ -134,21 +136,24 @@ def pack(texts: DataFrame, key: str, size: str, limits: list[tuple[str, int, int
     for p in parts[1:]:
         pieces = pieces.unionByName(p)
     tier_of = F.lit(0)
-    if together:
-        for i, (_, c, _) in enumerate(limits):
-            tier_of = F.when(F.col("n_tokens") <= c, i).otherwise(tier_of)
+    for name, tiers in jobs:
+        for i, (_, _, _, routed) in enumerate(tiers):
+            tier_of = F.when((F.col("pack_name") == name) & (F.col("n_tokens") <= routed), i).otherwise(tier_of)
     pieces = scratch.put(pieces.withColumn("_t", tier_of), "pieces")
     counts = {(r["pack_name"], r["_t"], r["n_tokens"]): r["n"] for r in pieces.groupBy("pack_name", "_t", "n_tokens").agg(F.count("*").alias("n")).collect()}
     rows = []
     for name, tiers in jobs:
         hist = [{s: c for (p, t, s), c in counts.items() if p == name and t == i} for i in range(len(tiers))]
-        groups = plan(hist, [c for _, c, _ in tiers], [j for _, _, j in tiers])
-        for i, (tier, capacity, _) in enumerate(tiers):
-            ranked = step_ranks([g for g in groups if g.tier == i])
-            steps = max(1, -(-sum(g.count for g, _ in ranked) // per_step))
+        groups = plan(hist, [c for _, c, _, _ in tiers], [j for _, _, j, _ in tiers])
+        for tier, capacity in {t[0]: t[1] for t in tiers}.items():
+            mine = [i for i, t in enumerate(tiers) if t[0] == tier]
+            some = [g for g in groups if g.tier in mine]
+            before = {i: sum(g.count for g in some if g.tier < i) for i in mine}  # windows of one limit are numbered on from tier to tier
+            ranked = step_ranks(some)
+            steps = max(1, -(-sum(g.count for g in some) // per_step))
             for g, rank in ranked:
                 for source, s, r, q in g.contents:
-                    rows.append((name, source, s, r, r + q * g.count, q, tier, g.first, g.items, capacity - g.load, rank, steps))
+                    rows.append((name, source, s, r, r + q * g.count, q, tier, before[g.tier] + g.first, g.items, capacity - g.load, rank, steps))
     where = spark.createDataFrame(rows, "pack_name string, _t int, n_tokens long, _from long, _to long, _q long, tier string, _first long, container_items long, unused long, _rank long, _steps long")
     ranked = spread(pieces, ["pack_name", "_t", "n_tokens"], F.xxhash64(key, "piece_no"), F.col(key))
     # the plan's rows follow the number of sizes, checked above, so they can be broadcast

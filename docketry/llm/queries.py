@@ -159,6 +159,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.alike_pairs(table(spark, d, "documents").select("doc_id", "text"), Scratch(spark, "p8"))
 
 
+def p8_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the group of those that look the same."""
+    return lookalike.alike_groups(table(spark, d, "documents").select("doc_id", "text"), Scratch(spark, "p8"))
+
+
 def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text in its consistent form."""
     return lookalike.canonicalize(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "canonical")
@@ -167,7 +172,7 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_splits, p1_shares, p2_found, p2_consensus, p2_judges, p4_found, p4_groups, p5_found, p5_unmatched, p6_pack, p6_tiers,
-        p7_usage, p7_shares, p7_schedule, p8_found, p8_canonical,
+        p7_usage, p7_shares, p7_schedule, p8_found, p8_groups, p8_canonical,
     )}
 
 

@@ -66,3 +66,15 @@ def test_tables(spark, scratch):
     assert sorted(tuple(r) for r in L.alike_pairs(d, scratch).collect()) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4), (6, 7)]
     assert L.alike_pairs(d.limit(0), scratch).count() == 0
     assert L.canonicalize(d, "text", "text").filter("doc_id = 3").first()["text"] == "ab"
+
+
+def test_groups_agree_with_pairs(spark, scratch):
+    from docketry.llm.lookalike import alike_groups, alike_pairs
+
+    texts = ["caf\u00e9", "cafe\u0301", "caf\u00e9", "a b", "a\u00a0b", "x", None, ""] + ["hot"] * 40 + ["h\u200bot"] * 2
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["group_id"], r["members"], r["variants"]) for r in alike_groups(d, scratch).collect()}
+    assert got[0] == got[1] == got[2] == (0, 3, 2) and got[3] == got[4] == (3, 2, 2) and got[5] == (5, 1, 1) and 6 not in got and got[7] == (7, 1, 1) and got[8] == (8, 42, 2)
+    pairs = {tuple(r) for r in alike_pairs(d, scratch).collect()}
+    assert pairs == {(a, b) for a in got for b in got if a < b and got[a][0] == got[b][0] and texts[a] != texts[b]}
+    assert alike_groups(d.limit(0), scratch).count() == 0
