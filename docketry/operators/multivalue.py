@@ -20,6 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import Scratch
 
@@ -27,7 +28,8 @@ from ..runtime import Scratch
 SHAPES = 20_000
 #: Log-probability of an unlearnt value, besides one less for each token.
 RARE = -25.0
-ROUNDS = 6
+#: Most rounds of EM, and what counts as settled.
+ROUNDS, SETTLED = 20, 0.002
 #: Longest piece of text whose class is kept for the next time it is met.
 SHORT = 64
 HARD = ";；|•·¦"
@@ -270,21 +272,35 @@ def _decode(code: str) -> tuple[list[str], list[str]]:
     return shapes, b.split("\x1f") if len(shapes) > 1 else []
 
 
-def learn(df: DataFrame, column: str, scratch: Scratch) -> Model:
-    """EM over the whole column. Fields are reduced to distinct chunks with counts first; each round then runs over
-    those, and only shapes above 1 / SHAPES of all values come back."""
-    spark = df.sparkSession
+def tokenized(df: DataFrame, keys: list[str], column: str, scratch: Scratch) -> DataFrame:
+    """``keys, _field, _codes, _spans`` of all fields that aren't blank: per chunk its shapes and gaps as one string, and where all
+    tokens start and end. Written, so learning and splitting read the tokens once made."""
+    base = df.select(*keys, F.col(column).alias("_field")).filter(F.length(F.trim(F.col("_field"))) > 0)
+    schema = T.StructType([*base.schema.fields, T.StructField("_codes", T.ArrayType(T.StringType())), T.StructField("_spans", T.ArrayType(T.IntegerType()))])
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[str, int] = defaultdict(int)
-            for text in b.column(0).to_pylist():
-                if text and not text.isspace():
-                    for _, shapes, gaps in chunks(read_field(text)):
-                        found[_encode(shapes, gaps)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["chunk", "n"])
-
-    counts = df.select(column).mapInArrow(reduce, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+            codes, spans = [], []
+            for text in b.column(len(keys)).to_pylist():
+                field = read_field(text)
+                codes.append([_encode(shapes, gaps) for _, shapes, gaps in chunks(field)])
+                spans.append([x for t in field.tokens for x in t[:2]])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int32()))], [*b.schema.names, "_codes", "_spans"])
+
+    return scratch.put(base.mapInArrow(run, schema), "fields")
+
+
+def learn(df: DataFrame, column: str, scratch: Scratch) -> Model:
+    """EM over the whole column, see ``learn_chunks``."""
+    return learn_chunks(tokenized(df, [], column, scratch), scratch)
+
+
+def learn_chunks(fields: DataFrame, scratch: Scratch) -> Model:
+    """EM over the whole column. Fields are reduced to distinct chunks with counts first; each round then runs over
+    those, and only shapes above 1 / SHAPES of all values come back. It ends when no class of gaps ends values more or less
+    often by ``SETTLED`` and no shape comes or goes, or after ``ROUNDS``."""
+    spark = fields.sparkSession
+    counts = fields.select(F.explode("_codes").alias("chunk")).groupBy("chunk").agg(F.count("*").alias("n"))
     # few bytes but much work: as many files as tasks, or every round would run in one
     seen = scratch.put(counts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "chunks")
     model: Model | None = None
@@ -323,8 +339,10 @@ def learn(df: DataFrame, column: str, scratch: Scratch) -> Model:
         for g in sorted({*yes, *no}, key=lambda g: "\x1d" in g):
             cls = g.split("\x1d")[0]
             ends[g] = (yes.get(g, 0.0) + 4 * ends.get(cls, usual(cls))) / (yes.get(g, 0.0) + no.get(g, 0.0) + 4)
-        model = Model({r["k"][1:]: r["e"] for r in kept if r["k"][0] == "v"}, ends)
+        before, model = model, Model({r["k"][1:]: r["e"] for r in kept if r["k"][0] == "v"}, ends)
         scratch.drop(counts)
+        if before is not None and before.value.keys() == model.value.keys() and all(abs(p - before.gaps.get(g, -1.0)) < SETTLED for g, p in ends.items() if "\x1d" not in g):
+            break
     scratch.drop(seen)
     return model
 
@@ -332,39 +350,46 @@ def learn(df: DataFrame, column: str, scratch: Scratch) -> Model:
 def as_written(text: str) -> str:
     """A value without quotes around the whole, doubled quotes inside made single, blanks squeezed."""
     text = text.strip()
-    if re.fullmatch(r'"(?:[^"]|"")*"', text):
+    if text[:1] == '"' and re.fullmatch(r'"(?:[^"]|"")*"', text):
         text = text[1:-1].replace('""', '"')
     elif len(text) > 1 and (text[0], text[-1]) in (("“", "”"), ("„", "“"), ("„", "”"), ("«", "»")):
         text = text[1:-1]
     return _GAPS.sub(" ", text).strip()
 
 
-def split_field(text: str, model: Model, cache: dict) -> list[str]:
-    """Values of one field in order."""
-    field, out = read_field(text), []
-    for first, shapes, gaps in chunks(field):
-        code = (tuple(shapes), tuple(gaps))
+def _cut(text: str, codes: list[str], spans: list[int], model: Model, cache: dict) -> list[str]:
+    """Values of a field from its chunks and the starts and ends of its tokens."""
+    out, at = [], 0
+    for code in codes:
         ends = cache.get(code)
         if ends is None:
+            shapes, gaps = _decode(code)
             ends = [1] if len(shapes) == 1 else model.best(shapes, gaps)
             if len(cache) < 200_000:
                 cache[code] = ends
         a = 0
         for e in ends:
-            out.append(as_written(text[field.tokens[first + a][0] : field.tokens[first + e - 1][1]]))
+            out.append(as_written(text[spans[2 * (at + a)] : spans[2 * (at + e) - 1]]))
             a = e
+        at += a
     return [x for x in out if x]
 
 
+def split_field(text: str, model: Model, cache: dict) -> list[str]:
+    """Values of one field in order."""
+    field = read_field(text)
+    return _cut(text, [_encode(s, g) for _, s, g in chunks(field)], [x for t in field.tokens for x in t[:2]], model, cache)
+
+
 def split_values(df: DataFrame, keys: list[str], column: str, scratch: Scratch, position: str = "item_no", value: str = "value", model: Model | None = None) -> DataFrame:
     """``keys``, ``position`` (from 1) and ``value``: one row per value packed in ``column``, repeats counted again.
 
     Null, empty and blank fields give no row. A field without delimiter is one value. An unclosed quote or bracket is
     plain text. Without ``model`` one is learnt from the whole column.
     """
-    model = model or learn(df, column, scratch)
+    fields = tokenized(df, keys, column, scratch)
+    model = model or learn_chunks(fields, scratch)
     sent = df.sparkSession.sparkContext.broadcast((model.value, model.gaps))
-    base = df.select(*keys, F.col(column).alias("_field")).filter(F.length(F.trim(F.col("_field"))) > 0)
     schema = df.select(*keys).schema.add(position, "integer").add(value, "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,12 +398,12 @@ def split_values(df: DataFrame, keys: list[str], column: str, scratch: Scratch,
         cache: dict = {}
         for b in batches:
             rows, places, values = [], [], []
-            for i, text in enumerate(b.column(len(keys)).to_pylist()):
-                found = split_field(text, m, cache)
+            for i, (text, codes, spans) in enumerate(zip(*(b.column(len(keys) + k).to_pylist() for k in range(3)))):
+                found = _cut(text, codes, spans, m, cache)
                 rows += [i] * len(found)
                 places += range(1, len(found) + 1)
                 values += found
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(len(keys))), pa.array(places, pa.int32()), pa.array(values, pa.string())], [*keys, position, value])
 
-    return base.mapInArrow(run, schema)
+    return fields.mapInArrow(run, schema)
