@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, overlap_coefficient
+from ..runtime import Scratch
+from .linkage import shared_keys, top_k
 
 #: Queries per block: what is broadcast at a time.
 BLOCK = 20_000
@@ -48,6 +50,7 @@ def top_k_overlap(queries: DataFrame, rows: DataFrame, query_id: str, row_id: st
     table = rows.select(F.col(row_id).alias("_r"), hashed).filter(F.size("_t") > 0)
     out = None
     blocks = max(1, -(-asked.count() // BLOCK))
+    scratch = Scratch(spark, "search")
     for b in range(blocks):
         some = asked.filter(F.pmod(F.xxhash64("_q", F.lit(11)), F.lit(blocks)) == b).toArrow()  # about BLOCK queries
         if not some.num_rows and out is not None:
@@ -95,12 +98,12 @@ def top_k_overlap(queries: DataFrame, rows: DataFrame, query_id: str, row_id: st
                 q, value, rid, n = _best(*(np.concatenate(x) for x in zip(*held)), k)
                 yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in q.tolist()], pa.string()), pa.array(value), pa.array(rid.tolist(), pa.string()), pa.array(n.astype(np.int64))], ["q", "score", "r", "shared"])
 
-        got = table.mapInArrow(run, "q string, score double, r string, shared long")
+        got = top_k(table.mapInArrow(run, "q string, score double, r string, shared long"), ["q"], [F.desc("score"), F.col("r")], k)
+        if blocks > 1:  # a block's queries leave memory before the next ones are sent
+            got = scratch.put(got, "block")
+            sent.unpersist()
         out = got if out is None else out.unionByName(got)
-    from .linkage import top_k
-
-    best = top_k(out, ["q"], [F.desc("score"), F.col("r")], k)
-    return best.select(F.col("q").alias(query_id), F.col("r").alias(row_id), "score", "shared", "rank")
+    return out.select(F.col("q").alias(query_id), F.col("r").alias(row_id), "score", "shared", "rank")
 
 
 def top_k_united(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, tokens: str, keys: str, k: int, least: int = 2, weight: float = 2.0, digits: int = 6) -> DataFrame:
@@ -113,8 +116,6 @@ def top_k_united(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str
     a key that isn't among its ``k`` best has ``k`` rows above it, and keys only raise those, so none is lost. A pair found
     both ways keeps the score with its keys.
     """
-    from .linkage import shared_keys, top_k
-
     x, y = queries.select(query_id, F.col(tokens).alias("_x")), rows.select(row_id, F.col(tokens).alias("_y"))
     none = F.array().cast("array<string>")
     d = shared_keys(queries, rows, query_id, row_id, keys).withColumnRenamed("shared", "hits").join(x, query_id).join(y, row_id)

@@ -68,15 +68,19 @@ def ship(spark: SparkSession) -> None:
 
 
 _roots: list[tuple[SparkSession, str]] = []
+_registered = False
 
 
-def _sweep() -> None:
-    """Delete this process's scratch tables when it ends, if Spark still runs."""
-    for spark, root in _roots:
+def sweep() -> None:
+    """Delete this process's scratch tables. Called at exit; a job that stops Spark itself calls it before, since folders that are no
+    plain files can be reached through Spark only."""
+    while _roots:
+        spark, root = _roots.pop()
         try:
             _delete(spark, root)
         except Exception:
-            return
+            if root.startswith(("file:", "/")):
+                shutil.rmtree(root.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -89,8 +93,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         ship(spark)
-        if not _roots:
-            atexit.register(_sweep)
+        global _registered
+        if not _registered:
+            atexit.register(sweep)
+            _registered = True
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         _roots.append((spark, self.root))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sampling import numbered
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
     """JSON lines. ``strict``: a missing path or a bad line raises; else a missing path is an empty table."""
@@ -32,11 +37,10 @@ def read_bodies(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFram
 
 
 def with_positions(df: DataFrame, order: list[str], prefix: str = "M", width: int = 5, out: str = "mandate_id") -> DataFrame:
-    """Positional ids over the whole table, without one task holding it: range partitions are counted, then numbered."""
-    d = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    indexed = d.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))
-    schema = T.StructType([*d.schema.fields, T.StructField("_i", T.LongType())])
-    return df.sparkSession.createDataFrame(indexed, schema).withColumn(out, F.format_string(f"{prefix}%0{width}d", F.col("_i"))).drop("_p", "_i")
+    """Positional ids from 0 over the whole table in ``order``, without one task holding it; rows equal in all of ``order`` follow each
+    other anyhow."""
+    d = numbered(df, F.struct(*order), "_place")
+    return d.withColumn(out, F.format_string(f"{prefix}%0{width}d", F.col("_place") - 1)).drop("_place")
 
 
 def prefer_format(files: DataFrame, key: str, kind: str, order: list[str]) -> DataFrame:
@@ -72,11 +76,29 @@ def write(df: DataFrame, path: str, kind: str = "jsonl", columns: list[str] | No
     elif kind == "parquet":
         w.parquet(path)
     elif kind == "json":
-        d.select(F.to_json(F.struct(*d.columns)).alias("value")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+        d.select(F.to_json(F.struct(*d.columns)).alias("value")).mapInArrow(_bracketed, "value string").write.mode("overwrite").text(path)
     else:
         raise ValueError(f"unknown format {kind}")
 
 
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task as one JSON array, a row per line; a task without rows gives none."""
+    mark = "["
+    for b in batches:
+        lines = [(mark if i == 0 else ",") + v for i, v in enumerate(b.column(0).to_pylist())]
+        if lines:
+            mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+    if mark == ",":
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+
+def write_pair(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
+    """The same chosen columns in the same order as JSON lines and as CSV with header, under ``path``."""
+    for kind in ("jsonl", "csv"):
+        write(df, f"{path}/{kind}", kind, columns, order)
+
+
 def markdown(df: DataFrame, most: int = 1000) -> str:
     """A small result as a Markdown table; more than ``most`` rows are refused."""
     rows = df.limit(most + 1).collect()
