@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..runtime import Scratch
+
 
 def confusion(df: DataFrame, truth: Column, guess: Column, by: list[str]) -> DataFrame:
     """``tp, fp, fn, tn, recall, precision, f2, accuracy`` per group; rows with a null side are left out; ratios without
@@ -49,16 +52,28 @@ def recall_at(ranked: DataFrame, relevant: Column, order: list[Column], ks: list
 def max_cosine(vectors: DataFrame, key: str, vector: str, reference: DataFrame, block: int = 4096, most: int = 200_000) -> DataFrame:
     """``key, cosine``: greatest cosine to any reference vector, the reference being a stated set met in blocks.
 
-    The reference is broadcast; more than ``most`` vectors are refused. Norms are clipped at 1e-12; null, empty and
-    other-sized vectors give null.
+    At most some ``most`` reference vectors are broadcast at a time; a larger set is dealt to as many blocks as it needs, each block's
+    result is written before the next is sent, and the greatest of all counts. Norms are clipped at 1e-12; null, empty and
+    other-sized vectors give null. ``key`` is unique.
     """
-    got = reference.filter(F.col(vector).isNotNull()).select(vector).limit(most + 1).toPandas()[vector].tolist()
-    if len(got) > most:
-        raise ValueError(f"more than {most} reference vectors")
-    m = np.array(got, np.float64).reshape(len(got), -1) if got else np.zeros((0, 0))
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-    sent = vectors.sparkSession.sparkContext.broadcast(m)
+    spark = vectors.sparkSession
+    live = reference.filter(F.col(vector).isNotNull()).select(vector)
+    blocks = max(1, math.ceil(live.count() / most))
+    scratch, out = Scratch(spark, "cosine"), None
+    for i in range(blocks):
+        some = live if blocks == 1 else live.filter(F.pmod(F.xxhash64(vector), F.lit(blocks)) == i)
+        got = some.toPandas()[vector].tolist()  # about ``most`` vectors
+        m = np.array(got, np.float64).reshape(len(got), -1) if got else np.zeros((0, 0))
+        sent = spark.sparkContext.broadcast(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))
+        best = _greatest(vectors, key, vector, sent, block)
+        if blocks > 1:
+            best = scratch.put(best, "block")
+            sent.unpersist()
+        out = best if out is None else out.unionByName(best)
+    return out if blocks == 1 else out.groupBy(key).agg(F.max("cosine").alias("cosine"))
+
 
+def _greatest(vectors: DataFrame, key: str, vector: str, sent, block: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ref = sent.value
         for pdf in batches:

@@ -227,8 +227,10 @@ def _sql_like(x: str, y: str) -> str:
     return f"({x} = '' OR {y} = '' OR starts_with({x}, {y}) OR starts_with({y}, {x}))"
 
 
-@query(f"""WITH RECURSIVE g AS (SELECT uslm_id, arg_max(struct_pack(e := trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(gold.recipient, '')), '[^a-z ]', ' ', 'g'), ' (the|a|an) ', ' ', 'g'), ' +', ' ', 'g')), c := {sql_case("lower(trim(coalesce(text, '')))", R.FREQUENCIES, "CASE WHEN lower(trim(coalesce(text, ''))) IN ('', 'unknown', 'none') THEN 'unknown' ELSE 'other' END", whole=False)}, t := coalesce(text, '')), gold_id) AS r
-      FROM mandate_gold WHERE gold.is_mandate AND uslm_id IS NOT NULL GROUP BY 1),
+def unit_sql(where: str) -> str:
+    """CTEs that collapse adjudicated rows with a condition: ``u`` has id, o (owner), unit."""
+    return f"""g AS (SELECT uslm_id, arg_max(struct_pack(e := trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(gold.recipient, '')), '[^a-z ]', ' ', 'g'), ' (the|a|an) ', ' ', 'g'), ' +', ' ', 'g')), c := {sql_case("lower(trim(coalesce(text, '')))", R.FREQUENCIES, "CASE WHEN lower(trim(coalesce(text, ''))) IN ('', 'unknown', 'none') THEN 'unknown' ELSE 'other' END", whole=False)}, t := coalesce(text, '')), gold_id) AS r
+      FROM mandate_gold WHERE {where} AND uslm_id IS NOT NULL GROUP BY 1),
     n AS (SELECT uslm_id AS id, r.e AS e, r.c AS c, r.t AS t, regexp_extract(uslm_id, {q(C.SECTION_PATH)}, 1) AS s FROM g),
     p AS (SELECT id, s, list_filter(string_split(substr(id, length(s) + 2), '/'), lambda x: x <> '') AS p FROM n WHERE s <> '' AND NOT regexp_matches(id, '/note/[0-9]+$')),
     up AS (SELECT id, k, CASE WHEN k = 0 THEN s ELSE s || '/' || array_to_string(p[1:k], '/') END AS a FROM (SELECT id, s, p, unnest(range(0, len(p))) AS k FROM p)),
@@ -244,7 +246,10 @@ def _sql_like(x: str, y: str) -> str:
     joined AS (SELECT r.id, r.t, list_filter(d.l, lambda y: {_sql_like('y.e', 'r.e')})[1].id AS first FROM root r JOIN done d ON d.p = r.p AND d.c = r.c),
     same AS (SELECT first, count(*) AS n, min(t) AS lo, max(t) AS hi FROM joined GROUP BY 1),
     one AS (SELECT first FROM same WHERE n > 1 AND regexp_matches(substr(lo, 1, CAST(coalesce(list_min(list_filter(range(1, least(length(lo), length(hi)) + 1), lambda i: lo[i] <> hi[i])) - 1, least(length(lo), length(hi))) AS BIGINT)), {q(DUTY)})),
-    u AS (SELECT chain.id, chain.o, coalesce((SELECT any_value(j.first) FROM joined j JOIN one USING (first) WHERE j.id = chain.o), chain.o) AS unit FROM chain)
+    u AS (SELECT chain.id, chain.o, coalesce((SELECT any_value(j.first) FROM joined j JOIN one USING (first) WHERE j.id = chain.o), chain.o) AS unit FROM chain)"""
+
+
+@query(f"""WITH RECURSIVE {unit_sql('gold.is_mandate')}
     SELECT id AS uslm_id, unit AS unit_id, CASE WHEN unit = id THEN 'own' WHEN o <> id THEN 'ancestor' ELSE 'sibling' END AS rule FROM u""")
 def q_unit_collapse(spark: SparkSession, d: str) -> DataFrame:
     """Adjudicated mandates collapsed into units per section: entity from the recipient, rhythm from the text. Of repeated ids

@@ -70,14 +70,22 @@ def q_parent_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "submissions").groupBy("package_id", parent.alias("parent")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH e AS (SELECT entity_id, trim(regexp_replace(lower(regexp_replace(strip_accents(canonical_name), '&', ' and ', 'g')), '[^a-z0-9]+', ' ', 'g')) AS k FROM entity_list),
-    v AS (SELECT mandate_id, trim(regexp_replace(lower(regexp_replace(strip_accents(reporting_entity), '&', ' and ', 'g')), '[^a-z0-9]+', ' ', 'g')) AS k FROM report),
+def sql_key(x: str) -> str:
+    return f"trim(regexp_replace(lower(regexp_replace(strip_accents({x}), '&', ' and ', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH n AS (SELECT {sql_key('canonical_name')} AS k, entity_id FROM entity_list UNION ALL SELECT {sql_key('acronym')}, entity_id FROM entity_list WHERE acronym IS NOT NULL), e AS (SELECT k, max(entity_id) AS entity_id FROM n WHERE k <> '' GROUP BY 1),
+    v AS (SELECT mandate_id, {sql_key(r"trim(string_split_regex(trim(regexp_replace(reporting_entity, '\s*\([^()]*\)\s*$', '')), '\s+[-–—]\s+')[1])")} AS k FROM report),
     w AS (SELECT mandate_id, k, CASE WHEN k LIKE '% department' THEN 'department of ' || left(k, length(k) - 11) END AS k2 FROM v)
     SELECT mandate_id, coalesce(a.entity_id, b.entity_id) AS entity_id, w.k AS agency_key FROM w LEFT JOIN e a ON a.k = w.k LEFT JOIN e b ON b.k = w.k2""")
 def q_alias_canonical(spark: SparkSession, d: str) -> DataFrame:
-    """Canonical agency by key, then by the turned-round department form."""
-    e = F.broadcast(table(spark, d, "entity_list").select("entity_id", X.basic_key(F.col("canonical_name")).alias("k")))  # the list doesn't grow
-    v = table(spark, d, "report").select("mandate_id", X.basic_key(F.col("reporting_entity")).alias("k"))
+    """Canonical agency of the parent part by key: a name or acronym on the list (the last entry on a clash), then the turned-round
+    department form."""
+    names = table(spark, d, "entity_list")
+    e = names.select(X.basic_key(F.col("canonical_name")).alias("k"), "entity_id").unionByName(names.filter("acronym is not null").select(X.basic_key(F.col("acronym")).alias("k"), "entity_id"))
+    e = F.broadcast(e.filter("k <> ''").groupBy("k").agg(F.max("entity_id").alias("entity_id")))  # the list doesn't grow
+    parent, _ = X.split_parent(F.col("reporting_entity"))
+    v = table(spark, d, "report").select("mandate_id", X.basic_key(parent).alias("k"))
     v = v.withColumn("k2", F.when(F.col("k").endswith(" department"), F.expr("'department of ' || left(k, length(k) - 11)")))
     out = v.join(e.withColumnRenamed("entity_id", "a"), "k", "left").join(e.select(F.col("entity_id").alias("b"), F.col("k").alias("k2")), "k2", "left")
     return out.select("mandate_id", F.coalesce("a", "b").alias("entity_id"), F.col("k").alias("agency_key"))

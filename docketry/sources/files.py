@@ -29,6 +29,12 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file_name", F.col("_metadata.file_name"))
 
 
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """``key, value`` of files that are one JSON object each, values as text; files that are none give no rows."""
+    d = spark.read.text(path, wholetext=True)
+    return d.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
+
+
 def read_bodies(spark: SparkSession, path: str, glob: str = "*.xml") -> DataFrame:
     """``file_name, title, appendix, body`` of text files such as one XML per title; ``usc05A.xml`` is title 5, appendix."""
     d = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.decode("content", "UTF-8").alias("body"))

@@ -120,3 +120,14 @@ def test_catalogue_source(spark):
     assert rows(d.select("package_id")) == [(f"P{i}",) for i in range(7)]
     assert get_json(f"{url}/gone") is None
     server.shutdown()
+
+
+def test_object_documents_and_pairs(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"/us/usc/t5/s1": "Pub. L. 1-2", "b": 3}')
+    (tmp_path / "n.json").write_text("nothing")
+    assert rows(S.read_map(spark, str(tmp_path / "*.json"))) == [("/us/usc/t5/s1", "Pub. L. 1-2"), ("b", "3")]
+    d = spark.createDataFrame([("b", "ü", 1), ("a", None, 2)], "k string, v string, n int")
+    S.write_pair(d, str(tmp_path / "out"), ["k", "v"], ["k"])
+    assert [r[0] for r in spark.read.text(str(tmp_path / "out" / "jsonl")).collect()] == ['{"k":"a"}', '{"k":"b","v":"ü"}'] and spark.read.option("header", True).csv(str(tmp_path / "out" / "csv")).columns == ["k", "v"]
+    S.write(d.repartition(3), str(tmp_path / "arr"), "json")
+    assert sum(len(json.loads(p.read_text())) for p in (tmp_path / "arr").glob("*.txt") if p.stat().st_size) == 2

@@ -228,6 +228,7 @@ def test_vectors(spark):
     out = {r["i"]: r["cosine"] for r in V.max_cosine(v, "i", "v", ref).collect()}
     assert out[1] == pytest.approx(1.0) and out[2] == 0.0 and out[3] is None and out[4] is None
     assert V.max_cosine(v, "i", "v", ref.limit(0)).filter("cosine is not null").count() == 0
+    assert {r["i"]: r["cosine"] for r in V.max_cosine(v, "i", "v", ref, most=1).collect()} == out  # more than one block
     assert not any(math.isnan(x) for x in out.values() if x is not None)
 
 
