@@ -169,15 +169,91 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonicalize(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "canonical")
 
 
+def _none(name: str, df: DataFrame) -> DataFrame:
+    """How many rows break a rule, under the rule's name."""
+    return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rule"), "n")
+
+
+def _all(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p1_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Rules the splits must keep, with the number of breaches: every record once, a section in one split, shares within half a percent and
+    the largest section."""
+    out = Scratch(spark, "p1s").put(p1_splits(spark, d), "splits")
+    ids = table(spark, d, "mandate_gold").select("gold_id")
+    total, targets = out.count(), _targets(spark, d)
+    most = out.filter("section_id is not null").groupBy("section_id").count().agg(F.max("count")).first()[0] or 0
+    want = spark.createDataFrame([(k, v / sum(targets.values())) for k, v in targets.items()], "split string, share double")
+    got = want.join(out.groupBy("split").count(), "split", "left").withColumn("off", F.abs(F.coalesce("count", F.lit(0)) - F.col("share") * total))
+    return _all(
+        _none("missing", ids.join(out, "gold_id", "left_anti")), _none("repeated", out.groupBy("gold_id").count().filter("count > 1")),
+        _none("torn section", out.filter("section_id is not null").groupBy("section_id").agg(F.countDistinct("split").alias("k")).filter("k > 1")),
+        _none("share missed", got.filter(F.col("off") > 0.005 * total + most)),
+    )
+
+
+def p2_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs on which judges contradict each other, by number of usable verdicts and of the larger side; every one has a verdict."""
+    items = _consensus(spark, d).items.filter("largest < usable")
+    return items.groupBy("usable", "largest").agg(F.count("*").alias("pairs"), F.sum(F.when(F.col("label").isin(CLASSES), 0).otherwise(1)).alias("undecided"))
+
+
+def p5_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose entry had to be found, per table; ids found that aren't on the list."""
+    found, ids = p5_found(spark, d), table(spark, d, "entity_list").select("entity_id", F.lit(1).alias("on"))
+    g = found.join(F.broadcast(ids), "entity_id", "left").groupBy("table_name")
+    return g.agg(F.count("*").alias("records"), F.sum(F.when((F.col("entity_id") != -1) & F.col("on").isNull(), 1).otherwise(0)).alias("unlisted"))
+
+
+def p6_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: texts placed, containers overfull or wrongly summed, texts cut although they fit, tokens lost."""
+    scratch = Scratch(spark, "p6s")
+    sizes = _sized(spark, d, scratch)
+    placed = scratch.put(packing.pack(sizes, "doc_id", "n_tokens", _limits(spark, d), scratch, together=False), "placed")
+    limit = F.broadcast(table(spark, d, "pack_limits").select("pack_name", F.col("capacity_tokens").alias("c"), F.col("joiner_tokens").alias("j")))  # three rows
+    boxes = placed.groupBy("pack_name", "container_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"), F.max("unused").alias("u")).join(limit, "pack_name")
+    wrong = boxes.groupBy("pack_name").agg(F.sum(((F.col("t") + (F.col("k") - 1) * F.col("j") + F.col("u") != F.col("c")) | (F.col("u") < 0)).cast("long")).alias("wrong_containers"))
+    texts = placed.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k")).join(limit, "pack_name").join(sizes.select("doc_id", "n_tokens"), "doc_id")
+    whole = texts.groupBy("pack_name").agg(
+        F.count("*").alias("texts"), F.sum(((F.col("k") > 1) & (F.col("n_tokens") <= F.col("c"))).cast("long")).alias("cut_though_fitting"), F.sum((F.col("t") != F.col("n_tokens")).cast("long")).alias("tokens_lost")
+    )
+    return whole.join(wrong, "pack_name")
+
+
+def p7_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix and source: texts used more often than allowed, and whether the share misses its target by more than a text; a source that
+    has no texts is at share 0."""
+    m = _mix(spark, d)
+    over = F.greatest(F.col("most_used") - F.col("max_repeats"), F.lit(0)).cast("long").alias("over_repeats")
+    short = (F.col("quota") > 0) & ((F.col("tokens") < F.col("quota")) | (F.col("texts_used") == 0))
+    return m.shares.select("mix_name", "source_name", over, short.alias("short"))
+
+
+def p8_sound(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, and how many of their consistent forms would change when made consistent again."""
+    once = lookalike.canonicalize(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("canonical").alias("text"))
+    twice = lookalike.canonicalize(once)
+    return twice.agg(F.count("*").alias("documents"), F.sum((~F.col("text").eqNullSafe(F.col("canonical"))).cast("long")).alias("unstable"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_splits, p1_shares, p2_found, p2_consensus, p2_judges, p4_found, p4_groups, p5_found, p5_unmatched, p6_pack, p6_tiers,
-        p7_usage, p7_shares, p7_schedule, p8_found, p8_groups, p8_canonical,
+        p7_usage, p7_shares, p7_schedule, p8_found, p8_groups, p8_canonical, p1_sound, p2_sound, p5_sound, p6_sound, p7_sound, p8_sound,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Queries that SQL can state. The others are tested against brute force, round trips or planted cases."""
+    """Queries that SQL can state. Of the others, ``pN_sound`` states the rules their results must keep; they are also tested against
+    brute force, round trips or planted cases."""
+    words = """w AS (SELECT DISTINCT mandate_id, unnest(regexp_extract_all(lower(coalesce(nature_of_report, '') || ' ' || coalesce(authority, '')), '[a-z0-9]+')) AS word FROM report)"""
+    blank = r"[\s\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+    said = "trim(regexp_replace(lower(verdict), '[^a-z]+', ' ', 'g'))"
     dashes = "translate(uslm_id, '‐‑‒–—―−', '-------')"
     return {
         "p1_found": f"""
@@ -193,4 +269,24 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT mandate_id, count(*) AS n FROM w GROUP BY 1),
             p AS (SELECT a.mandate_id AS x, b.mandate_id AS y, count(*) AS c FROM w a JOIN w b ON a.word = b.word AND a.mandate_id < b.mandate_id GROUP BY 1, 2)
             SELECT x AS mandate_id_a, y AS mandate_id_b FROM p JOIN n a ON a.mandate_id = x JOIN n b ON b.mandate_id = y WHERE c >= 0.7 * (a.n + b.n - c) - 1e-9""",
+        "p4_groups": f"""
+            WITH RECURSIVE {words}, s AS (SELECT mandate_id, md5(string_agg(word, ' ' ORDER BY word)) AS h, count(*) AS n FROM w GROUP BY 1),
+            c AS (SELECT h, min(mandate_id) AS rep, count(*) AS copies, any_value(n) AS n FROM s GROUP BY 1), cw AS (SELECT rep, n, word FROM c JOIN w ON w.mandate_id = c.rep),
+            p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS k, any_value(a.n) AS an, any_value(b.n) AS bn FROM cw a JOIN cw b ON a.word = b.word AND a.rep <> b.rep GROUP BY 1, 2),
+            e AS (SELECT x, y FROM p WHERE k >= 0.7 * (an + bn - k) - 1e-9), r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b),
+            g AS (SELECT a, min(b) AS group_id FROM r GROUP BY 1), k AS (SELECT x, count(*) AS links FROM e GROUP BY 1), m AS (SELECT c.rep, min(s2.mandate_id) AS least FROM c JOIN s s2 ON s2.h = c.h GROUP BY 1)
+            SELECT s.mandate_id, c.rep AS class_id, c.copies, coalesce(k.links, 0) AS links, g.group_id FROM s JOIN c ON c.h = s.h JOIN g ON g.a = c.rep LEFT JOIN k ON k.x = c.rep""",
+        "p1_sound": "SELECT unnest(['missing', 'repeated', 'torn section', 'share missed']) AS rule, 0 AS n",
+        "p2_sound": f"""
+            WITH v AS (SELECT mandate_id, package_id, trim(regexp_replace(lower(judge), '\\s+', ' ', 'g')) AS judge, judged_at, log_seq, CASE WHEN regexp_matches({said}, '^(not (the )?same|diff(erent|ers?|s)?|dissimilar)( |$)') THEN 'different'
+              WHEN regexp_matches({said}, '^(the )?same( |$)') THEN 'same' WHEN regexp_matches({said}, '^(un(clear|sure|certain)|ambiguous)( |$)') THEN 'unclear' END AS c FROM candidates),
+            l AS (SELECT mandate_id, package_id, judge, arg_max(c, struct_pack(a := judged_at, b := log_seq)) AS c FROM v WHERE c IS NOT NULL AND mandate_id IS NOT NULL AND package_id IS NOT NULL AND judge IS NOT NULL GROUP BY 1, 2, 3),
+            p AS (SELECT mandate_id, package_id, count(*) FILTER (c = 'same') AS s, count(*) FILTER (c = 'different') AS d FROM l GROUP BY 1, 2)
+            SELECT s + d AS usable, greatest(s, d) AS largest, count(*) AS pairs, 0 AS undecided FROM p WHERE s > 0 AND d > 0 GROUP BY 1, 2""",
+        "p5_sound": f"""
+            WITH t AS (SELECT 'report' AS table_name, mandate_id AS k, reporting_entity AS v FROM report UNION ALL SELECT 'submissions', package_id, max(government_author) FROM submissions GROUP BY 1, 2)
+            SELECT table_name, count(*) AS records, 0 AS unlisted FROM t WHERE length(regexp_replace(v, '{blank}', '', 'g')) > 0 AND v NOT IN (SELECT canonical_name FROM entity_list) GROUP BY 1""",
+        "p6_sound": "SELECT pack_name, (SELECT count(*) FROM documents) AS texts, 0 AS cut_though_fitting, 0 AS tokens_lost, 0 AS wrong_containers FROM pack_limits",
+        "p7_sound": "SELECT mix_name, source_name, 0 AS over_repeats, false AS short FROM mix_targets",
+        "p8_sound": "SELECT count(*) AS documents, 0 AS unstable FROM documents",
     }
