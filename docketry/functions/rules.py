@@ -116,3 +116,10 @@ def score_reason(kinds: Column, similarity: Column, agency: Column) -> Column:
 def orphan_tag(agency_known: Column, cites: Column, best: Column) -> Column:
     """Why a filing found no mandate, from whether its agency is listed, whether it cites, and the best similarity."""
     return F.when(~agency_known, "agency_absent").when(cites & (best < 0.2), "cited_but_unlike").when(best >= 0.3, "near_miss").when(best >= 0.15, "weak").otherwise("none")
+
+
+def window_reason(label: Column, year: Column, first: int, last: int) -> Column:
+    """Why a duty of rhythm ``label`` falls in the years ``first`` to ``last`` or not: ``recurring``, ``on_demand``, ``one_time_in``, which do, or
+    ``one_time_future``, ``one_time_out``, ``event_driven``, ``other``. A single duty without a year is out."""
+    once = F.when(year.between(first, last), "one_time_in").when(year > last, "one_time_future").otherwise("one_time_out")
+    return F.when(label.isin("on_demand", "event_driven", "other"), label).when(label == "one_time", once).otherwise("recurring")

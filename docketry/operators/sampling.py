@@ -92,6 +92,24 @@ def numbered(df: DataFrame, key: Column, out: str = "place") -> DataFrame:
     return inside.join(F.broadcast(before), "_p").withColumn(out, F.col("_b") + F.col("_i")).drop("_p", "_i", "_b")
 
 
+def running(df: DataFrame, keys: list[str], order: str, value: str, place: str = "place", most: str = "most", per: int = 50_000) -> DataFrame:
+    """Add each row's ``place`` (from 1) in its group by ``order`` (a unique long) and the greatest ``value`` up to it.
+
+    ``order`` is cut into stretches with some ``per`` rows of the table each; counts and greatest values of earlier stretches
+    are carried over, so a group that holds any part of the rows is sorted stretch by stretch. Keys must not be null; null values don't count.
+    """
+    n, low, high = df.agg(F.count("*"), F.min(order), F.max(order)).first()
+    width = max(1, ((high or 0) - (low or 0)) // max(1, -(-n // per)) + 1)
+    d = df.withColumn("_b", F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)).cast("long"))
+    ends = d.groupBy(*keys, "_b").agg(F.count("*").alias("_n"), F.max(value).alias("_m"))
+    past = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*keys, "_b", F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n"), F.max("_m").over(past).alias("_m"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(order)
+    d = d.join(before, [*keys, "_b"])
+    upto = F.max(value).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn(place, F.col("_n") + F.row_number().over(inside)).withColumn(most, F.greatest(upto, F.col("_m"))).drop("_b", "_n", "_m")
+
+
 def stratified_split(df: DataFrame, strata: list[str], key: str, shares: list[tuple[str, float]], seed: int = 0) -> DataFrame:
     """Add ``split``: in every stratum the shares of rows, rounded, in hash order; the last split takes the rest. Places in a
     stratum come from hash buckets with offsets, so a stratum may hold any part of the rows. Null strata are one."""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import citations as C
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators import judges, linkage
+from ..operators.sampling import running
 from ..runtime import table
 from .catalogue import query
 from .links import FILINGS, MULTI, filings
@@ -186,6 +186,6 @@ def q_unparsed_share(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, max(text) OVER w = text AS last_of_run, row_number() OVER w AS place FROM (SELECT doc_id, text, uslm_id, doc_kind FROM documents WHERE uslm_id IS NOT NULL) WINDOW w AS (PARTITION BY uslm_id, doc_kind ORDER BY doc_id)""")
 def q_running_rank(spark: SparkSession, d: str) -> DataFrame:
     """Place of each document among those of its node and kind, and whether its text sorts last so far."""
-    w = Window.partitionBy("uslm_id", "doc_kind").orderBy("doc_id")
-    x = table(spark, d, "documents").filter("uslm_id is not null")
-    return x.select("doc_id", (F.max("text").over(w) == F.col("text")).alias("last_of_run"), F.row_number().over(w).alias("place"))
+    x = table(spark, d, "documents").filter("uslm_id is not null").select("doc_id", "text", "uslm_id", F.coalesce("doc_kind", F.lit("")).alias("kind"))
+    out = running(x, ["uslm_id", "kind"], "doc_id", "text")
+    return out.select("doc_id", (F.col("most") == F.col("text")).alias("last_of_run"), "place")

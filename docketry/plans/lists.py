@@ -16,7 +16,7 @@ from .catalogue import query
 from .links import unit_sql
 from .logs import LAST, USABLE, log
 from .reports import count_if
-from .texts import CODE_NODE, END, FOLD, LAW_NODE, SQUEEZED, YEAR, q, sql_case
+from .texts import CODE_NODE, END, FOLD, LAW_NODE, ONCE, SQUEEZED, YEAR, q, sql_case
 
 #: Rhythms of a duty that keeps coming; event-driven duties are kept too.
 RECURRING = ["weekly", "monthly", "quarterly", "semiannual", "annual", "biennial", "multi-year", "periodic", "other"]
@@ -72,6 +72,18 @@ def q_judge_summary(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("same_share", F.round(F.try_divide(F.col("same"), F.col("same") + F.col("different")), 6))
 
 
+CADENCE = sql_case("t", R.CADENCES, f"CASE WHEN {ONCE} THEN 'one_time' ELSE 'other' END")
+
+
+@query(f"""WITH r AS (SELECT mandate_id, lower(coalesce(when_expected, '')) AS t, list_max(list_transform(list_filter(string_split(regexp_replace(coalesce(when_expected, ''), '[^0-9A-Za-z]+', ' ', 'g'), ' '), lambda y: regexp_full_match(y, '20[0-9]{{2}}')), lambda y: CAST(y AS INT))) AS y FROM report),
+    c AS (SELECT mandate_id, y, CASE WHEN t = '' THEN 'other' ELSE {CADENCE} END AS c FROM r)
+    SELECT mandate_id, CASE WHEN c IN ('on_demand', 'event_driven', 'other') THEN c WHEN c <> 'one_time' THEN 'recurring' WHEN y BETWEEN {YEAR} AND {YEAR + 1} THEN 'one_time_in' WHEN y > {YEAR + 1} THEN 'one_time_future' ELSE 'one_time_out' END AS reason FROM c""")
+def q_window_reason(spark: SparkSession, d: str) -> DataFrame:
+    """Whether and why every mandate falls due in a stretch of years."""
+    w = F.col("when_expected")
+    return table(spark, d, "report").select("mandate_id", R.window_reason(R.cadence(w), C.deadline_year(w), YEAR, YEAR + 1).alias("reason"))
+
+
 #: Checks of a reviewer, each a query whose rows are what it finds.
 CHECKS = ["q_multi_attach", "q_dup_groups", "q_zero_coverage", "q_agency_without_rows", "q_pattern_counts", "q_uncovered", "q_orphans"]
 

@@ -77,6 +77,21 @@ def test_orders_and_samples(spark):
     assert abs(split.filter("split = 'a' and g = 'hot'").count() - 833.5) < 1 and split.count() == 5000 and split.columns == ["id", "g", "split"]
 
 
+def test_running_values_over_stretches(spark):
+    import random
+
+    r = random.Random(2)
+    data = [(i * 7, "hot" if i % 3 else f"g{i % 5}", r.choice(["a", "b", "c", None, "d" if i > 400 else "a"])) for i in range(600)]
+    d = spark.createDataFrame(data, "i long, g string, v string")
+    want, state = {}, {}
+    for i, g, v in data:
+        n, m = state.get(g, (0, None))
+        state[g] = want[i] = (n + 1, max((x for x in (m, v) if x is not None), default=None))
+    for per in (50, 10_000):
+        assert {x["i"]: (x["place"], x["most"]) for x in M.running(d, ["g"], "i", "v", per=per).collect()} == want
+    assert M.running(d.limit(0), ["g"], "i", "v").count() == 0
+
+
 def test_refusals_are_final(spark):
     log = spark.createDataFrame([("a", "same"), ("a", None), ("b", None), ("c", "refused"), ("c", None), ("d", "n/a")], "k string, v string")
     assert rows(L.never_ended(log, ["k"], F.col("v").isin("same", "refused"))) == [("b",), ("d",)]
