@@ -16,7 +16,7 @@ from .linkage import shared_keys, top_k
 #: Queries per block: what is broadcast at a time.
 BLOCK = 20_000
 #: Cells of the overlap matrix held at a time, and candidates kept before they are cut to the best.
-CELLS, HELD = 1 << 21, 1 << 19
+CELLS, HELD = 1 << 20, 1 << 19
 
 
 def _csr(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
