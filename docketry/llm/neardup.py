@@ -17,7 +17,7 @@ from .components import components
 #: occurrences, so there are fewer than LISTED of them whatever the input; the others count as equally rare.
 LISTED = 100_000
 #: Records that share a word held by more than HOT_WORD classes must share a second one to meet.
-HOT_WORD = 4096
+HOT_WORD = 8192
 #: A larger tile is cut into blocks of this many entries, which meet pairwise in tasks of their own.
 TILE = 20_000
 #: 64-bit parts of a word bitmap.
@@ -30,7 +30,7 @@ def word_set(*columns: Column) -> Column:
     """Distinct words (longest runs of a-z and digits, lower case) of all columns taken together, as sorted 64-bit
     hashes. Null counts as empty; no words give an empty array."""
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", *columns)), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.array_sort(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def copy_classes(records: DataFrame, key: str, words: Column, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -38,8 +38,9 @@ def copy_classes(records: DataFrame, key: str, words: Column, scratch: Scratch)
 
     ``class_id`` is a number valid for this run. Empty word sets have no similarity and are left out.
     """
+    digest = F.concat(F.hex(F.xxhash64("words")), F.hex(F.xxhash64(F.lit(1), "words")))  # 128 bits
     # words are filtered once they are written: a filter in the same step would make Spark find all words twice
-    sets = scratch.put(records.select(key, words.alias("words")).withColumn("digest", F.md5(F.array_join(F.col("words").cast("array<string>"), ","))), "sets").filter(F.size("words") > 0)
+    sets = scratch.put(records.select(key, words.alias("words")).withColumn("digest", digest), "sets").filter(F.size("words") > 0)
     classes = scratch.put(sets.groupBy("digest").agg(F.first("words").alias("words"), F.count("*").alias("n")).withColumn("class_id", F.monotonically_increasing_id()), "classes")
     hot = [r[0] for r in _hot(classes, "digest")]
     members = scratch.put(skew_join(sets.select(key, "digest"), classes.select("digest", "class_id"), "digest", "inner", hot).select("class_id", key), "members")
