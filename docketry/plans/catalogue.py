@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for name in ("texts", "links", "logs", "reports", "attach", "stages", "lists"):
+    for name in ("texts", "links", "logs", "reports", "attach", "stages", "lists", "roundtrips"):
         import_module(f"{__package__}.{name}")
 
 
