@@ -26,6 +26,16 @@ def stub(prompt: str) -> dict:
 REGISTRY["stub"] = stub
 
 
+def stub_pick(prompt: str) -> dict:
+    """A matcher for tests: which of the options listed behind "Candidates:" it picks, or none, follows from the prompt's MD5."""
+    ids = [line.split(": ", 1)[0] for line in prompt.partition("\nCandidates:\n")[2].split("\n") if line]
+    n = int(hashlib.md5(prompt.encode()).hexdigest()[:8], 16) % (len(ids) + 1)
+    return {"picked": ids[n] if n < len(ids) else "none", "alternates": ids[:n], "reasoning": "stub"}
+
+
+REGISTRY["stub_pick"] = stub_pick
+
+
 def ask(judge: Judge, prompt: str, tries: int = 3, pause: float = 0.0) -> tuple:
     """One verdict with retries; a failure leaves the verdict null, which means "try again", never "no"."""
     began, error = time.monotonic(), None
@@ -63,6 +73,14 @@ def prompt(*parts: tuple[str, Column], most: int = 6000) -> Column:
     return F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.concat(F.lit(f"{label}: "), F.left(F.trim(c), F.lit(most)))) for label, c in parts])), "\n")
 
 
+def with_options(head: Column, options: Column, most: int = 200) -> Column:
+    """A prompt that lists ``options`` (array of ``id, text``) behind ``head``, one a line, blanks squeezed, texts cut at ``most``
+    characters; null options are none."""
+    flat = lambda t: F.left(F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), "[ \t\n\r]+", " ")), F.lit(most))
+    lines = F.transform(options, lambda o: F.concat(o["id"], F.lit(": "), flat(o["text"])))
+    return F.concat(head, F.lit("\nCandidates:\n"), F.coalesce(F.array_join(lines, "\n"), F.lit("")))
+
+
 PICK = "picked string, alternates array<string>, reasoning string, error string"
 
 

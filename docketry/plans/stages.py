@@ -297,3 +297,25 @@ def q_package_details(spark: SparkSession, d: str) -> DataFrame:
     """Title and date of every package that stage B proposed."""
     c = table(spark, d, "candidates").filter("stage = 'B' and package_id is not null").select("package_id", "mandate_id").distinct()
     return c.join(filings(spark, d).select("package_id", "title", "date_issued"), "package_id")
+
+
+def _candidates() -> str:
+    from .catalogue import _SQL
+
+    return _SQL["q_link_candidates"]
+
+
+@query(f"""WITH {FILINGS}, c AS ({_candidates()}), o AS (SELECT c.package_id, list(c.mandate_id ORDER BY rank) AS ids, string_agg(c.mandate_id || ': ' || left(trim(regexp_replace(coalesce(r.nature_of_report, ''), '[ \\t\\n\\r]+', ' ', 'g')), 200), chr(10) ORDER BY rank) AS lines FROM c JOIN report r USING (mandate_id) GROUP BY 1),
+    p AS (SELECT f.package_id, ids, 'Filing: ' || left(trim(coalesce(title, '')), 6000) || chr(10) || 'Candidates:' || chr(10) || lines AS prompt FROM f LEFT JOIN o USING (package_id) WHERE {EVERY}),
+    n AS (SELECT *, CAST('0x' || left(md5(prompt), 8) AS BIGINT) % (len(ids) + 1) AS i FROM p)
+    SELECT package_id, CASE WHEN ids IS NULL OR i = len(ids) THEN 'none' ELSE ids[i + 1] END AS picked, CASE WHEN ids IS NULL THEN 0 ELSE i END AS alternates FROM n""".replace("\\\\", "\\"))
+def q_rescue_picks(spark: SparkSession, d: str) -> DataFrame:
+    """A matcher's pick for each filing among its twenty best candidates; answers are held to the candidates, none without any."""
+    from ..operators import judges
+    from .links import q_link_candidates
+
+    r = table(spark, d, "report").select("mandate_id", "nature_of_report")
+    c = q_link_candidates(spark, d).join(r, "mandate_id").groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("mandate_id").alias("id"), F.col("nature_of_report").alias("text")))).alias("o"))  # at most twenty
+    f = filings(spark, d).filter(every_20th(F.col("package_id"))).select("package_id", F.concat(F.lit("Filing: "), F.left(F.trim(F.coalesce("title", F.lit(""))), F.lit(6000))).alias("head")).join(c, "package_id", "left")
+    asked = f.select("package_id", judges.with_options(F.col("head"), F.col("o")).alias("prompt"), F.transform("o", lambda x: x["id"]).alias("ids"))
+    return judges.pick(asked, "prompt", "ids", "stub_pick", unknown="none").select("package_id", "picked", F.size("alternates").cast("long").alias("alternates"))
