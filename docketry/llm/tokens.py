@@ -55,7 +55,7 @@ def with_token_counts(df: DataFrame, text: str = "text", out: str = "n_tokens",
             sizes = []
             for lo in range(0, len(b), 512):
                 some = b.column(i).slice(lo, 512).to_pylist()
-                sizes += [sum(len(x) for x in enc.encode_ordinary_batch(parts(t), num_threads=1)) if t else 0 for t in some]
+                sizes += [sum(len(enc.encode_ordinary(p)) for p in parts(t)) if t else 0 for t in some]
             yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(len(b.columns)) if j != i), pa.array(sizes, pa.int64())], [*names, out])
 
     return df.mapInArrow(run, schema)
