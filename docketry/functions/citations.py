@@ -83,6 +83,17 @@ def parse_authority(text: Column) -> Column:
     return F.array_distinct(F.transform(zipped, build))
 
 
+def authority(text: Column) -> Column:
+    """All that a text cites as distinct (kind, cite) in order within each kind: sections of the Code with path, note and appendix
+    mark, public laws, Statutes pages. Null text cites nothing."""
+    c = parse_citations(text)
+    said = lambda kind, items, cite: F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), cite(x).alias("cite")))
+    return F.array_distinct(F.concat(
+        said("usc", parse_authority(text), lambda x: x["cite"]), said("plaw", c["plaw"], lambda x: F.concat(F.lit("Pub. L. "), x["a"], F.lit("-"), x["b"])),
+        said("stat", c["stat"], lambda x: F.concat(x["a"], F.lit(" Stat. "), x["b"])),
+    ))
+
+
 def law_spans(text: Column) -> Column:
     """The text cut at each public law: one piece per law, up to the next one."""
     t = fold_dashes(F.coalesce(text, F.lit("")))

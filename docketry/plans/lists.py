@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import rules as R
 from ..functions import text as X
+from ..operators.sampling import excluding
 from ..operators.units import collapse
 from ..runtime import table
 from ..streaming import logs as L
 from . import catalogue
 from .catalogue import query
-from .links import unit_sql
-from .logs import LAST, USABLE, log
-from .reports import count_if
-from .texts import CODE_NODE, END, FOLD, LAW_NODE, ONCE, SQUEEZED, YEAR, q, sql_case
+from .attach import STEM
+from .links import EVERY, FILINGS, every_20th, filings, unit_sql
+from .logs import LAST, USABLE, _hash, log
+from .reports import FINAL, count_if, final_pairs
+from .texts import CODE_NODE, END, FOLD, LAW_NODE, ONCE, SQUEEZED, YEAR, q, sql_case, sql_keys
 
 #: Rhythms of a duty that keeps coming; event-driven duties are kept too.
 RECURRING = ["weekly", "monthly", "quarterly", "semiannual", "annual", "biennial", "multi-year", "periodic", "other"]
@@ -84,6 +86,60 @@ def q_window_reason(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "report").select("mandate_id", R.window_reason(R.cadence(w), C.deadline_year(w), YEAR, YEAR + 1).alias("reason"))
 
 
+@query(f"""WITH r AS (SELECT mandate_id, translate(coalesce(authority, ''), {FOLD}) AS a FROM report), x AS (SELECT mandate_id, unnest(list_zip(regexp_extract_all(a, {q(C.USC_PATH)}, 1), regexp_extract_all(a, {q(C.USC_PATH)}, 2), regexp_extract_all(a, {q(C.USC_PATH)}, 3), regexp_extract_all(a, {q(C.USC_PATH)}, 4), regexp_extract_all(a, {q(C.USC_PATH)}, 5))) AS m FROM r)
+    SELECT DISTINCT mandate_id, 'usc' AS kind, m[1] || ' U.S.C. ' || CASE WHEN m[2] <> '' THEN 'App. ' ELSE '' END || m[3] || m[4] || CASE WHEN m[5] <> '' THEN ' note' ELSE '' END AS cite FROM x
+    UNION ALL SELECT mandate_id, 'plaw', unnest(list_transform({sql_keys('authority', C.PLAW)}, lambda k: 'Pub. L. ' || replace(k, '/', '-'))) FROM report UNION ALL SELECT mandate_id, 'stat', unnest(list_transform({sql_keys('authority', C.STAT)}, lambda k: replace(k, '/', ' Stat. '))) FROM report""")
+def q_authority_cites(spark: SparkSession, d: str) -> DataFrame:
+    """Everything that each mandate rests on, as it is cited."""
+    return table(spark, d, "report").select("mandate_id", F.explode(C.authority(F.col("authority"))).alias("x")).select("mandate_id", "x.kind", "x.cite")
+
+
+@query("""WITH s AS (SELECT count(*) FILTER (stage = 'A') AS a, count(*) FILTER (stage = 'A_validation') AS v, count(*) FILTER (stage = 'B') AS b, count(DISTINCT candidate_id) AS c FROM candidates)
+    SELECT CAST(to_json(struct_pack(mandates := (SELECT count(*) FROM report), filings := struct_pack("rows" := (SELECT count(*) FROM submissions), packages := (SELECT count(DISTINCT package_id) FROM submissions)), candidates := struct_pack("pairs" := c, stages := struct_pack(a := a, a_validation := v, b := b)))) AS VARCHAR) AS document FROM s""")
+def q_summary_document(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of all tables as one nested JSON document."""
+    stage = lambda k: count_if(F.col("stage") == k)
+    c = table(spark, d, "candidates").agg(F.struct(F.countDistinct("candidate_id").alias("pairs"), F.struct(stage("A").alias("a"), stage("A_validation").alias("a_validation"), stage("B").alias("b")).alias("stages")).alias("candidates"))
+    s = table(spark, d, "submissions").agg(F.struct(F.count("*").alias("rows"), F.countDistinct("package_id").alias("packages")).alias("filings"))
+    m = table(spark, d, "report").agg(F.count("*").alias("mandates"))
+    return m.crossJoin(s).crossJoin(c).select(F.to_json(F.struct("mandates", "filings", "candidates")).alias("document"))  # one-row tables
+
+
+@query(f"""WITH {FINAL}, {FILINGS}, o AS (SELECT * FROM f ANTI JOIN p USING (package_id)), gc AS (SELECT government_author, {STEM} AS stem, unnest(list_distinct(list_transform(list_filter(cite_refs.usc, lambda x: x[1] IS NOT NULL AND x[2] IS NOT NULL), lambda x: x[1] || '/' || x[2]))) AS cite FROM o)
+    SELECT government_author, stem, cite, count(*) AS filings FROM gc GROUP BY 1, 2, 3""")
+def q_gap_cites(spark: SparkSession, d: str) -> DataFrame:
+    """What the unattached filings of each author and title cite: the union of a cluster's citations, a row for each."""
+    o = filings(spark, d).join(final_pairs(spark, d), "package_id", "left_anti")
+    usc = F.filter(C.flatten_references(F.col("cite_refs")), lambda x: x["kind"] == "usc")
+    x = o.select("government_author", X.stem(F.col("title")).alias("stem"), F.explode(usc).alias("x"))
+    return x.groupBy("government_author", "stem", F.concat("x.a", F.lit("/"), "x.b").alias("cite")).agg(F.count("*").alias("filings"))
+
+
+@query(f"WITH {FINAL}, {FILINGS} SELECT government_author, {STEM} AS stem, package_id FROM f ANTI JOIN p USING (package_id)")
+def q_gap_members(spark: SparkSession, d: str) -> DataFrame:
+    """Unattached filings with the cluster each is in, a row per filing."""
+    o = filings(spark, d).join(final_pairs(spark, d), "package_id", "left_anti")
+    return o.select("government_author", X.stem(F.col("title")).alias("stem"), "package_id")
+
+
+@query(f"""WITH r AS ({catalogue._SQL['q_first_requirement']}), t AS ({catalogue._SQL['q_link_top1']}), {FILINGS}
+    SELECT f.package_id, coalesce(r.mandate_id, t.mandate_id) AS mandate_id, CASE WHEN r.mandate_id IS NOT NULL THEN 'requirement' WHEN t.mandate_id IS NOT NULL THEN 'title' ELSE 'none' END AS via FROM f LEFT JOIN r USING (package_id) LEFT JOIN t USING (package_id) WHERE {EVERY}""")
+def q_one_mandate(spark: SparkSession, d: str) -> DataFrame:
+    """One mandate for each filing: of its first requirement, else the one most like its title."""
+    known = catalogue.queries()
+    r = known["q_first_requirement"](spark, d).select("package_id", F.col("mandate_id").alias("r"))
+    t = known["q_link_top1"](spark, d).select("package_id", F.col("mandate_id").alias("t"))
+    f = filings(spark, d).filter(every_20th(F.col("package_id"))).select("package_id").join(r, "package_id", "left").join(t, "package_id", "left")
+    return f.select("package_id", F.coalesce("r", "t").alias("mandate_id"), F.when(F.col("r").isNotNull(), "requirement").when(F.col("t").isNotNull(), "title").otherwise("none").alias("via"))
+
+
+@query(f"WITH {FINAL}, o AS (SELECT DISTINCT package_id FROM submissions ANTI JOIN p USING (package_id)) SELECT package_id FROM o WHERE package_id NOT IN (SELECT package_id FROM candidates WHERE package_id IS NOT NULL) ORDER BY {_hash('package_id')}, package_id LIMIT 200")
+def q_work_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Work for a trial run: two hundred filings without a match and never judged, in hash order."""
+    o = table(spark, d, "submissions").select("package_id").distinct().join(final_pairs(spark, d), "package_id", "left_anti")
+    return excluding(o, table(spark, d, "candidates").filter("package_id is not null"), "package_id", 200)
+
+
 #: Checks of a reviewer, each a query whose rows are what it finds.
 CHECKS = ["q_multi_attach", "q_dup_groups", "q_zero_coverage", "q_agency_without_rows", "q_pattern_counts", "q_uncovered", "q_orphans"]
 
