@@ -37,14 +37,6 @@ def drop_leaders(chars: DataFrame, least: int = 5, step: float = 5.0) -> DataFra
     return chars.filter("text <> '.'").unionByName(runs)
 
 
-def column_bounds(lines: DataFrame, least: int = 3) -> DataFrame:
-    """``page, left, right``: the two most frequent line coordinates (one decimal) with ``least`` segments or more."""
-    counts = lines.groupBy("page", F.round("top", 1).alias("at")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    w = Window.partitionBy("page").orderBy(F.desc("n"), "at")
-    two = counts.withColumn("_r", F.row_number().over(w)).filter("_r <= 2")
-    return two.groupBy("page").agg(F.min("at").alias("left"), F.max("at").alias("right"), F.count("*").alias("_n")).filter("_n = 2").drop("_n")
-
-
 def carry_layout(pages: DataFrame, layouts: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Bounds for every page: its own, else those of the last page that had some, else the first there are."""
     d = pages.join(layouts, "page", "left")
@@ -78,16 +70,6 @@ def dedupe(chars: DataFrame, tol: float = 1.0) -> DataFrame:
     return chars.groupBy("page").applyInPandas(lambda pdf: dedupe_glyphs(pdf, tol), chars.schema)
 
 
-def cell_texts(chars: DataFrame) -> DataFrame:
-    """``page, row, nature, authority, when_expected, x0``: texts of the three columns, glyphs joined in order with a
-    blank where they stand apart."""
-    column = F.when(F.col("x0") < F.col("left"), "nature").when(F.col("x0") < F.col("right"), "authority").otherwise("when_expected")
-    w = Window.partitionBy("page", "row", "column").orderBy("x0")
-    d = chars.withColumn("column", column).withColumn("_s", F.when(F.col("x0") - F.lag("x1").over(w) > 1.5, F.concat(F.lit(" "), F.col("text"))).otherwise(F.col("text")))
-    text = lambda name: F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("column") == name, F.struct("x0", "_s")))), lambda s: s["_s"]), "")).alias(name)
-    return d.groupBy("page", "row").agg(F.min("x0").alias("x0"), text("nature"), text("authority"), text("when_expected"))
-
-
 _CITE = re.compile(r"^\W*(?:\d+\s*U\.?\s*S\.?\s*C|Pub|P\.\s*L|\(?\d+\s*Stat|Executive Order|Added\s+by\s+Pub|Aug\.\s+\d)", re.I)
 MERGED = "doc_id string, ord long, page int, entity string, nature_of_report string, authority string, when_expected string"
 

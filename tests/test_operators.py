@@ -178,18 +178,13 @@ def test_glyph_rows(spark):
     assert [r["cluster"] for r in G.gap_clusters(chars, ["page"], "top", 2.0, "x0").orderBy("top").collect()] == [0, 0, 0, 1]
     line = spark.createDataFrame([(1, 1, 4.0 * i, c) for i, c in enumerate("a......b.c")], "page int, row int, x0 double, text string")
     assert "".join(r["text"] for r in G.drop_leaders(line).orderBy("x0").collect()) == "ab.c"
-    lines = spark.createDataFrame([(1, 100.04), (1, 100.0), (1, 99.98), (1, 200.0), (1, 200.0), (1, 200.0), (1, 300.0)], "page int, top double")
-    assert rows(G.column_bounds(lines)) == [(1, 100.0, 200.0)]
     pages = spark.createDataFrame([("d", 1), ("d", 2), ("d", 3)], "doc_id string, page int")
     assert rows(G.carry_layout(pages, spark.createDataFrame([(2, 1.0, 2.0)], "page int, left double, right double"))) == [("d", 1, 1.0, 2.0), ("d", 2, 1.0, 2.0), ("d", 3, 1.0, 2.0)]
 
 
-def test_double_stamps_and_cells(spark):
+def test_double_stamps(spark):
     pdf = pd.DataFrame({"page": [1] * 4, "text": list("aaab"), "x0": [1.0, 1.5, 9.0, 1.2], "top": [1.0, 1.2, 1.0, 1.0]})
     assert sorted(G.dedupe_glyphs(pdf).text) == ["a", "a", "b"]
-    c = spark.createDataFrame([(1, 1, 0.0, 1.0, "A"), (1, 1, 1.1, 2.0, "b"), (1, 1, 9.0, 9.5, "c"), (1, 1, 110.0, 111.0, "x"), (1, 1, 210.0, 211.0, "y")], "page int, row int, x0 double, x1 double, text string").withColumn("left", F.lit(100.0)).withColumn("right", F.lit(200.0))
-    r = G.cell_texts(c).first()
-    assert (r["nature"], r["authority"], r["when_expected"]) == ("Ab c", "x", "y")
 
 
 def test_logical_rows(spark):
