@@ -12,7 +12,7 @@ from ..operators import linkage as J
 from ..operators import sampling as M
 from ..operators.cited import cited_verdicts
 from ..operators.search import top_k_overlap
-from ..runtime import table
+from ..runtime import Scratch, table
 from ..streaming import logs as L
 from .attach import PACKAGE_REQUIREMENTS, package_requirements
 from .catalogue import query
@@ -93,12 +93,16 @@ ATTACHED = f"""{STAGE_A}, co AS (SELECT pq.package_id, pq.pos, pq.requirement_nu
 def q_attach_stage_a(spark: SparkSession, d: str) -> DataFrame:
     """Filings attached through each of their requirements to its confident mandates: those of the filing's agency, else the
     first; pairs whose titles have hardly a word in common are marked for validation."""
-    sure = stage_a(spark, d).filter("verdict = 'confident'").select("requirement_number", "mandate_id")
     r = table(spark, d, "report").select("mandate_id", "reporting_entity", X.token_set(F.col("nature_of_report")).alias("y"))
     f = filings(spark, d).select("package_id", X.token_set(F.col("title")).alias("x"))
-    c = package_requirements(spark, d).join(sure, "requirement_number").join(r.drop("y"), "mandate_id")
-    c = c.select("package_id", "pos", "mandate_id", F.coalesce(F.col("government_author") == F.col("reporting_entity"), F.lit(False)).alias("fits"))
-    pairs = J.prefer(c, ["package_id", "pos"], F.col("fits"), [F.col("mandate_id")]).select("package_id", "mandate_id").distinct()
+    sure = Scratch(spark, "sure").put(verdicts_a(spark, d, best=False).select("requirement_number", "mandate_id").join(r.drop("y"), "mandate_id"), "pairs")
+    own = sure.select("requirement_number", F.col("reporting_entity").alias("government_author"), "mandate_id").filter("government_author is not null")
+    led = sure.groupBy("requirement_number").agg(F.min("mandate_id").alias("mandate_id"))
+    p = package_requirements(spark, d).select("package_id", "requirement_number", "government_author")
+    fits = own.select("requirement_number", "government_author").distinct().withColumn("fits", F.lit(True))
+    p = p.join(led.withColumnRenamed("mandate_id", "first"), "requirement_number").join(fits, ["requirement_number", "government_author"], "left")
+    other = p.filter("fits is null").select("package_id", F.col("first").alias("mandate_id"))
+    pairs = p.filter("fits").join(own, ["requirement_number", "government_author"]).select("package_id", "mandate_id").unionByName(other).distinct()
     return pairs.join(f, "package_id").join(r, "mandate_id").select("package_id", "mandate_id", (X.jaccard(F.col("x"), F.col("y")) < 0.1).alias("to_validate"))
 
 

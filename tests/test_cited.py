@@ -73,3 +73,17 @@ def test_a_citation_of_all_requirements_and_mandates(spark, tables, monkeypatch,
     assert 0 < len(live) < 60
     got, n = written(spark, lambda: {r[0] for r in Q.q_all_requirements_unmatched(spark, d).collect()})
     assert got == {s[0] for s in subs if s[3][0] not in live} and n < 20_000
+
+
+def test_filings_attach_to_confident_mandates(spark, tables):
+    """Those of the filing's agency, else the first of its requirement; no pair is shuffled that isn't confident."""
+    d, report, subs = tables
+    entity, nature, sure = {m[0]: m[1] for m in report}, {m[0]: m[2] for m in report}, {q: [x[3] for x in rows if x[0] == 0] for q, rows in brute(report, subs).items()}
+    want = set()
+    for p, title, author, (q,), *_ in subs:
+        fits = [m for m in sure[q] if author is not None and entity[m] == author] or sorted(sure[q])[:1]
+        for m in fits:
+            x, y = {*(title or "").split()}, {*(nature[m] or "").split()}
+            want.add((p, m, (len(x & y) / len(x | y) if x | y else 1.0) < 0.1))
+    got, n = written(spark, lambda: {tuple(r) for r in Q.q_attach_stage_a(spark, d).collect()})
+    assert got == want and want and n < 100_000
