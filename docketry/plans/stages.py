@@ -47,19 +47,6 @@ def requirements(spark: SparkSession, d: str) -> DataFrame:
     return nature.join(refs, "requirement_number", "left").select("requirement_number", "nature", F.when(F.size(told) > 0, told).otherwise(F.col("refs")).alias("keys"))
 
 
-def stage_a(spark: SparkSession, d: str) -> DataFrame:
-    """Every requirement and mandate that share a citation, with the verdict: ``requirement_number, mandate_id, kinds, similarity, agency, verdict``."""
-    req = requirements(spark, d)
-    seen = package_requirements(spark, d).filter("government_author is not null").select("requirement_number", F.col("government_author").alias("reporting_entity")).distinct().withColumn("seen", F.lit(True))
-    m = table(spark, d, "report").select("mandate_id", "reporting_entity", X.token_set(F.col("nature_of_report")).alias("y"), C.tagged_keys(C.parse_citations(F.col("authority"))).alias("keys"))
-    p = J.shared_citations(req, m, "requirement_number", "mandate_id", "keys").select("requirement_number", "mandate_id", "kinds")
-    p = p.join(req.select("requirement_number", "nature", X.token_set(F.col("nature")).alias("x")), "requirement_number").join(m.drop("keys"), "mandate_id").join(seen, ["requirement_number", "reporting_entity"], "left")
-    agency = F.coalesce("seen", F.lit(False)) | F.coalesce(F.col("reporting_entity") == MULTI, F.lit(False))
-    p = p.withColumn("agency", agency).withColumn("_j", X.jaccard(F.col("x"), F.col("y")))
-    v = R.stage_a(F.col("kinds"), F.col("_j"), F.col("agency"), F.coalesce(F.trim("nature"), F.lit("")) == "")
-    return p.select("requirement_number", "mandate_id", "kinds", F.round("_j", 3).alias("similarity"), "agency", v.alias("verdict"))
-
-
 def verdicts_a(spark: SparkSession, d: str, best: bool = True) -> DataFrame:
     """The best mandate of every requirement that shares a citation with some, else all confident pairs: ``requirement_number, mandate_id,
     v, kinds, similarity, agency``. Pairs are scored where the mandates are read; there may be millions for a requirement."""
@@ -75,8 +62,7 @@ def verdicts_a(spark: SparkSession, d: str, best: bool = True) -> DataFrame:
     FROM rn LEFT JOIN (SELECT * FROM b WHERE n = 1) USING (requirement_number)""")
 def q_link_verdict_a(spark: SparkSession, d: str) -> DataFrame:
     """Best mandate of every requirement, among those it shares a citation with, and why."""
-    rank = F.when(F.col("verdict") == "confident", 0).when(F.col("verdict") == "candidate", 1).otherwise(2)
-    best = J.best_one(stage_a(spark, d).withColumn("v", rank), ["requirement_number"], F.struct((-F.col("v")).alias("v"), "kinds", "similarity", X.descending(F.col("mandate_id")).alias("m")), "mandate_id", "kinds", "similarity", "agency", "v")
+    best = verdicts_a(spark, d).select("requirement_number", "mandate_id", "kinds", "similarity", "agency", "v")
     why = R.score_reason(F.col("kinds"), F.col("similarity"), F.col("agency"))
     why = F.when(F.col("v").isNull(), "no citation in common").otherwise(F.concat(F.when(F.col("v") == 2, "best rejected: ").otherwise(""), why))
     said = F.when(F.col("v") == 0, "confident").when(F.col("v") == 1, "candidate").otherwise("no_match")

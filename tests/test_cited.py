@@ -87,3 +87,18 @@ def test_filings_attach_to_confident_mandates(spark, tables):
             want.add((p, m, (len(x & y) / len(x | y) if x | y else 1.0) < 0.1))
     got, n = written(spark, lambda: {tuple(r) for r in Q.q_attach_stage_a(spark, d).collect()})
     assert got == want and want and n < 100_000
+
+
+def test_best_mandate_of_every_requirement(spark, tables):
+    """By verdict, kinds, similarity and id; a requirement that shares nothing has none."""
+    d, report, subs = tables
+    want = {}
+    for q, rows in brute(report, subs).items():
+        if not rows:
+            want[q] = (None, "no_match", "no citation in common")
+            continue
+        v, k, j, m, agency = rows[0]
+        why = f"{'best rejected: ' * (v == 2)}{-k} kinds of citation; similarity {-j / 1000:.3f}" + "; same agency" * agency
+        want[q] = (m if v < 2 else None, ("confident", "candidate", "no_match")[v], why)
+    got, n = written(spark, lambda: {r[0]: tuple(r[1:]) for r in Q.q_link_verdict_a(spark, d).collect()})
+    assert got == want and n < 20_000
